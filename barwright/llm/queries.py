@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barwright.llm import exact, secrets, tokens
+from barwright.llm import exact, neardup, secrets, tokens
 from barwright.llm.common import table
 
 #: Where the vocabulary files of public tokenizers are; a parameter, never copied.
@@ -16,6 +16,11 @@ def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"), owner="source", repo="concat_ws('/', source, lang)")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,7 +35,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         index.drop()  # the result reads the written verdicts only
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_ownership, op9_token_counts, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_ownership, op4_near_duplicates, op9_token_counts, op10_exact_dedup)}
 
 ORACLES = {
     "op10_exact_dedup": """
