@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barwright.llm import exact, neardup, secrets, tokens
+import corpus_pipeline
+
+from barwright.llm import decontam, exact, langid, mixing, neardup, secrets, tokens
 from barwright.llm.common import table
 
 #: Where the vocabulary files of public tokenizers are; a parameter, never copied.
@@ -16,11 +18,25 @@ def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"), owner="source", repo="concat_ws('/', source, lang)")
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"), block_rows=64, power=0.5)
+    return out.select("doc_id", "source", "mix_slot", "mix_block", "mix_row")
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op8_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,7 +51,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         index.drop()  # the result reads the written verdicts only
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_ownership, op4_near_duplicates, op9_token_counts, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_ownership, op2_mix_sources, op4_near_duplicates, op6_language_crf, op8_benchmark_tiling, op9_token_counts, op10_exact_dedup)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES = {
     "op10_exact_dedup": """
