@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from barwright.llm import decontam, exact, langid, mixing, neardup, secrets, tokens
+from barwright.llm import decontam, exact, langid, licenses, mixing, neardup, secrets, tokens
 from barwright.llm.common import table
 
 #: Where the vocabulary files of public tokenizers are; a parameter, never copied.
@@ -23,6 +23,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "mix_slot", "mix_block", "mix_row")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
@@ -51,7 +55,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         index.drop()  # the result reads the written verdicts only
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_ownership, op2_mix_sources, op4_near_duplicates, op6_language_crf, op8_benchmark_tiling, op9_token_counts, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_ownership, op2_mix_sources, op3_license_scan, op4_near_duplicates, op6_language_crf, op8_benchmark_tiling, op9_token_counts, op10_exact_dedup)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES = {
