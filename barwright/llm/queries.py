@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from barwright.llm import decontam, exact, langid, licenses, mixing, neardup, secrets, tokens
-from barwright.llm.common import table
+from barwright.llm import chat, decontam, exact, langid, licenses, mixing, neardup, pii, secrets, tokens
+from barwright.llm.common import cut, table
 
+#: Key of the surrogates; a secret of whoever runs the scan. This one serves these queries only.
+PII_KEY = b"barwright-query-key"
 #: Where the vocabulary files of public tokenizers are; a parameter, never copied.
 TOKENIZER = "word_bpe_49k.json"
 
@@ -32,11 +35,27 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise_rows(docs, PII_KEY)
+
+
 def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
 
 
+def op7_transcript_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw transcripts written from conversations, parsed and rendered; true_roles are the roles
+    that the table names."""
+    raw = cut(chat.transcripts(table(spark, sf_dir, "conversations")), "chat-raw")
+    out = chat.parse_transcripts(raw, chat.fit(raw))
+    true = F.filter("states", lambda s: s % 2 == 0)
+    names = F.array(*[F.lit(r) for r in chat.ROLES])
+    return out.select("conv_id", "segment", "part", F.size("turns").alias("n_turns"), F.concat_ws(",", F.transform(true, lambda s: F.element_at(names, (s / 2).cast("int") + 1))).alias("true_roles"),
+                      F.concat_ws(",", F.transform("turns", lambda t: t["role"])).alias("roles"), "chat")
+
+
 def op8_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,7 +74,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         index.drop()  # the result reads the written verdicts only
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_ownership, op2_mix_sources, op3_license_scan, op4_near_duplicates, op6_language_crf, op8_benchmark_tiling, op9_token_counts, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_ownership, op2_mix_sources, op3_license_scan, op4_near_duplicates, op5_pii_surrogates, op6_language_crf, op7_transcript_hmm, op8_benchmark_tiling, op9_token_counts, op10_exact_dedup)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES = {
