@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from barwright.plans import indicators, scores
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _m in (indicators, scores):
+    QUERIES.update(_m.QUERIES)
+    ORACLES.update(_m.ORACLES)
