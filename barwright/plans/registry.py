@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from barwright.plans import indicators, scores
+from barwright.plans import indicators, scores, trading
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (indicators, scores):
+for _m in (indicators, scores, trading):
     QUERIES.update(_m.QUERIES)
     ORACLES.update(_m.ORACLES)
