@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from barwright.plans import indicators, scores, trading
+from barwright.plans import indicators, scores, trading, upkeep
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (indicators, scores, trading):
+for _m in (indicators, scores, trading, upkeep):
     QUERIES.update(_m.QUERIES)
     ORACLES.update(_m.ORACLES)
