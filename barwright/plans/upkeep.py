@@ -46,11 +46,11 @@ def split_adjust(spark, sf_dir):
     return a.select("sym", "bar_ts", R(F.log10("factor"), 6).alias("magnitude"), R(F.log10("close"), 6).alias("log_close"))
 
 
-@query(f"{MOVES}, s AS (SELECT sym, bar_ts, CASE WHEN move < 0 THEN 2.0 ELSE 0.5 END AS ratio FROM mv WHERE abs(move) > 20) SELECT b.sym, b.bar_ts, round(b.close * coalesce((SELECT list_reduce(list_prepend(1.0::DOUBLE, list(ratio ORDER BY s.bar_ts)), lambda acc, x: acc * x) FROM s WHERE s.sym = b.sym AND s.bar_ts > b.bar_ts), 1), 9) AS close FROM bars b")
+@query(f"{MOVES}, s AS (SELECT sym, bar_ts, CASE WHEN move < 0 THEN 1.7::DOUBLE ELSE 0.7::DOUBLE END AS ratio FROM mv WHERE abs(move) > 20) SELECT b.sym, b.bar_ts, round(b.close * coalesce((SELECT list_reduce(list_prepend(1.0::DOUBLE, list(ratio ORDER BY s.bar_ts)), lambda acc, x: acc * x) FROM s WHERE s.sym = b.sym AND s.bar_ts > b.bar_ts), 1), 9) AS close FROM bars b")
 def split_apply(spark, sf_dir):
-    """Known splits: half or double at moves of more than twentyfold."""
+    """Known splits: by 1.7 or 0.7 at moves of more than twentyfold."""
     bars = _bars(spark, sf_dir)
-    known = Q.detect_splits(bars, 20.0).select("sym", "bar_ts", F.when(F.col("move") < 0, 2.0).otherwise(0.5).alias("ratio"))
+    known = Q.detect_splits(bars, 20.0).select("sym", "bar_ts", F.when(F.col("move") < 0, 1.7).otherwise(0.7).alias("ratio"))
     return Q.apply_splits(bars, known).select("sym", "bar_ts", R("close", 9).alias("close"))
 
 
