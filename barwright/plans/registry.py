@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from barwright.plans import indicators, scores, streams, talk, trading, upkeep
+from barwright.plans import indicators, scores, streams, talk, trading, universe, upkeep
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (indicators, scores, trading, upkeep, talk, streams):
+for _m in (indicators, scores, trading, upkeep, universe, talk, streams):
     QUERIES.update(_m.QUERIES)
     ORACLES.update(_m.ORACLES)
