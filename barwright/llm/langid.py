@@ -41,13 +41,21 @@ CHUNK, REMEMBERED = 1_500_000, 400_000
 #: Longer words go through the features in a block of their own.
 WIDE = 32
 
-_TOKEN = re.compile(r"[^\W\d_]+|\n")
+#: Words, and line ends. Letters next to digits or within addresses are no words ...
+_TOKEN = re.compile(r"(?<![\w@.])[^\W\d_]+(?![\w@])|\n")
+#: ... unless a text has no others.
+_LETTERS = re.compile(r"[^\W\d_]+|\n")
 
 
 def lines(text: str) -> list[list[str]]:
     """Lower-cased words of each line that has any."""
+    low = text.lower()
+    return _split(_TOKEN.findall(low)) or _split(_LETTERS.findall(low))
+
+
+def _split(found: list[str]) -> list[list[str]]:
     out, now = [], []
-    for w in _TOKEN.findall(text.lower()):
+    for w in found:
         if w == "\n":
             if now:
                 out.append(now)
@@ -295,7 +303,7 @@ def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Crf, min_score: float = 0.35, text_col: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, model: Crf, min_score: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text has an identified language: some letters, and a share
     of words of at least min_score."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
