@@ -188,7 +188,7 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int) -> str:
         return normal[:2] + "".join(str(s.below(10)) if c.isdigit() else chr(65 + s.below(26)) for c in normal[2:])
     part, scr, *gender = kind.split(":")
     if part == "first":
-        pool = FIRST[(scr, gender[0])]
+        pool = [n for n in FIRST[(scr, gender[0])] if n.casefold() != normal]
         return "-".join(pool[s.below(len(pool))] for _ in range(1 + attempt // 3)).casefold()
     syl = SYLLABLES[scr]
     return "".join(syl[s.below(len(syl))] for _ in range(3 + s.below(2) + attempt // 3)).casefold()
@@ -254,16 +254,16 @@ def assign(found: DataFrame, key: bytes, most_tries: int = 60) -> tuple[DataFram
     given before, and each other."""
     pending, done, exceptions = found, None, None
     for attempt in range(most_tries):
-        tried = cut(_tries(pending, key, attempt), "pii-tries")
+        tried = cut(_tries(pending, key, attempt), "pii-tries", fewer=4)
         real = found.select("kind", F.col("normal").alias("new"))
-        free = tried.join(real, ["kind", "new"], "left_anti")
+        free = tried.join(real.hint("merge"), ["kind", "new"], "left_anti")
         if done is not None:
-            free = free.join(done.select("kind", "new"), ["kind", "new"], "left_anti")
-        good = cut(free.groupBy("kind", "new").agg(F.min("normal").alias("normal")).select("kind", "normal", "new", F.lit(attempt).alias("attempt")), "pii-good")
+            free = free.join(done.select("kind", "new").hint("merge"), ["kind", "new"], "left_anti")
+        good = cut(free.groupBy("kind", "new").agg(F.min("normal").alias("normal")).select("kind", "normal", "new", F.lit(attempt).alias("attempt")), "pii-good", fewer=4)
         done = good if done is None else done.unionAll(good)
         if attempt:
             exceptions = good if exceptions is None else exceptions.unionAll(good)
-        pending = cut(tried.select("kind", "normal").join(good.select("kind", "normal"), ["kind", "normal"], "left_anti"), "pii-pending")
+        pending = cut(tried.select("kind", "normal").join(good.select("kind", "normal").hint("merge"), ["kind", "normal"], "left_anti"), "pii-pending", fewer=4)
         if pending.isEmpty():
             break
     else:
