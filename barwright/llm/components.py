@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +14,44 @@ from barwright.llm.common import cut
 JUMPS = 2
 
 
-def components(links: DataFrame) -> DataFrame:
-    """links (a, b) -> (node, comp): comp is one node of the component, the same for all its nodes.
+#: Links that one task joins by union-find; a larger table is contracted in rounds.
+ONE_TASK = 1_000_000
+
+
+def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """links (a, b) -> (node, comp): comp is the least node of the component.
+
+    A table of at most `one_task` distinct links, which is counted first, goes through one task (about
+    100 MB at the bound). Anything larger goes through `contracted`; the results are the same."""
+    edges = cut(links.select("a", "b").filter("a <> b").distinct(), "cc-links", fewer=8)
+    if edges.limit(one_task + 1).count() > one_task:
+        return contracted(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top: dict[bytes, bytes] = {}
+
+        def root(x: bytes) -> bytes:
+            top.setdefault(x, x)
+            while top[x] != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x, y = root(x), root(y)
+                if x != y:
+                    top[max(x, y)] = min(x, y)
+        nodes = list(top)
+        for i in range(0, len(nodes), 50_000):
+            part = nodes[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([root(x) for x in part], pa.binary())], names=["node", "comp"])
+
+    return cut(edges.repartition(1).mapInArrow(run, "node binary, comp binary"), "cc-found", fewer=8)
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Components without ever bringing links together.
 
     Each round points every node at its smallest neighbour, follows the pointers a few steps, and
     contracts the links to what their ends point at; links within one node go. The image of a
@@ -20,22 +59,23 @@ def components(links: DataFrame) -> DataFrame:
     path). Nodes with very many links only meet pre-aggregated minima and joins whose other side has
     one row a node.
     """
-    edges = cut(links.select("a", "b").filter("a <> b").distinct(), "cc-links")
     found = None
     while not edges.isEmpty():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")), "cc-up")
+        up = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")), "cc-up", fewer=8)
         for _ in range(JUMPS):
             above = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            up = cut(up.join(above.hint("merge"), "up").select("node", F.col("top").alias("up")), "cc-up")
+            up = cut(up.join(above.hint("merge"), "up").select("node", F.col("top").alias("up")), "cc-up", fewer=8)
         if found is None:
             found = up.select("node", F.col("up").alias("comp"))
         else:
             step = up.select(F.col("node").alias("comp"), "up")
-            found = cut(found.join(step.hint("merge"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "cc-found")
-        ends = cut(edges.join(up.select(F.col("node").alias("a"), F.col("up").alias("x")).hint("merge"), "a").select("x", "b"), "cc-ends")
+            found = cut(found.join(step.hint("merge"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "cc-found", fewer=8)
+        ends = cut(edges.join(up.select(F.col("node").alias("a"), F.col("up").alias("x")).hint("merge"), "a").select("x", "b"), "cc-ends", fewer=8)
         ends = ends.join(up.select(F.col("node").alias("b"), F.col("up").alias("y")).hint("merge"), "b").filter("x <> y")
-        edges = cut(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-links")
+        edges = cut(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-links", fewer=8)
     if found is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    return found
+    # the node that a round ends at isn't always the least of its component
+    least = cut(found.groupBy("comp").agg(F.least(F.min("node"), F.first("comp")).alias("least")), "cc-least", fewer=8)
+    return cut(found.join(least.hint("merge"), "comp").select("node", F.col("least").alias("comp")), "cc-found", fewer=8)

@@ -9,8 +9,9 @@
    at the edges.
 4. Candidates are confirmed on the full sets, the best of each class first; links are contracted to
    components, and only candidates between different components go on.
-5. For the rest: in regions with more than `REGION` members at base depth, members of different
-   components are compared by signature whatever their distance in the order, then confirmed too.
+5. For the rest: in regions with more than `REGION` members at base depth that still hold several
+   components, all members of different components are compared on full sets, in blocks; only the
+   links that join components are given out.
 
 The base depth follows the threshold: a pair at the threshold shares a prefix of that length in at
 least one order with probability 0.99999.
@@ -25,7 +26,6 @@ Defined results
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +42,8 @@ from barwright.llm.shingles import WordHashes, minhash, multipliers, shingle_set
 TREES, DEPTH, REGION = 16, 8, 4
 #: Bits of the filter that spares most texts the way to the confirmation; fixed size, exact join behind.
 FILTER_BITS = 1 << 23
-#: Standard deviations below the threshold at which a pair's estimated similarity is still confirmed.
-SLACK = 4.0
+#: Rows and characters of a block of a large region, and shingles counted at a time.
+BLOCK_ROWS, BLOCK_CHARS, COLUMNS = 512, 8_000_000, 4096
 
 
 def base_depth(threshold: float, trees: int = TREES, miss: float = 1e-5) -> int:
@@ -185,7 +185,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, classes: DataFrame, id_col: str, t
     """(cls, text) of the given classes. A bit filter of fixed size over row keys spares most texts the
     shuffle; the join behind it is exact."""
     spark = docs.sparkSession
-    want = cut(classes.join(nodes.hint("merge"), "cls").select("cls", "rep.row_key", F.col("rep.doc_id").alias("rep_id")), "confirm-keys")
+    want = cut(classes.join(nodes.hint("merge"), "cls").select("cls", "rep.row_key", F.col("rep.doc_id").alias("rep_id")), "confirm-keys", fewer=8)
     spot = F.pmod(F.col("row_key"), F.lit(FILTER_BITS)) + 1
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     # at most FILTER_BITS / 32768 rows of 4 KB
@@ -206,7 +206,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, classes: DataFrame, id_col: str, t
 
 def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    left = cut(pairs.select("a", "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("x")).hint("merge"), "a"), "confirm-left")
+    left = pairs.select("a", "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("x")).hint("merge"), "a")
     both = left.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,24 +226,65 @@ def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return out.filter("ca <> cb")
 
 
-def _rest(dense: DataFrame, comp: DataFrame, classes: DataFrame, tested: DataFrame, threshold: float) -> DataFrame:
-    """Pairs between different components of a region that is larger than what neighbours cover, with
-    an estimated similarity near the threshold or above. All members outside a region's largest
-    component meet all members of other components."""
+def _forest_links(group: list[tuple[bytes, bytes, str]], shingle: int, num: int, den: int) -> list[tuple[bytes, bytes]]:
+    """Links that join the components of a bounded group of (cls, comp, text): all pairs of different
+    components are looked at, on full sets, but only the links that join two of them are given."""
+    hashes = WordHashes()
+    sets = [shingle_set(t, shingle, hashes) for _, _, t in group]
+    n = len(group)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count >= 2
+    rank = np.cumsum(shared) - 1
+    keep = shared[code]
+    row, column = owner[keep], rank[code[keep]]
+    both = np.zeros((n, n), np.float32)
+    for start in range(0, int(shared.sum()), COLUMNS):
+        here = (column >= start) & (column < start + COLUMNS)
+        m = np.zeros((n, COLUMNS), np.float32)
+        m[row[here], column[here] - start] = 1
+        both += m @ m.T
+    size = np.array([len(s) for s in sets])
+    names = {c: k for k, c in enumerate(sorted({c for _, c, _ in group}))}
+    comp = np.array([names[c] for _, c, _ in group])
+    inter = both.astype(np.int64)
+    linked = (den * inter >= num * (size[:, None] + size[None, :] - inter)) & (comp[:, None] < comp[None, :])
+    top = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+        x, y = root(comp[i]), root(comp[j])
+        if x != y:
+            top[x] = y
+            out.append((group[i][0], group[j][0]))
+    return out
+
+
+def _rest(dense: DataFrame, comp: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """Links between different components of a region that is larger than what neighbours cover. Its
+    members are dealt into blocks of bounded rows and characters; every two blocks meet in one group."""
     rows = dense.join(comp.select(F.col("node").alias("cls"), "comp").hint("merge"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    per = rows.groupBy("tree", "region", "comp").agg(F.count(F.lit(1)).alias("n"))
-    regions = cut(per.groupBy("tree", "region").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1"), "rest-regions")
-    rows = cut(rows.join(regions.hint("merge"), ["tree", "region"]), "rest-rows")
-    rows = cut(rows.join(classes.select("cls", "sig").hint("merge"), "cls"), "rest-rows")
-    x = rows.filter("comp <> main").select("tree", "region", F.col("cls").alias("u"), F.col("comp").alias("cu"), F.col("sig").alias("su"))
-    y = rows.select("tree", "region", F.col("cls").alias("v"), F.col("comp").alias("cv"), F.col("sig").alias("sv"), "main")
-    k = TREES * DEPTH
-    least = math.floor(k * (threshold - SLACK * math.sqrt(threshold * (1 - threshold) / k)))
-    alike = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(0), lambda acc, i: acc + (F.substr("su", i * 4 + 1, F.lit(4)) == F.substr("sv", i * 4 + 1, F.lit(4))).cast("int"))
-    on = (x["tree"] == y["tree"]) & (x["region"] == y["region"]) & (x["cu"] != y["cv"]) & ((y["cv"] == y["main"]) | (x["u"] < y["v"])) & (alike >= least)
-    pairs = x.join(y.hint("merge"), on).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), alike.alias("alike"))
-    pairs = pairs.groupBy("a", "b").agg(F.max("alike").alias("alike"))
-    return cut(pairs.join(tested.hint("merge"), ["a", "b"], "left_anti"), "rest-pairs")
+    rows = cut(rows.join(texts.select("cls", F.length("text").alias("chars")).hint("merge"), "cls"), "rest-rows", fewer=8)
+    per = rows.groupBy("tree", "region", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_ROWS), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int")
+    regions = cut(per.groupBy("tree", "region").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("comps")).filter("comps > 1"), "rest-regions", fewer=8)
+    dealt = rows.join(regions.hint("merge"), ["tree", "region"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("tree", "region", "cls", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("block", "other")
+    full = dealt.join(texts.hint("merge"), "cls")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        group = list(zip(pdf["cls"].map(bytes), pdf["comp"].map(bytes), pdf["text"], strict=True))
+        return pd.DataFrame(_forest_links(group, shingle, num, den), columns=["a", "b"])
+
+    found = full.groupBy("tree", "region", "i", "j").applyInPandas(run, "a binary, b binary")
+    return cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest-links", fewer=8)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,40 +299,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         rows.filter("n_shingles > 0").groupBy("cls")
         .agg(F.min("doc_id").alias("low"), F.min(F.struct("row_key", "doc_id", "sig")).alias("rep"))
         .select("cls", "low", F.struct("rep.row_key", "rep.doc_id").alias("rep"), "rep.sig"),
-        "classes",
+        "classes", fewer=4,
     )
     forest = _forest(classes, base)
     pairs = forest.filter(F.col("kind") == _PAIR).select("a", "b", "common").unionAll(_across(forest, base))
-    pairs = cut(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees"), F.max("common").alias("common")), "pairs")
+    pairs = cut(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees"), F.max("common").alias("common")), "pairs", fewer=8)
     texts = _texts(docs, pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct(), classes, id_col, text_col)
 
     # the best candidate of each class first: most of a group is joined before its other pairs are looked at
-    best = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("trees", "common", "a")).alias("a")), "best")
+    best = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("trees", "common", "a")).alias("a")), "best", fewer=8)
     links = _confirm(best, texts, shingle, num, den)
     comp = components(links)
-    more = cut(_between(pairs, comp).select("a", "b").join(best.hint("merge"), ["a", "b"], "left_anti"), "more")
+    more = cut(_between(pairs, comp).select("a", "b").join(best.hint("merge"), ["a", "b"], "left_anti"), "more", fewer=8)
     if not more.isEmpty():
         links = links.unionAll(_confirm(more, texts, shingle, num, den))
         comp = components(links)
 
-    dense = cut(forest.filter(F.col("kind") == _DENSE).select("tree", F.col("path").alias("region"), F.col("a").alias("cls")).distinct(), "dense")
+    dense = cut(forest.filter(F.col("kind") == _DENSE).select("tree", F.col("path").alias("region"), F.col("a").alias("cls")).distinct(), "dense", fewer=8)
     if not dense.isEmpty():
-        left = _rest(dense, comp, classes, best.select("a", "b").unionAll(more.select("a", "b")), threshold)
-        if not left.isEmpty():
-            texts = _texts(docs, left.select(F.col("a").alias("cls")).unionAll(left.select(F.col("b").alias("cls"))).distinct(), classes, id_col, text_col)
-            ends = _between(left, comp)
-            first = cut(ends.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("alike", "a", "b")).alias("p")).select("p.a", "p.b"), "rest-first")
-            links = links.unionAll(_confirm(first, texts, shingle, num, den))
-            comp = components(links)
-            then = cut(_between(left, comp).select("a", "b").join(first.hint("merge"), ["a", "b"], "left_anti"), "rest-then")
-            if not then.isEmpty():
-                links = links.unionAll(_confirm(then, texts, shingle, num, den))
-                comp = components(links)
-
-    linked = classes.select("cls", "low").join(comp.select(F.col("node").alias("cls"), "comp").hint("merge"), "cls")
-    lows = cut(linked.groupBy("comp").agg(F.min("low").alias("component_id")), "component-ids")
-    mine = cut(comp.join(lows.hint("merge"), "comp").select(F.col("node").alias("cls"), "component_id"), "class-components")
-    final = cut(classes.select("cls", "low").join(mine.hint("merge"), "cls", "left").select("cls", F.coalesce("component_id", "low").alias("component_id")), "class-ids")
+        joined = _rest(dense, comp, texts, shingle, num, den)
+        if not joined.isEmpty():
+            comp = components(links.unionAll(joined))
+
+    named = cut(classes.select("cls", "low").join(comp.select(F.col("node").alias("cls"), "comp").hint("merge"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "class-components", fewer=8)
+    lows = cut(named.groupBy("comp").agg(F.min("low").alias("component_id")), "component-ids", fewer=8)
+    final = cut(named.join(lows.hint("merge"), "comp").select("cls", "component_id"), "class-ids", fewer=8)
     out = rows.select("doc_id", "row_key", "n_shingles", "cls").join(final.hint("merge"), "cls", "left")
     component = F.coalesce("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "row_key")
@@ -301,4 +333,4 @@ def dedup(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_c
     """The rows of docs that stay, one of each group, with all their columns."""
     keys = near_duplicates(docs, shingle, num, den, id_col, text_col).filter("kept").select("row_key").distinct()
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"))
-    return rows.join(cut(keys, "kept-keys").hint("merge"), "row_key", "left_semi").dropDuplicates(["row_key"]).select("row.*")
+    return rows.join(cut(keys, "kept-keys", fewer=8).hint("merge"), "row_key", "left_semi").dropDuplicates(["row_key"]).select("row.*")

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Word hashes remembered by one worker; beyond it the memory is emptied.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 #: Shingles hashed at a time, so that a very long text takes a bounded block.
 BLOCK = 2048
 
