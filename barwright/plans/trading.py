@@ -377,11 +377,11 @@ QUERIES["campaign_ranking"] = campaign_ranking
 
 
 def holdout_rows(spark, sf_dir):
-    return C.holdout(_grid_trades(spark, sf_dir), ["ROC", "ROC+RSI"]).select("combo", "horizon", "side", "trades", R("avg_net", 4).alias("avg_net"))
+    return C.holdout(_grid_trades(spark, sf_dir), ["ROC", "VWAP"]).select("combo", "horizon", "side", "trades", R("avg_net", 4).alias("avg_net"))
 
 
 QUERIES["holdout"] = holdout_rows
-ORACLES["holdout"] = f"{GRID} SELECT combo, horizon, side, count(net) AS trades, round(avg(net), 4) AS avg_net FROM tt WHERE combo IN ('ROC', 'ROC+RSI') GROUP BY ALL"
+ORACLES["holdout"] = f"{GRID} SELECT combo, horizon, side, count(net) AS trades, round(avg(net), 4) AS avg_net FROM tt WHERE combo IN ('ROC', 'VWAP') GROUP BY ALL"
 
 
 def churn(spark, sf_dir):
