@@ -461,3 +461,77 @@ def pivots(bars: DataFrame, least_move: float = 0.05, least_bars: int = 3, reach
         return pd.DataFrame(rows, columns=["sym", "at", "price", "top"])
 
     return bars.select("sym", "bar_ts", "high", "low").groupBy("sym").applyInPandas(run, "sym string, at int, price double, top boolean")
+
+
+def values(bars: DataFrame) -> DataFrame:
+    """What the recursive indicators are made of, at every bar: averages, MACD lines, bands, stops, Wilder's
+    RSI and directional index, gap lines. One grouped pass a symbol."""
+    names = ["ema9", "ema21", "ema50", "ema200", "macd", "macd_signal", "supertrend_upper", "supertrend_lower", "sar", "sar_wilder", "rsi_wilder", "plus_di", "minus_di", "adx_wilder", "gap_level"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bar_ts", kind="stable").reset_index(drop=True)
+        b = Bars(*[pdf[c].to_numpy(np.float64) for c in ("open", "high", "low", "close", "volume")])
+        line = K.ewm(b.close, 12, adjust=True) - K.ewm(b.close, 26, adjust=True)
+        tr = K.true_range(b.high, b.low, b.close)
+        atr = K.wilder(tr, 10)
+        atr = np.where(np.isnan(atr), np.cumsum(tr) / np.arange(1, len(tr) + 1), atr)
+        mid = (b.high + b.low) / 2
+        plus, minus, adx = K.wilder_di(b.high, b.low, b.close)
+        level, active = gap_lines(b)
+        cols = [*[K.ewm(b.close, s) for s in (9, 21, 50, 200)], line, K.ewm(line, 9, adjust=True), mid + 3 * atr, mid - 3 * atr, K.parabolic(b.high, b.low, b.close), K.parabolic(b.high, b.low, b.close, by_close=False), K.wilder_rsi(b.close), plus, minus, adx, level]
+        out = pd.DataFrame({"sym": pdf["sym"], "bar_ts": pdf["bar_ts"], **dict(zip(names, cols, strict=True)), "gap_active": active})
+        return out.replace([np.inf, -np.inf], np.nan)
+
+    schema = "sym string, bar_ts timestamp, " + ", ".join(f"{n} double" for n in names) + ", gap_active boolean"
+    out = bars.select("sym", "bar_ts", "open", "high", "low", "close", "volume").groupBy("sym").applyInPandas(run, schema)
+    return out.select("sym", "bar_ts", *[F.nanvl(n, F.lit(None).cast("double")).alias(n) for n in names], "gap_active")
+
+
+def moving_averages(bars: DataFrame, n: int = 9) -> DataFrame:
+    """All averages by name over closes, null before they begin."""
+    bases = ["SMA", "EMA", "DEMA", "TEMA", "WMA", "VWMA", "SMMA", "HMA", "LSMA", "ALMA"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bar_ts", kind="stable").reset_index(drop=True)
+        c = pdf["close"].to_numpy(np.float64)
+        return pd.DataFrame({"sym": pdf["sym"], "bar_ts": pdf["bar_ts"], **{x.lower(): K.moving_average(c, n, x) for x in bases}})
+
+    schema = "sym string, bar_ts timestamp, " + ", ".join(f"{x.lower()} double" for x in bases)
+    out = bars.select("sym", "bar_ts", "close").groupBy("sym").applyInPandas(run, schema)
+    return out.select("sym", "bar_ts", *[F.nanvl(x.lower(), F.lit(None).cast("double")).alias(x.lower()) for x in bases])
+
+
+def fear_greed_gauges(bars: DataFrame, refs: DataFrame | None = None, span: int = 252, least_bars: int = 260) -> DataFrame:
+    """The gauges of the fear and greed mean at every bar: momentum, strength, breadth, options, volatility
+    and junk demand, 50 where their series is missing, and the mean of seven (the safe-haven gauge is
+    always 50, as published). refs: (bar_ts, vix, put_call, junk_yield, treasury_yield), one row a bar."""
+    cols = ["vix", "put_call", "junk_yield", "treasury_yield"]
+    b = bars.select("sym", "bar_ts", "close")
+    b = b.join(refs.select("bar_ts", *cols), "bar_ts", "left") if refs is not None else b.select("*", *[F.lit(None).cast("double").alias(c) for c in cols])
+
+    def centred(x: np.ndarray, n: int) -> np.ndarray:
+        s = pd.Series(x).rolling(n, min_periods=1)
+        m, sd = s.mean().to_numpy(), s.std(ddof=0).to_numpy()
+        return np.where(np.isnan(x) | ~(sd > 0), 50.0, np.clip(50 + (x - m) / sd * 15, 0, 100))
+
+    def scaled(x: np.ndarray, n: int) -> np.ndarray:
+        s = pd.Series(x).rolling(n, min_periods=1)
+        lo, hi = s.min().to_numpy(), s.max().to_numpy()
+        return np.where(np.isnan(x) | ~(hi > lo), 50.0, np.clip((x - lo) / (hi - lo) * 100, 0, 100))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bar_ts", kind="stable").reset_index(drop=True)
+        c, vix, pc, jy, ty = (pdf[x].to_numpy(np.float64) for x in ("close", *cols))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            base = K.sma(c, 125)
+            momentum = centred(np.where(base == 0, 0.0, (c / base - 1) * 100), span)
+            calm = K.sma(vix, 50)
+            gauges = {
+                "momentum": momentum, "strength": scaled(K.wilder_rsi(c), span), "options": centred(-K.sma(pc, 5), span),
+                "volatility": centred(1 - np.where(calm == 0, 1.0, vix / calm), span), "junk": scaled((jy - ty) - K.sma(jy - ty, 5), 100),
+            }
+        ready = np.arange(len(c)) >= least_bars - 1
+        mean = (sum(gauges.values()) + 100.0) / 7
+        return pd.DataFrame({"sym": pdf["sym"], "bar_ts": pdf["bar_ts"], **{k: np.where(ready, v, 50.0) for k, v in gauges.items()}, "overall": np.where(ready, mean, 50.0)})
+
+    return b.groupBy("sym").applyInPandas(run, "sym string, bar_ts timestamp, momentum double, strength double, options double, volatility double, junk double, overall double")

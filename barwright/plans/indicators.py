@@ -116,3 +116,97 @@ def zigzag(spark, sf_dir):
 
 
 QUERIES["zigzag"] = zigzag
+
+
+def recursive_values(spark, sf_dir):
+    v = recursive.values(B.hourly(spark, sf_dir))
+    return v.select("sym", "bar_ts", *[F.round(c, 6).alias(c) for c in ("ema9", "ema21", "macd", "macd_signal", "supertrend_upper", "supertrend_lower")])
+
+
+QUERIES["recursive_values"] = recursive_values
+ORACLES["recursive_values"] = f"""
+    WITH {sql.HOURLY}, {sql.KERNELS}, l AS (SELECT *, list(tr) {PAST} AS trs, {_ewm('close', 9)} AS ema9, {_ewm('close', 21)} AS ema21, {_ewm('close', 12, True)} - {_ewm('close', 26, True)} AS line FROM k1),
+    a AS (SELECT *, {_ewm('line', 9, True)} AS sig, CASE WHEN idx < 10 THEN list_avg(trs) ELSE list_reduce(list_prepend(list_avg(trs[1:10]), trs[11:]), lambda acc, x: x / 10 + acc * 0.9) END AS atr FROM l)
+    SELECT sym, bar_ts, round(ema9, 6) AS ema9, round(ema21, 6) AS ema21, round(line, 6) AS macd, round(sig, 6) AS macd_signal, round((high + low) / 2 + 3 * atr, 6) AS supertrend_upper, round((high + low) / 2 - 3 * atr, 6) AS supertrend_lower FROM a"""
+
+
+def all_values(spark, sf_dir):
+    """Stops, Wilder's indices and gap lines, which SQL can't fold."""
+    return recursive.values(B.hourly(spark, sf_dir))
+
+
+QUERIES["all_values"] = all_values
+
+_LAST9 = f"list(close) OVER ({sql.W} ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)"
+_ALMA = [2.718281828459045 ** (-((s - 0.85 * 8) ** 2) / (2 * 9.0)) for s in range(9)]
+
+
+def _weighted(weights):
+    return f"CASE WHEN len(x) = 9 THEN ({' + '.join(f'x[{i + 1}] * {w!r}::DOUBLE' for i, w in enumerate(weights))}) / {sum(weights)!r}::DOUBLE END"
+
+
+def moving_averages(spark, sf_dir):
+    m = recursive.moving_averages(B.hourly(spark, sf_dir))
+    return m.select("sym", "bar_ts", *[F.round(c, 6).alias(c) for c in ("sma", "wma", "vwma", "smma", "lsma", "alma", "ema")])
+
+
+QUERIES["moving_averages"] = moving_averages
+ORACLES["moving_averages"] = f"""WITH {sql.HOURLY}, b AS (SELECT sym, bar_ts, {_LAST9} AS x, list(close) {PAST} AS h FROM bars)
+    SELECT sym, bar_ts, round({_weighted([1.0] * 9)}, 6) AS sma, round({_weighted([float(i) for i in range(1, 10)])}, 6) AS wma, round({_weighted([1.0] * 9)}, 6) AS vwma,
+      round(CASE WHEN len(h) >= 9 THEN list_reduce(list_prepend(list_avg(h[1:9]), h[10:]), lambda acc, v: (acc * 8 + v) / 9) END, 6) AS smma,
+      round(CASE WHEN len(x) = 9 THEN list_avg(x) + ({' + '.join(f'x[{i + 1}] * {i - 4}' for i in range(9))}) / 60.0::DOUBLE * 4 END, 6) AS lsma, round({_weighted(_ALMA)}, 6) AS alma,
+      round(CASE WHEN len(h) >= 9 THEN list_reduce(list_prepend(list_avg(h[1:9]), h[10:]), lambda acc, v: 0.2::DOUBLE * v + 0.8::DOUBLE * acc) END, 6) AS ema FROM b"""
+
+
+def fear_greed_gauges(spark, sf_dir):
+    """Gauges over reference series made from the bars of one symbol."""
+    bars = B.hourly(spark, sf_dir)
+    refs = bars.filter("sym = 'view'").select("bar_ts", (F.col("high") / 10).alias("vix"), (F.col("volume") / 10).alias("put_call"), (F.col("close") / 20).alias("junk_yield"), (F.col("open") / 30).alias("treasury_yield"))
+    return recursive.fear_greed_gauges(bars, refs)
+
+
+QUERIES["fear_greed_gauges"] = fear_greed_gauges
+
+# ---- SQL for kernels with state: recursion over bar numbers, folds over lists ------------------------
+
+_SAR = f"""WITH RECURSIVE {sql.HOURLY}, n AS (SELECT *, row_number() OVER ({sql.W}) - 1 AS i FROM bars),
+    z AS (SELECT a.sym, CASE WHEN c.close < a.close THEN -1 ELSE 1 END AS side, a.high, a.low, a.close FROM n a LEFT JOIN n c ON c.sym = a.sym AND c.i = 2 WHERE a.i = 0),
+    s AS (
+      SELECT sym, 0::BIGINT AS i, side, CASE WHEN side > 0 THEN high ELSE low END AS ep, 0.02::DOUBLE AS af,
+        CASE WHEN side > 0 THEN CASE WHEN low < close THEN low ELSE close * 0.99::DOUBLE END ELSE CASE WHEN high > close THEN high ELSE close * 1.01::DOUBLE END END AS sar FROM z
+      UNION ALL
+      SELECT sym, i, CASE WHEN broken THEN -side ELSE side END, CASE WHEN broken THEN CASE WHEN side > 0 THEN low ELSE high END WHEN fresh THEN CASE WHEN side > 0 THEN high ELSE low END ELSE ep END,
+        CASE WHEN broken THEN 0.02::DOUBLE WHEN fresh THEN least(af + 0.02::DOUBLE, 0.2::DOUBLE) ELSE af END, CASE WHEN broken THEN ep ELSE stop END
+      FROM (SELECT q.*, side * (close - stop) < 0 AS broken, CASE WHEN side > 0 THEN high > ep ELSE low < ep END AS fresh
+            FROM (SELECT s.sym, n.i, s.side, s.ep, s.af, n.high, n.low, n.close,
+                    CASE WHEN s.side > 0 THEN least(s.sar + s.af * (s.ep - s.sar), s.sar, p.high) ELSE greatest(s.sar + s.af * (s.ep - s.sar), s.sar, p.low) END AS stop
+                  FROM s JOIN n ON n.sym = s.sym AND n.i = s.i + 1 JOIN n p ON p.sym = s.sym AND p.i = s.i) q) r)
+    SELECT n.sym, n.bar_ts, CASE WHEN n.i < 4 THEN 'HOLD' WHEN close > sar THEN 'BUY' WHEN close < sar THEN 'SELL' ELSE 'HOLD' END AS state,
+      round(CASE WHEN n.i < 4 THEN 0.0 ELSE greatest(-1.0, least(1.0, (close - sar) / close)) END::DOUBLE, 5) + 0.0::DOUBLE AS score FROM n JOIN s ON s.sym = n.sym AND s.i = n.i"""
+ORACLES["parabolic_sar"] = _SAR
+
+
+def _wilder(h: str, n: int = 14) -> str:
+    """Wilder's average at the end of a list."""
+    return f"CASE WHEN len({h}) >= {n} THEN list_reduce(list_prepend(list_avg({h}[1:{n}]), {h}[{n + 1}:]), lambda acc, v: (acc * {n - 1} + v) / {n}) END"
+
+
+ORACLES["ufvg"] = f"""WITH {sql.HOURLY}, {sql.KERNELS},
+    m AS (SELECT sym, bar_ts, idx, tr, CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0.0 END AS pd, CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0.0 END AS md FROM k1),
+    l AS (SELECT sym, bar_ts, idx, list(tr) {PAST} AS ht, list(pd) {PAST} AS hp, list(md) {PAST} AS hm FROM m),
+    w AS (SELECT sym, bar_ts, idx, {_wilder('ht')} AS t, {_wilder('hp')} AS p, {_wilder('hm')} AS m FROM l),
+    d AS (SELECT sym, bar_ts, idx, 100 * p / nullif(t, 0) AS pdi, 100 * m / nullif(t, 0) AS mdi, coalesce(100 * abs(p - m) / nullif(p + m, 0), 0) AS dx FROM w),
+    x AS (SELECT *, list(dx) {PAST} AS hx FROM d), y AS (SELECT *, {_wilder('hx')} AS adx FROM x),
+    g AS (SELECT *, lag(adx) OVER ({sql.W}) < 14 AS calm, pdi - lag(pdi) OVER ({sql.W}) > 10 AS up, mdi - lag(mdi) OVER ({sql.W}) > 10 AS down FROM y),
+    v AS (SELECT sym, bar_ts, CASE WHEN idx < 59 OR NOT coalesce(calm, false) THEN 0 WHEN up AND NOT down THEN -1 WHEN down AND NOT up THEN 1 ELSE 0 END AS s FROM g)
+    SELECT sym, bar_ts, CASE s WHEN 1 THEN 'BUY' WHEN -1 THEN 'SELL' ELSE 'HOLD' END AS state, s * 0.5::DOUBLE AS score FROM v"""
+
+ORACLES["echo_chamber"] = f"""WITH {sql.HOURLY}, n AS (SELECT sym, bar_ts, close, row_number() OVER ({sql.W}) - 1 AS i FROM bars),
+    k AS (SELECT sym, i, list(close) OVER ({sql.W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS x FROM n),
+    u AS (SELECT sym, i, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM k WHERE i >= 19),
+    z AS (SELECT sym, i, avg(v) AS m, sqrt(greatest(sum(v * v) - 20 * avg(v) * avg(v), 0)) AS sz, max(v) > min(v) AS moves FROM u GROUP BY ALL),
+    q AS (SELECT u.sym, u.i, list((v - m) / sz ORDER BY j) AS y FROM u JOIN z USING (sym, i) WHERE moves GROUP BY ALL),
+    c AS (SELECT a.sym, a.i, b.i - 19 AS s, round(list_dot_product(a.y, b.y), 9) AS r FROM q a JOIN q b ON b.sym = a.sym AND b.i - 19 < least(320, a.i + 1 - 40) WHERE a.i >= 59),
+    t AS (SELECT sym, i, max(r) AS r, arg_max(s, (r, -s)) AS s FROM c GROUP BY ALL),
+    e AS (SELECT t.sym, t.i, r, sign(b.close - a.close) AS way FROM t JOIN n a ON a.sym = t.sym AND a.i = t.s + 20 JOIN n b ON b.sym = t.sym AND b.i = t.s + 39 WHERE r >= 0.8)
+    SELECT n.sym, n.bar_ts, CASE WHEN way > 0 THEN 'BUY' WHEN way < 0 THEN 'SELL' ELSE 'HOLD' END AS state, round(coalesce(greatest(-1.0, least(1.0, r)) * way, 0)::DOUBLE, 5) + 0.0::DOUBLE AS score FROM n LEFT JOIN e ON e.sym = n.sym AND e.i = n.i"""

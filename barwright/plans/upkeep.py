@@ -104,7 +104,8 @@ def validate_ohlcv(spark, sf_dir):
     return Q.validate(b).select("sym", F.array_join("issues", "; ").alias("issues"), "passed")
 
 
-@query()
+@query(f"""{MOVES}, r AS (SELECT *, CASE WHEN move < -0.3 THEN round(1 / nullif(1 + move, 0), 4) ELSE 1 END AS ratio FROM mv),
+    j AS (SELECT sym, max(abs(round((1 + move) * ratio - 1, 8))) AS largest FROM r GROUP BY 1) SELECT sym, true AS passed, '' AS reason, coalesce(largest <= 0.1, true) AS smooth FROM j""")
 def clean_ohlcv(spark, sf_dir):
     return Q.clean(_bars(spark, sf_dir))[1].select("sym", "passed", "reason", "smooth")
 
@@ -368,10 +369,17 @@ def put_call(spark, sf_dir):
     return O.put_call(_chain(spark, sf_dir)).select("sym", R("put_call", 6).alias("put_call"))
 
 
-@query()
+@query(f"""WITH {CHAIN}, pain AS (SELECT k.sym, k.strike, round(sum(greatest(0, k.strike - o.strike) * o.co + greatest(0, o.strike - k.strike) * o.po), 4) AS pain FROM bs k JOIN bs o ON o.sym = k.sym JOIN sp ON sp.sym = k.sym WHERE k.strike BETWEEN 0.1 * price AND 3 * price GROUP BY ALL),
+    b AS (SELECT sym, arg_min(strike, (pain, strike)) AS mp FROM pain GROUP BY 1), g AS (SELECT bs.sym, strike, (co - po) * exp(-0.5 * pow(abs(strike - price) / price * 10, 2)) AS net FROM bs JOIN sp USING (sym) WHERE strike BETWEEN 0.1 * price AND 3 * price),
+    r AS (SELECT *, round(sum(net) OVER (PARTITION BY sym ORDER BY strike), 6) AS run FROM g), t AS (SELECT *, round(run + net, 6) AS again FROM r),
+    ga AS (SELECT sym, sum(net) AS ng, min(strike) FILTER ((run > 0 AND again <= 0) OR (run < 0 AND again >= 0)) AS flip FROM t GROUP BY 1),
+    pc AS (SELECT sym, coalesce(sum(volume) FILTER (side = 'put') / nullif(sum(volume) FILTER (side = 'call'), 0), 0) AS pc FROM ch GROUP BY 1),
+    j AS (SELECT sp.sym, price, coalesce(mp, price) AS mp, coalesce(ng, 0) AS ng, flip, pc FROM sp LEFT JOIN b USING (sym) LEFT JOIN ga USING (sym) LEFT JOIN pc USING (sym)), o AS (SELECT *, abs(price - mp) / price * 100 AS off_ FROM j)
+    SELECT sym, round(greatest(-1.0, least(1.0, (mp - price) / price * least(off_ / 10, 1.0) * 0.4 + sign(ng) * 0.05 * 0.35 + CASE WHEN pc > 0 THEN (1 - pc) * 0.15 * 0.25 ELSE 0 END))::DOUBLE, 4) AS bias,
+      round((CASE WHEN off_ > 0 THEN 0.1 ELSE 0 END + CASE WHEN ng <> 0 THEN 0.1 ELSE 0 END + CASE WHEN pc > 0 THEN 0.1 ELSE 0 END + 0.2)::DOUBLE, 4) AS confidence, round(off_, 4) AS off_max_pain, flip FROM o""")
 def options_bias(spark, sf_dir):
     b = O.bias(_chain(spark, sf_dir), _spots(spark, sf_dir), F.lit(5))
-    return b.select("sym", R("bias", 4).alias("bias"), R("confidence", 4).alias("confidence"), R("off_max_pain", 2).alias("off_max_pain"), "flip")
+    return b.select("sym", R("bias", 4).alias("bias"), R("confidence", 4).alias("confidence"), R("off_max_pain", 4).alias("off_max_pain"), "flip")
 
 
 @query("""WITH e AS (SELECT CAST(o_custkey AS VARCHAR) AS sym, CAST(o_orderdate AS DATE) AS expiration FROM orders), t AS (SELECT *, datediff('day', DATE '1998-01-01', expiration) AS d FROM e),
