@@ -53,31 +53,30 @@ def largest_move(bars: DataFrame, most: float = 0.10) -> DataFrame:
     return g.withColumn("smooth", F.coalesce(F.col("largest") <= most, F.lit(True)))
 
 
-def _quartiles(col: str) -> DataFrame:
-    return [F.percentile(col, F.lit(q)) for q in (0.25, 0.75)]
+def _flagged(v: DataFrame, k: float, deviations: float) -> DataFrame:
+    """Flags of (sym, field, bar_ts, x): two aggregations joined back, none over all rows of one task."""
+    keys = ["sym", "field"]
+    stats = v.groupBy(*keys).agg(F.percentile("x", F.lit(0.25)).alias("q1"), F.percentile("x", F.lit(0.75)).alias("q3"), F.percentile("x", F.lit(0.5)).alias("med"), F.count("x").alias("n"))
+    d = v.join(stats, keys)
+    mad = d.groupBy(*keys).agg(F.percentile(F.abs(F.col("x") - F.col("med")), F.lit(0.5)).alias("mad"))
+    d = d.join(mad, keys)
+    iqr = F.col("q3") - F.col("q1")
+    by_iqr = (F.col("n") >= 4) & ((F.col("x") < F.round(F.col("q1") - k * iqr, 8)) | (F.col("x") > F.round(F.col("q3") + k * iqr, 8)))
+    by_mad = (F.col("mad") > 0) & (F.round(F.abs(F.col("x") - F.col("med")), 8) > F.round(deviations * MAD_SCALE * F.col("mad"), 8))
+    return d.select("sym", "field", "bar_ts", "x", F.coalesce(by_iqr, F.lit(False)).alias("iqr"), F.coalesce(by_mad, F.lit(False)).alias("mad"))
 
 
 def outliers(bars: DataFrame, col: str = "close", k: float = 1.5, deviations: float = 3.0) -> DataFrame:
     """Flags by quartiles and by median deviation of each symbol's values; fewer than four values have
-    no quartile outlier. Three aggregations a symbol joined back, none over all bars of one task."""
-    v = bars.select("sym", "bar_ts", F.col(col).alias("x"))
-    stats = v.groupBy("sym").agg(F.percentile("x", F.lit(0.25)).alias("q1"), F.percentile("x", F.lit(0.75)).alias("q3"), F.percentile("x", F.lit(0.5)).alias("med"), F.count("x").alias("n"))
-    d = v.join(stats, "sym")
-    mad = d.groupBy("sym").agg(F.percentile(F.abs(F.col("x") - F.col("med")), F.lit(0.5)).alias("mad"))
-    d = d.join(mad, "sym")
-    iqr = F.col("q3") - F.col("q1")
-    by_iqr = (F.col("n") >= 4) & ((F.col("x") < F.round(F.col("q1") - k * iqr, 8)) | (F.col("x") > F.round(F.col("q3") + k * iqr, 8)))
-    by_mad = (F.col("mad") > 0) & (F.round(F.abs(F.col("x") - F.col("med")), 8) > F.round(deviations * MAD_SCALE * F.col("mad"), 8))
-    return d.select("sym", "bar_ts", "x", F.coalesce(by_iqr, F.lit(False)).alias("iqr"), F.coalesce(by_mad, F.lit(False)).alias("mad"))
+    no quartile outlier."""
+    return _flagged(bars.select("sym", F.lit(col).alias("field"), "bar_ts", F.col(col).alias("x")), k, deviations).drop("field")
 
 
-def outlier_report(bars: DataFrame, cols: Sequence[str] = NUMBERS) -> DataFrame:
-    """Numbers of outliers by either rule, by both, and by any, for each symbol and column."""
-    out = None
-    for c in cols:
-        o = outliers(bars, c).groupBy("sym").agg(F.lit(c).alias("field"), F.count_if("iqr").alias("n_iqr"), F.count_if("mad").alias("n_mad"), F.count_if(F.col("iqr") & F.col("mad")).alias("n_both"), F.count_if(F.col("iqr") | F.col("mad")).alias("n_any"))
-        out = o if out is None else out.unionByName(o)
-    return out
+def outlier_report(bars: DataFrame, cols: Sequence[str] = NUMBERS, k: float = 1.5, deviations: float = 3.0) -> DataFrame:
+    """Numbers of outliers by either rule, by both, and by any, for each symbol and column. The columns are
+    turned into rows once, so the bars are read and grouped once for all."""
+    v = bars.unpivot(["sym", "bar_ts"], list(cols), "field", "x")
+    return _flagged(v, k, deviations).groupBy("sym", "field").agg(F.count_if("iqr").alias("n_iqr"), F.count_if("mad").alias("n_mad"), F.count_if(F.col("iqr") & F.col("mad")).alias("n_both"), F.count_if(F.col("iqr") | F.col("mad")).alias("n_any"))
 
 
 def winsorized(bars: DataFrame, cols: Sequence[str] = NUMBERS, clip: float = 0.01) -> DataFrame:
