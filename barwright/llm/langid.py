@@ -37,7 +37,7 @@ LEXICON = 400
 #: Bounds of the training sample.
 PER_LANG, SAMPLE_CHARS, MAX_LANGS = 120, 12_000, 64
 #: Characters labelled at a time, and words whose scores a worker remembers.
-CHUNK, REMEMBERED = 1_500_000, 400_000
+CHUNK, REMEMBERED = 1_500_000, 200_000
 #: Longer words go through the features in a block of their own.
 WIDE = 32
 
@@ -147,6 +147,10 @@ class Crf:
     _known: dict[str, int] = field(default_factory=dict)
     _scores: np.ndarray | None = None
 
+    def fresh(self) -> Crf:
+        """The same weights with an empty memory, so that what a task remembers goes with it."""
+        return Crf(self.langs, self.weights, self.lexicon, self.lexicon_weights, self.start, self.move)
+
     def word_scores(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.langs)), np.float32)
         for rows, buckets in features(words):
@@ -292,7 +296,7 @@ def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
+        m = shipped.value.fresh()
         for b in batches:
             got = m.predict([t or "" for t in b.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())],
@@ -310,7 +314,7 @@ def keep_identified(docs: DataFrame, model: Crf, min_score: float = 0.3, text_co
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
+        m = shipped.value.fresh()
         for b in batches:
             got = m.predict([t or "" for t in b.column(at).to_pylist()])
             yield b.filter(pa.array([lang != "und" and s >= min_score for lang, s in got], pa.bool_()))

@@ -201,7 +201,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, classes: DataFrame, id_col: str, t
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
     rows = rows.filter(maybe("row_key"))
     got = rows.join(want.hint("merge"), (rows["row_key"] == want["row_key"]) & rows["id"].eqNullSafe(want["rep_id"])).select("cls", "text")
-    return cut(got.dropDuplicates(["cls"]), "confirm-texts")
+    return cut(got.dropDuplicates(["cls"]), "confirm-texts", fewer=2)
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
@@ -215,7 +215,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: in
             keep = [similar(shingle_set(x, shingle, hashes), shingle_set(y, shingle, hashes), num, den) for x, y in zip(r.column(2).to_pylist(), r.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([r.column(0), r.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return cut(both.mapInArrow(run, "a binary, b binary"), "links")
+    return cut(both.mapInArrow(run, "a binary, b binary"), "links", fewer=2)
 
 
 def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -267,23 +267,31 @@ def _forest_links(group: list[tuple[bytes, bytes, str]], shingle: int, num: int,
 
 
 def _rest(dense: DataFrame, comp: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """Links between different components of a region that is larger than what neighbours cover. Its
-    members are dealt into blocks of bounded rows and characters; every two blocks meet in one group."""
+    """Links between different components of a region that is larger than what neighbours cover. The
+    region's largest component and its other members are dealt into blocks of bounded rows and
+    characters; blocks of others meet each other and those of the largest component, whose own pairs
+    aren't needed."""
     rows = dense.join(comp.select(F.col("node").alias("cls"), "comp").hint("merge"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     rows = cut(rows.join(texts.select("cls", F.length("text").alias("chars")).hint("merge"), "cls"), "rest-rows", fewer=8)
     per = rows.groupBy("tree", "region", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
-    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_ROWS), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int")
-    regions = cut(per.groupBy("tree", "region").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("comps")).filter("comps > 1"), "rest-regions", fewer=8)
-    dealt = rows.join(regions.hint("merge"), ["tree", "region"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("tree", "region", "cls", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("block", "other")
-    full = dealt.join(texts.hint("merge"), "cls")
+    total = per.groupBy("tree", "region").agg(F.max_by(F.struct("comp", "n", "chars"), F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("comps"))
+
+    def blocks(n, chars):
+        return F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(chars / BLOCK_CHARS), F.lit(1)).cast("int")
+
+    regions = total.filter("comps > 1").select("tree", "region", F.col("main.comp").alias("main"), blocks(F.col("main.n"), F.col("main.chars")).alias("mains"), blocks(F.col("n") - F.col("main.n"), F.col("chars") - F.col("main.chars")).alias("others"))
+    dealt = cut(rows.join(cut(regions, "rest-regions", fewer=8).hint("merge"), ["tree", "region"]).withColumns({"other": F.col("comp") != F.col("main"), "h": F.xxhash64("cls")}), "rest-dealt", fewer=8)
+    key, each = ["tree", "region", "cls", "comp"], lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mains = dealt.filter("not other").select(*key, F.lit("across").alias("kind"), F.pmod("h", "mains").cast("int").alias("i"), each("others").alias("j"))
+    across = dealt.filter("other").select(*key, F.lit("across").alias("kind"), each("mains").alias("i"), F.pmod("h", "others").cast("int").alias("j"))
+    among = dealt.filter("other").select(*key, F.pmod("h", "others").cast("int").alias("x"), each("others").alias("y")).select(*key, F.lit("among").alias("kind"), F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
+    full = mains.unionByName(across).unionByName(among).join(texts.hint("merge"), "cls")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         group = list(zip(pdf["cls"].map(bytes), pdf["comp"].map(bytes), pdf["text"], strict=True))
         return pd.DataFrame(_forest_links(group, shingle, num, den), columns=["a", "b"])
 
-    found = full.groupBy("tree", "region", "i", "j").applyInPandas(run, "a binary, b binary")
+    found = full.groupBy("tree", "region", "kind", "i", "j").applyInPandas(run, "a binary, b binary")
     return cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest-links", fewer=8)
 
 
