@@ -37,7 +37,9 @@ LEXICON = 400
 #: Bounds of the training sample.
 PER_LANG, SAMPLE_CHARS, MAX_LANGS = 120, 12_000, 64
 #: Characters labelled at a time, and words whose scores a worker remembers.
-CHUNK, REMEMBERED = 1_500_000, 200_000
+CHUNK, REMEMBERED = 800_000, 200_000
+#: Rows whose texts a worker holds as strings at a time.
+ROWS = 512
 #: Longer words go through the features in a block of their own.
 WIDE = 32
 
@@ -291,6 +293,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(sample)
 
 
+def _predicted(m: Crf, texts: pa.Array) -> list[tuple[str, float]]:
+    return [x for i in range(0, len(texts), ROWS) for x in m.predict([t or "" for t in texts.slice(i, ROWS).to_pylist()])]
+
+
 def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row; one pass, no shuffle."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
@@ -298,7 +304,7 @@ def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value.fresh()
         for b in batches:
-            got = m.predict([t or "" for t in b.column(2).to_pylist()])
+            got = _predicted(m, b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())],
                                              names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -316,7 +322,7 @@ def keep_identified(docs: DataFrame, model: Crf, min_score: float = 0.3, text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value.fresh()
         for b in batches:
-            got = m.predict([t or "" for t in b.column(at).to_pylist()])
+            got = _predicted(m, b.column(at))
             yield b.filter(pa.array([lang != "und" and s >= min_score for lang, s in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

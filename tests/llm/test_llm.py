@@ -321,7 +321,7 @@ def test_language_of_held_out_rows(spark, model, rows):
 
 def test_words_of_mixed_text(model, rows):
     by = {lang: next(t for _, t, x in rows if x == lang and len(t) > 800) for lang in ("en", "de")}
-    chain = langid.lines(by["en"])[0][:12] + langid.lines(by["de"])[0][:12]
+    chain = [w for lang in ("en", "de") for w in [w for line in langid.lines(by[lang]) for w in line][:12]]
     p = model.label([chain])
     i = {x: k for k, x in enumerate(model.langs)}
     assert p[: len(chain) // 2, i["en"]].mean() > 0.7 and p[len(chain) // 2 :, i["de"]].mean() > 0.7
