@@ -58,8 +58,10 @@ class DigestIndex:
         return dealt.join(self.table().hint("merge").select("digest"), "digest", "left_anti")
 
     def append(self, fresh: DataFrame) -> None:
-        rows = fresh.select("digest", "keep_id").repartition(self.buckets, "digest").sortWithinPartitions("digest")
-        rows.write.insertInto(self.name)
+        # the bucket as Spark's writer takes it; in order of buckets each task writes few files, one as a rule
+        rows = fresh.select("digest", "keep_id", F.pmod(F.hash("digest"), F.lit(self.buckets)).alias("bucket"))
+        rows = rows.repartitionByRange(self.buckets, "bucket").sortWithinPartitions("bucket", "digest")
+        rows.select("digest", "keep_id").write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 
     def drop(self) -> None:
