@@ -30,10 +30,10 @@ def cut(df: DataFrame, name: str, codec: str = "zstd", fewer: int = 1) -> DataFr
     without computing it again, and so that plans see it as an input of their own.
 
     fewer: for tables much narrower than what they are made from, the files (and last tasks) are this
-    many times fewer than shuffle partitions, eight at least."""
+    many times fewer than shuffle partitions, two at least."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/barwright/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    out = df if fewer == 1 else df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // fewer))
+    out = df if fewer == 1 else df.coalesce(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // fewer))
     out.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

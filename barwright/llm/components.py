@@ -23,7 +23,7 @@ def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
 
     A table of at most `one_task` distinct links, which is counted first, goes through one task (about
     100 MB at the bound). Anything larger goes through `contracted`; the results are the same."""
-    edges = cut(links.select("a", "b").filter("a <> b").distinct(), "cc-links", fewer=8)
+    edges = cut(links.select("a", "b").filter("a <> b").distinct(), "cc-links", fewer=32)
     if edges.limit(one_task + 1).count() > one_task:
         return contracted(edges)
 
@@ -47,7 +47,7 @@ def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
             part = nodes[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([root(x) for x in part], pa.binary())], names=["node", "comp"])
 
-    return cut(edges.repartition(1).mapInArrow(run, "node binary, comp binary"), "cc-found", fewer=8)
+    return cut(edges.repartition(1).mapInArrow(run, "node binary, comp binary"), "cc-found", fewer=32)
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -62,20 +62,20 @@ def contracted(edges: DataFrame) -> DataFrame:
     found = None
     while not edges.isEmpty():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")), "cc-up", fewer=8)
+        up = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")), "cc-up", fewer=32)
         for _ in range(JUMPS):
             above = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            up = cut(up.join(above.hint("merge"), "up").select("node", F.col("top").alias("up")), "cc-up", fewer=8)
+            up = cut(up.join(above.hint("merge"), "up").select("node", F.col("top").alias("up")), "cc-up", fewer=32)
         if found is None:
             found = up.select("node", F.col("up").alias("comp"))
         else:
             step = up.select(F.col("node").alias("comp"), "up")
-            found = cut(found.join(step.hint("merge"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "cc-found", fewer=8)
-        ends = cut(edges.join(up.select(F.col("node").alias("a"), F.col("up").alias("x")).hint("merge"), "a").select("x", "b"), "cc-ends", fewer=8)
+            found = cut(found.join(step.hint("merge"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "cc-found", fewer=32)
+        ends = cut(edges.join(up.select(F.col("node").alias("a"), F.col("up").alias("x")).hint("merge"), "a").select("x", "b"), "cc-ends", fewer=32)
         ends = ends.join(up.select(F.col("node").alias("b"), F.col("up").alias("y")).hint("merge"), "b").filter("x <> y")
-        edges = cut(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-links", fewer=8)
+        edges = cut(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-links", fewer=32)
     if found is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     # the node that a round ends at isn't always the least of its component
-    least = cut(found.groupBy("comp").agg(F.least(F.min("node"), F.first("comp")).alias("least")), "cc-least", fewer=8)
-    return cut(found.join(least.hint("merge"), "comp").select("node", F.col("least").alias("comp")), "cc-found", fewer=8)
+    least = cut(found.groupBy("comp").agg(F.least(F.min("node"), F.first("comp")).alias("least")), "cc-least", fewer=32)
+    return cut(found.join(least.hint("merge"), "comp").select("node", F.col("least").alias("comp")), "cc-found", fewer=32)

@@ -73,12 +73,12 @@ def _verdicts(docs: DataFrame, index: DigestIndex, id_col: str, text_col: str) -
     groups = cut(
         docs.select(F.col(id_col).cast("long").alias("id"), digest(text_col).alias("digest"))
         .groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")),
-        "digest-groups", fewer=8,
+        "digest-groups", fewer=32,
     )
     index.append(index.unseen(groups))
     known = index.table().select("digest", "keep_id")
     out = groups.select("digest", "group_size").repartition(index.buckets, "digest").join(known.hint("merge"), "digest")
-    return cut(out.select("digest", "keep_id", "group_size"), "digest-verdicts", fewer=8)
+    return cut(out.select("digest", "keep_id", "group_size"), "digest-verdicts", fewer=32)
 
 
 def annotate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -185,7 +185,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, classes: DataFrame, id_col: str, t
     """(cls, text) of the given classes. A bit filter of fixed size over row keys spares most texts the
     shuffle; the join behind it is exact."""
     spark = docs.sparkSession
-    want = cut(classes.join(nodes.hint("merge"), "cls").select("cls", "rep.row_key", F.col("rep.doc_id").alias("rep_id")), "confirm-keys", fewer=8)
+    want = cut(classes.join(nodes.hint("merge"), "cls").select("cls", "rep.row_key", F.col("rep.doc_id").alias("rep_id")), "confirm-keys", fewer=32)
     spot = F.pmod(F.col("row_key"), F.lit(FILTER_BITS)) + 1
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     # at most FILTER_BITS / 32768 rows of 4 KB
@@ -201,7 +201,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, classes: DataFrame, id_col: str, t
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
     rows = rows.filter(maybe("row_key"))
     got = rows.join(want.hint("merge"), (rows["row_key"] == want["row_key"]) & rows["id"].eqNullSafe(want["rep_id"])).select("cls", "text")
-    return cut(got.dropDuplicates(["cls"]), "confirm-texts", fewer=2)
+    return cut(got.dropDuplicates(["cls"]), "confirm-texts", fewer=4)
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
@@ -215,7 +215,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: in
             keep = [similar(shingle_set(x, shingle, hashes), shingle_set(y, shingle, hashes), num, den) for x, y in zip(r.column(2).to_pylist(), r.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([r.column(0), r.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return cut(both.mapInArrow(run, "a binary, b binary"), "links", fewer=2)
+    return cut(both.mapInArrow(run, "a binary, b binary"), "links", fewer=4)
 
 
 def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -272,7 +272,7 @@ def _rest(dense: DataFrame, comp: DataFrame, texts: DataFrame, shingle: int, num
     characters; blocks of others meet each other and those of the largest component, whose own pairs
     aren't needed."""
     rows = dense.join(comp.select(F.col("node").alias("cls"), "comp").hint("merge"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    rows = cut(rows.join(texts.select("cls", F.length("text").alias("chars")).hint("merge"), "cls"), "rest-rows", fewer=8)
+    rows = cut(rows.join(texts.select("cls", F.length("text").alias("chars")).hint("merge"), "cls"), "rest-rows", fewer=32)
     per = rows.groupBy("tree", "region", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
     total = per.groupBy("tree", "region").agg(F.max_by(F.struct("comp", "n", "chars"), F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("comps"))
 
@@ -280,7 +280,7 @@ def _rest(dense: DataFrame, comp: DataFrame, texts: DataFrame, shingle: int, num
         return F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(chars / BLOCK_CHARS), F.lit(1)).cast("int")
 
     regions = total.filter("comps > 1").select("tree", "region", F.col("main.comp").alias("main"), blocks(F.col("main.n"), F.col("main.chars")).alias("mains"), blocks(F.col("n") - F.col("main.n"), F.col("chars") - F.col("main.chars")).alias("others"))
-    dealt = cut(rows.join(cut(regions, "rest-regions", fewer=8).hint("merge"), ["tree", "region"]).withColumns({"other": F.col("comp") != F.col("main"), "h": F.xxhash64("cls")}), "rest-dealt", fewer=8)
+    dealt = cut(rows.join(cut(regions, "rest-regions", fewer=32).hint("merge"), ["tree", "region"]).withColumns({"other": F.col("comp") != F.col("main"), "h": F.xxhash64("cls")}), "rest-dealt", fewer=32)
     key, each = ["tree", "region", "cls", "comp"], lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mains = dealt.filter("not other").select(*key, F.lit("across").alias("kind"), F.pmod("h", "mains").cast("int").alias("i"), each("others").alias("j"))
     across = dealt.filter("other").select(*key, F.lit("across").alias("kind"), each("mains").alias("i"), F.pmod("h", "others").cast("int").alias("j"))
@@ -292,7 +292,7 @@ def _rest(dense: DataFrame, comp: DataFrame, texts: DataFrame, shingle: int, num
         return pd.DataFrame(_forest_links(group, shingle, num, den), columns=["a", "b"])
 
     found = full.groupBy("tree", "region", "kind", "i", "j").applyInPandas(run, "a binary, b binary")
-    return cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest-links", fewer=8)
+    return cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest-links", fewer=32)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,31 +307,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         rows.filter("n_shingles > 0").groupBy("cls")
         .agg(F.min("doc_id").alias("low"), F.min(F.struct("row_key", "doc_id", "sig")).alias("rep"))
         .select("cls", "low", F.struct("rep.row_key", "rep.doc_id").alias("rep"), "rep.sig"),
-        "classes", fewer=4,
+        "classes", fewer=8,
     )
     forest = _forest(classes, base)
     pairs = forest.filter(F.col("kind") == _PAIR).select("a", "b", "common").unionAll(_across(forest, base))
-    pairs = cut(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees"), F.max("common").alias("common")), "pairs", fewer=8)
+    pairs = cut(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees"), F.max("common").alias("common")), "pairs", fewer=32)
     texts = _texts(docs, pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct(), classes, id_col, text_col)
 
     # the best candidate of each class first: most of a group is joined before its other pairs are looked at
-    best = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("trees", "common", "a")).alias("a")), "best", fewer=8)
+    best = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("trees", "common", "a")).alias("a")), "best", fewer=32)
     links = _confirm(best, texts, shingle, num, den)
     comp = components(links)
-    more = cut(_between(pairs, comp).select("a", "b").join(best.hint("merge"), ["a", "b"], "left_anti"), "more", fewer=8)
+    more = cut(_between(pairs, comp).select("a", "b").join(best.hint("merge"), ["a", "b"], "left_anti"), "more", fewer=32)
     if not more.isEmpty():
         links = links.unionAll(_confirm(more, texts, shingle, num, den))
         comp = components(links)
 
-    dense = cut(forest.filter(F.col("kind") == _DENSE).select("tree", F.col("path").alias("region"), F.col("a").alias("cls")).distinct(), "dense", fewer=8)
+    dense = cut(forest.filter(F.col("kind") == _DENSE).select("tree", F.col("path").alias("region"), F.col("a").alias("cls")).distinct(), "dense", fewer=32)
     if not dense.isEmpty():
         joined = _rest(dense, comp, texts, shingle, num, den)
         if not joined.isEmpty():
             comp = components(links.unionAll(joined))
 
-    named = cut(classes.select("cls", "low").join(comp.select(F.col("node").alias("cls"), "comp").hint("merge"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "class-components", fewer=8)
-    lows = cut(named.groupBy("comp").agg(F.min("low").alias("component_id")), "component-ids", fewer=8)
-    final = cut(named.join(lows.hint("merge"), "comp").select("cls", "component_id"), "class-ids", fewer=8)
+    named = cut(classes.select("cls", "low").join(comp.select(F.col("node").alias("cls"), "comp").hint("merge"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "class-components", fewer=32)
+    lows = cut(named.groupBy("comp").agg(F.min("low").alias("component_id")), "component-ids", fewer=32)
+    final = cut(named.join(lows.hint("merge"), "comp").select("cls", "component_id"), "class-ids", fewer=32)
     out = rows.select("doc_id", "row_key", "n_shingles", "cls").join(final.hint("merge"), "cls", "left")
     component = F.coalesce("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "row_key")
@@ -341,4 +341,4 @@ def dedup(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_c
     """The rows of docs that stay, one of each group, with all their columns."""
     keys = near_duplicates(docs, shingle, num, den, id_col, text_col).filter("kept").select("row_key").distinct()
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"))
-    return rows.join(cut(keys, "kept-keys", fewer=8).hint("merge"), "row_key", "left_semi").dropDuplicates(["row_key"]).select("row.*")
+    return rows.join(cut(keys, "kept-keys", fewer=32).hint("merge"), "row_key", "left_semi").dropDuplicates(["row_key"]).select("row.*")
