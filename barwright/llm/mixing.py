@@ -1,12 +1,17 @@
 """Mixing sources to target weights by Pfair scheduling (operator 2).
 
-Each source's rows are put into a random but fixed order and cut into blocks. Block k of a source of
-weight w may not start before slot floor(k / w) (its release) and must be out by slot
-ceil((k + 1) / w) (its deadline); earliest-deadline-first over the released blocks keeps every source
-less than one block away from its share in every prefix. With weights as whole quotas of a period the
-schedule repeats, so one period is worked out on the driver and every row finds its slot by
-arithmetic. When a source has run out, the rest go on with their weights scaled up (a new phase, with
-a period of its own). No row is dropped or repeated.
+Each source's rows are put into a random but fixed order and cut into blocks. Ideally every source runs
+at its weight without a break, and when one has run out the rest go on with their weights scaled up.
+Block k of a source may not start before the slot in which the ideal has k blocks of it (its release)
+and must be out by the slot in which the ideal has k + 1 (its deadline); earliest-deadline-first over
+the released blocks keeps every source less than one block away from the ideal in every prefix. Weights
+are taken as the exact rationals that the given numbers are, and all blocks are scheduled on the driver,
+one heap step a block; 4 bytes a block (rows / block_rows of them) go to the workers. No row is dropped
+or repeated.
+
+With `period` given, weights are rounded to whole quotas of so many slots instead, and one period of each
+phase is worked out and repeated: what is sent does not grow with the rows, but prefixes keep to the
+rounded weights, not to the targets.
 
 Rows of a source are numbered without bringing them together: they are spread over buckets of the
 hash that orders them, numbered within each bucket, and shifted by the sizes of the buckets before.
@@ -24,9 +29,12 @@ Defined results
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
 from bisect import bisect_right
 from collections.abc import Mapping
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -36,9 +44,9 @@ from pyspark.sql import functions as F
 
 from barwright.llm.common import cut
 
-#: Slots of one period: the resolution of the weights.
+#: Slots of one period in `schedule`: the resolution of its weights.
 PERIOD = 1000
-#: Sources at most; the schedule sent to the workers has at most MAX_SOURCES * PERIOD numbers a phase.
+#: Sources at most.
 MAX_SOURCES = 1000
 #: Rows in one numbering bucket: total / BUCKETS, within these bounds. The table of bucket sizes has
 #: at most one row for each BUCKET_ROWS[0] rows, and about total / BUCKET_ROWS[1] at large sizes.
@@ -120,6 +128,54 @@ def place(phases: list[Phase], source: int, block: np.ndarray) -> np.ndarray:
     return out
 
 
+def exact_order(blocks: list[int], weights: list[float]) -> np.ndarray:
+    """The source of every slot: earliest deadline first in windows of the exact weights.
+
+    At the moment v of a common clock the ideal has min(w * v, n) blocks of a source of weight w and n
+    blocks; its slots until then are done + rate * v, with the blocks of the sources that have run out
+    and the weights of the others. All are whole numbers or quotients of them, so nothing is rounded."""
+    ratios = [Fraction(w) for w in weights]
+    unit = math.lcm(*[r.denominator for r in ratios]) if ratios else 1
+    whole = [int(r * unit) for r in ratios]
+    ends = sorted((i for i in range(len(blocks)) if blocks[i]), key=lambda i: (Fraction(blocks[i], whole[i]), i))
+    done, rate = [0], [sum(whole[i] for i in ends)]
+    for i in ends:
+        done.append(done[-1] + blocks[i])
+        rate.append(rate[-1] - whole[i])
+    at = [0] * len(blocks)  # sources that have run out before a source's next moment
+
+    def moment(i: int, k: int) -> tuple[int, int]:
+        """The ideal's slots when it has k blocks of source i, rounded down and up."""
+        while k * whole[ends[at[i]]] > blocks[ends[at[i]]] * whole[i]:
+            at[i] += 1
+        d, r = done[at[i]], rate[at[i]] * k
+        return d + r // whole[i], d - (-r // whole[i])
+
+    out, used = array("H"), [0] * len(blocks)
+    deadline = [moment(i, 1)[1] if blocks[i] else 0 for i in range(len(blocks))]
+    coming = [(0, i) for i in sorted(ends)]  # (release, source)
+    ready: list[tuple[int, int]] = []  # (deadline, source)
+    for t in range(sum(blocks)):
+        while coming and coming[0][0] <= t:
+            _, i = heapq.heappop(coming)
+            heapq.heappush(ready, (deadline[i], i))
+        _, i = heapq.heappop(ready)
+        out.append(i)
+        used[i] += 1
+        if used[i] < blocks[i]:
+            release = moment(i, used[i])[0]
+            deadline[i] = moment(i, used[i] + 1)[1]
+            heapq.heappush(coming, (max(t + 1, release), i))
+    return np.frombuffer(out, np.uint16) if out else np.zeros(0, np.uint16)
+
+
+def slots_by_source(order: np.ndarray, sources: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of all blocks, source after source, and where each source's begin."""
+    slots = np.argsort(order, kind="stable")
+    first = np.concatenate([[0], np.cumsum(np.bincount(order, minlength=sources))])
+    return slots.astype(np.int32 if len(order) < 2**31 else np.int64), first
+
+
 def smoothed(sizes: Mapping[str | None, int], power: float = 0.5) -> dict[str | None, float]:
     """Target weights from source sizes, raised to a power under 1 so that large sources count less."""
     return {s: float(n) ** power for s, n in sizes.items()}
@@ -132,12 +188,13 @@ def source_sizes(docs: DataFrame, source_col: str = "source") -> dict[str | None
     return {r.s: r["count"] for r in got}
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = 64, power: float = 0.5, default_weight: float | None = None, seed: str = "mix", period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = 64, power: float = 0.5, default_weight: float | None = None, seed: str = "mix", period: int | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """All rows and columns of docs, and mix_slot (the block's place in the mixed order), mix_block
     (the block's number in its source) and mix_row (the row's number in the block). Ordered by
     mix_slot and mix_row, every prefix of whole slots holds the target weights.
 
-    weights: target of each source; None smooths the sources' own sizes by `power`."""
+    weights: target of each source; None smooths the sources' own sizes by `power`.
+    period: None keeps to the exact weights; a number, to weights rounded to so many slots."""
     sizes = source_sizes(docs, source_col)
     targets = smoothed(sizes, power) if weights is None else dict(weights)
     if missing := [s for s in sizes if s not in targets]:
@@ -147,7 +204,8 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     if any(not targets[s] > 0 for s in names):
         raise ValueError("weights must be above 0")
-    phases = schedule([-(-sizes[s] // block_rows) for s in names], [targets[s] for s in names], period)
+    blocks, wanted = [-(-sizes[s] // block_rows) for s in names], [targets[s] for s in names]
+    planned = slots_by_source(exact_order(blocks, wanted), len(names)) if period is None else schedule(blocks, wanted, period)
     number = {s: i for i, s in enumerate(names)}
 
     clash = {c.lower() for c in docs.columns} & {"mix_slot", "mix_block", "mix_row"}
@@ -168,16 +226,21 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     # one row for each source and bucket: rows / BUCKET_ROWS or so, the planner broadcasts it while small
     numbered = numbered.join(offsets.withColumnsRenamed({"_source": "_s", "_bucket": "_b"}), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")), "left")
     numbered = numbered.withColumn("_n", F.col("_n") + F.col("_before"))
-    shipped = docs.sparkSession.sparkContext.broadcast((phases, number))
+    shipped = docs.sparkSession.sparkContext.broadcast((planned, number))
 
     @F.pandas_udf("long")
     def slot(source: pd.Series, block: pd.Series) -> pd.Series:
-        phases, number = shipped.value
+        planned, number = shipped.value
         out = np.empty(len(block), np.int64)
         names = source.where(source.notna(), None)
         for s in names.unique():
             here = (names.isna() if s is None else names == s).to_numpy()
-            out[here] = place(phases, number[s], block.to_numpy()[here])
+            own = block.to_numpy()[here]
+            if isinstance(planned, list):
+                out[here] = place(planned, number[s], own)
+            else:
+                slots, first = planned
+                out[here] = slots[first[number[s]] + own]
         return pd.Series(out)
 
     block = F.floor(F.col("_n") / F.lit(block_rows)).cast("long")

@@ -100,6 +100,43 @@ def test_schedule_deviates_less_than_a_block():
                     assert abs(c - (t + 1 - p.start) * len(p.slots[i]) / p.period) < 1
 
 
+def ideal(blocks, w, t):
+    """Blocks of each source after t slots when all run at their weights without a break."""
+    got, left = np.zeros(len(w)), t
+    while left > 1e-9 and (got < blocks - 1e-9).any():
+        rate = np.where(got < blocks - 1e-9, w, 0)
+        rate = rate / rate.sum()
+        some = rate > 0
+        step = min(left, ((blocks - got)[some] / rate[some]).min())
+        got, left = got + rate * step, left - step
+    return got
+
+
+def test_every_prefix_is_within_a_block_of_the_targets():
+    rng = random.Random(4)
+    cases = [([rng.randint(1, 200) for _ in range(n)], [rng.random() + 0.001 for _ in range(n)]) for n in (1, 2, 5, 9, 30)]
+    cases += [([5, 0, 7], [1e-9, 1.0, 3]), ([3] * 1000, [float(i + 1) for i in range(1000)])]
+    for blocks, w in cases:
+        order = mixing.exact_order(blocks, w)
+        assert np.bincount(order, minlength=len(w)).tolist() == blocks
+        seen = np.zeros(len(w))
+        for t, i in enumerate(order):
+            seen[i] += 1
+            if len(w) < 100 or t % 97 == 0:
+                assert np.abs(seen - ideal(np.array(blocks), np.array(w, float), t + 1)).max() < 1 + 1e-6
+
+
+def test_mix_does_not_drift_from_the_targets(spark):
+    """A hot source with a third of the rows and twenty others; each block is a row."""
+    docs = spark.range(30_000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', concat('s', id div 3 % 20)) as source")
+    order = mixing.mix(docs, block_rows=1).orderBy("mix_slot").toPandas().source
+    w = order.value_counts() ** 0.5
+    w /= w.sum()
+    end = max(t for t in range(len(order)) if order[t] != "hot")  # the others run out together
+    seen = np.cumsum(order.to_numpy()[:, None] == w.index.to_numpy()[None, :], axis=0)[: end - 20]
+    assert np.abs(seen - np.arange(1, len(seen) + 1)[:, None] * w.to_numpy()).max() < 1
+
+
 def test_mix_keeps_every_row_once(spark, docs):
     m = mixing.mix(docs, block_rows=4).select("doc_id", "source", "mix_slot", "mix_block", "mix_row").toPandas()
     assert sorted(m.doc_id) == sorted(r.doc_id for r in docs.select("doc_id").collect())
