@@ -1,10 +1,14 @@
 """Licence scan: a trained paragraph classifier with template confirmation (operator 3).
 
-A paragraph (line) that holds an anchor word of some template is cut into words; its distinct word
+A paragraph is a line, or neighbouring lines without a blank one between them, joined: notices are
+often wrapped. Of a joined paragraph's first and last line only the `EDGE` words next to the others
+count, and between them lie fewer than 2 * `EDGE` words, so that a notice as long as the longest template
+fits however it is wrapped. A paragraph that holds an anchor word of some template is cut into words; its distinct word
 unigrams and bigrams are hashed into sparse features of a multinomial logistic regression whose
 classes are licence families and `unknown`. Probabilities are calibrated by a temperature fitted on
 held-out variants. A family's prediction is confirmed only where the paragraph also shares enough of
-one of that family's templates (word trigrams); otherwise the paragraph is `unknown`.
+one of that family's templates (word trigrams), or lies itself in one; otherwise the paragraph is
+`unknown`. Of confirmed paragraphs that share a line, the one that holds most of its template stays.
 
 The regression is fitted here, on the templates below, seeded variants of them and general licence
 talk as `unknown`; it is a constant of fixed size in the plan. The scan is DataFrame functions only:
@@ -12,9 +16,10 @@ no Python runs on executors, and nothing is shuffled.
 
 Defined results
     null or empty text   no paragraph: an empty list, n_paragraphs 0, license null.
-    ties                 the class that sorts first; for a document, the paragraph that comes first.
+    ties                 the class that sorts first; for a document, the paragraph that comes first;
+                         of overlapping paragraphs with the same share, the one of fewer lines.
     repeated rows        the same result for each. An empty table gives no rows.
-    very long paragraphs are classified whole. Other columns are ignored.
+    very long lines are classified whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +38,8 @@ from pyspark.sql import functions as F
 #: Hash buckets of the word n-grams.
 FEATURES = 2048
 #: Calibrated probability from which a family is predicted, and the share of a template's trigrams
-#: (or of the paragraph's own) that confirms it.
-LEAST_PROBABILITY, LEAST_OVERLAP = 0.5, 0.5
+#: (or of the paragraph's own, of which it must hold OWN_TRIGRAMS then) that confirms it.
+LEAST_PROBABILITY, LEAST_OVERLAP, OWN_TRIGRAMS = 0.5, 0.5, 3
 
 #: Short notices by which texts name their licence.
 TEMPLATES: dict[str, list[str]] = {
@@ -62,13 +67,17 @@ UNKNOWN = [
     "the apache people of the southwest", "he studied at mit for four years", "a mozilla developer gave a talk", "attribution of the painting is disputed",
 ]
 #: A paragraph without any of these words shares no template's key term and is unknown.
-ANCHORS = r"(?i)licen[cs]e|copyright|public domain|redistribut|hereby granted|warrant|waived all|proprietary|unencumbered|gnu |creative commons|endorse or promote"
+ANCHORS = r"(?i)licen[cs]e|copyright|public domain|redistribut|hereby granted|warrant|waived all|proprietary|unencumbered|gnu |creative commons|endorse or promote".replace(" ", "[^a-z0-9]+")
 
 
 def _words(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.lower())
 
 
+#: Words of the longest template.
+EDGE = max(len(_words(t)) for ts in TEMPLATES.values() for t in ts)
+
+
 def _grams(w: list[str]) -> set[str]:
     return set(w) | {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}
 
@@ -161,7 +170,8 @@ def _trigrams(w: Column) -> Column:
 
 
 def classify(line: Column, model: Model, least: float = LEAST_PROBABILITY, overlap: float = LEAST_OVERLAP) -> Column:
-    """struct<license, probability, overlap> of a paragraph, as one expression."""
+    """struct<license, probability, overlap, held> of a paragraph, as one expression; held is the share of
+    a template, overlap the greater of that and the paragraph's own share."""
     n = len(model.classes)
     names = F.array(*[F.lit(c) for c in model.classes])
     # bucket after bucket, a weight for each class; folded to one constant array
@@ -187,15 +197,23 @@ def classify(line: Column, model: Model, least: float = LEAST_PROBABILITY, overl
 
     def confirmed(words: Column, guess: Column) -> Column:
         def share(tri: Column) -> Column:
-            out = F.lit(0.0)
+            out = F.struct(F.lit(0.0).alias("held"), F.lit(0.0).alias("own"))
             for c, templates in shapes.items():
-                held = [F.size(F.array_intersect(tri, F.array(*[F.lit(g) for g in t]))) / F.lit(float(len(t))) for t in templates]
-                out = F.when(guess["family"] == c, F.greatest(F.lit(0.0), *held)).otherwise(out)
+                common = F.array(*[F.size(F.array_intersect(tri, F.array(*[F.lit(g) for g in t]))) for t in templates])
+                sizes = F.array(*[F.lit(float(len(t))) for t in templates])
+
+                def both(n: Column) -> Column:
+                    most = F.array_max(n)
+                    own = F.when(most >= OWN_TRIGRAMS, most / F.size(F.array_distinct(tri))).otherwise(F.lit(0.0))
+                    return F.struct(F.array_max(F.zip_with(n, sizes, lambda x, y: x / y)).alias("held"), own.alias("own"))
+
+                out = F.when(guess["family"] == c, _let(common, both)).otherwise(out)
             return out
 
         def verdict(s: Column) -> Column:
-            sure = (guess["family"] != "unknown") & (guess["p"] >= least) & (s >= overlap)
-            return F.struct(F.when(sure, guess["family"]).otherwise(F.lit("unknown")).alias("license"), F.round(guess["p"], 6).alias("probability"), F.round(s, 6).alias("overlap"))
+            most = F.greatest(s["held"], s["own"])
+            sure = (guess["family"] != "unknown") & (guess["p"] >= least) & (most >= overlap)
+            return F.struct(F.when(sure, guess["family"]).otherwise(F.lit("unknown")).alias("license"), F.round(guess["p"], 6).alias("probability"), F.round(most, 6).alias("overlap"), F.round(s["held"], 6).alias("held"))
 
         return _let(_let(_trigrams(words), share), verdict)
 
@@ -204,18 +222,75 @@ def classify(line: Column, model: Model, least: float = LEAST_PROBABILITY, overl
         buckets = F.transform(grams, lambda g: F.crc32(g.cast("binary")) % FEATURES)
         return _let(_let(_let(buckets, scores), predicted), lambda guess: confirmed(words, guess))
 
-    return _let(F.filter(F.split(F.regexp_replace(F.lower(line), "[^a-z0-9]+", " "), " "), lambda w: w != ""), judged)
+    return _let(_split(line), judged)
+
+
+def _split(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+
+
+_PARAGRAPHS = "array<struct<line:int,lines:int,text:string>>"
+
+
+def _joined(lines: Column) -> Column:
+    """Paragraphs of two lines and more, from an array of struct<line, text, words>."""
+
+    def grown(x: Column) -> Column:
+        zero = F.struct(F.lit(True).alias("open"), F.lit(0).alias("between"), F.array_join(F.slice(x["words"], -F.least(F.size(x["words"]), F.lit(EDGE)), EDGE), " ").alias("text"), F.lit(1).alias("lines"), F.array().cast(_PARAGRAPHS).alias("out"))
+
+        def more(acc: Column, y: Column) -> Column:
+            goes = acc["open"] & (acc["between"] < 2 * EDGE) & (F.size(y["words"]) > 0)
+            new = F.struct(x["line"].alias("line"), (acc["lines"] + 1).alias("lines"), F.concat_ws(" ", acc["text"], F.array_join(F.slice(y["words"], 1, EDGE), " ")).alias("text"))
+            whole = F.when(F.size(y["words"]) < 2 * EDGE, F.concat_ws(" ", acc["text"], F.array_join(y["words"], " "))).otherwise(F.lit(""))
+            return F.when(goes, F.struct(F.lit(True).alias("open"), (acc["between"] + F.size(y["words"])).alias("between"), whole.alias("text"), (acc["lines"] + 1).alias("lines"), F.concat(acc["out"], F.array(new)).alias("out"))).otherwise(
+                F.struct(F.lit(False).alias("open"), acc["between"].alias("between"), acc["text"].alias("text"), acc["lines"].alias("lines"), acc["out"].alias("out")))
+
+        return F.aggregate(F.slice(lines, x["line"] + 2, 2 * EDGE + 1), zero, more, lambda acc: acc["out"])
+
+    return F.flatten(F.transform(F.filter(lines, lambda x: F.size(x["words"]) > 0), grown))
+
+
+def _apart(judged: Column) -> Column:
+    """Confirmed paragraphs that share no line, those holding most of a template first; and the lines
+    outside them that are unknown."""
+    fields = ("line", "lines", "license", "probability", "overlap")
+
+    def meets(x: Column, y: Column) -> Column:
+        return (x["line"] < y["line"] + y["lines"]) & (y["line"] < x["line"] + x["lines"])
+
+    def chosen(found: Column) -> Column:
+        first = F.array_sort(F.transform(F.filter(found, lambda x: x["license"] != "unknown"), lambda x: F.struct((-x["held"]).alias("lacks"), x["lines"].alias("lines"), x["line"].alias("line"), x["license"].alias("license"), x["probability"].alias("probability"), x["overlap"].alias("overlap"))))
+        return F.aggregate(first, F.filter(first, lambda x: F.lit(False)), lambda acc, x: F.when(F.exists(acc, lambda y: meets(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
+
+    def whole(found: Column) -> Column:
+        def rest(named: Column) -> Column:
+            unknown = F.filter(found, lambda x: (x["lines"] == 1) & (x["license"] == "unknown") & ~F.exists(named, lambda y: meets(x, y)))
+            flat = [F.transform(a, lambda x: F.struct(*[x[f].alias(f) for f in fields])) for a in (named, unknown)]
+            return F.array_sort(F.concat(*flat))
+
+        return _let(chosen(found), rest)
+
+    return _let(judged, whole)
 
 
 def scan_licenses(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_PROBABILITY, overlap: float = LEAST_OVERLAP) -> DataFrame:
     """One row for each row of docs: doc_id, license (of the first confirmed paragraph), licenses (all
-    confirmed families), n_paragraphs (confirmed), paragraphs (line number from 0, license,
-    probability, overlap of every paragraph with an anchor word)."""
+    confirmed families), n_paragraphs (confirmed), paragraphs (first line's number from 0, number of
+    lines, license, probability, overlap of the confirmed paragraphs and of every other line with an
+    anchor word)."""
     model = model or trained()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("line"), line.alias("words")))
-    found = F.when(F.col("text").rlike(ANCHORS), F.filter(lines, lambda x: x["words"].rlike(ANCHORS)))
-    judged = F.transform(F.coalesce(found, F.array().cast("array<struct<line:int,words:string>>")), lambda x: _let(classify(x["words"], model, least, overlap), lambda c: F.struct(x["line"].alias("line"), c["license"].alias("license"), c["probability"].alias("probability"), c["overlap"].alias("overlap"))))
+    lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("line"), line.alias("text"), _split(line).alias("words")))
+
+    def candidates(ls: Column) -> Column:
+        single = F.transform(ls, lambda x: F.struct(x["line"].alias("line"), F.lit(1).alias("lines"), x["text"].alias("text")))
+        return F.filter(F.concat(single, _joined(ls)), lambda x: x["text"].rlike(ANCHORS))
+
+    def judge(x: Column) -> Column:
+        return _let(classify(x["text"], model, least, overlap), lambda c: F.struct(x["line"].alias("line"), x["lines"].alias("lines"), *[c[f].alias(f) for f in ("license", "probability", "overlap", "held")]))
+
+    found = F.when(F.col("text").rlike(ANCHORS), _let(lines, candidates))
+    judged = _apart(F.transform(F.coalesce(found, F.array().cast(_PARAGRAPHS)), judge))
     out = rows.select("doc_id", judged.alias("paragraphs"))
     named = F.filter("paragraphs", lambda x: x["license"] != "unknown")
     return out.select("doc_id", F.try_element_at(named, F.lit(1))["license"].alias("license"), F.array_sort(F.array_distinct(F.transform(named, lambda x: x["license"]))).alias("licenses"), F.size(named).alias("n_paragraphs"), "paragraphs")

@@ -171,6 +171,38 @@ def test_license_lines(spark):
     assert got[0].paragraphs[0].line == 1
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+GPL = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version."""
+BSD = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions
+# are met:"""
+
+
+def test_wrapped_notices(spark):
+    narrow = "\n".join(" ".join(licenses._words(MIT)[k : k + 3]) for k in range(0, 27, 3))
+    prose = "The river rose and the town slept on while rain fell over the fields and the hills beyond. " * 4
+    data = [("mit", MIT), ("gpl", GPL), ("bsd", BSD), ("mit", narrow), ("unlicense", "This is free and unencumbered software released\r\ninto the public\r\ndomain."),
+            ("gpl", "A tool.\n\n" + GPL + "\n\n" + prose), ("mit", prose + "\n" + prose + " Released under the\nMIT License. " + prose), (None, "He lost his driving\nlicense. The terms and\nconditions of sale"),
+            (None, "Released under the\n\nMIT of Boston granted a license")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(make(spark, [(i, t, None, None) for i, (_, t) in enumerate(data)])).collect()}
+    assert [got[i].license for i in range(len(data))] == [x for x, _ in data]
+    assert [got[i].n_paragraphs for i in range(4)] == [1, 1, 1, 1]
+    assert (got[5].paragraphs[0].line, got[6].paragraphs[0].line) == (2, 1)
+
+
+def test_a_part_of_a_template_is_confirmed_by_its_own_trigrams(spark):
+    got = licenses.scan_licenses(make(spark, [(0, "Neither the name of the copyright holder nor the names", None, None)])).collect()[0]
+    assert got.license == "bsd" and got.paragraphs[0].overlap == 1.0
+
+
 def test_every_template_has_an_anchor_and_is_found(spark):
     flat = [(c, t) for c, ts in licenses.TEMPLATES.items() for t in ts]
     assert all(re.search(licenses.ANCHORS, t) for _, t in flat)
