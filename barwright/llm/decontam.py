@@ -7,14 +7,16 @@ don't overlap, found by running Karp-Rabin; matches may stand in any order, so r
 caught. A document is contaminated by an item when tiles cover at least `coverage` of its words.
 
 The benchmark is a set of queries against all rows. Its seeds are broadcast only while they are at
-most `BROADCAST_SEEDS`; a larger benchmark is joined on seed hashes instead.
+most `BROADCAST_SEEDS`; a larger benchmark is joined on seed hashes instead. Verdicts are a matter of
+the text alone, so there each distinct text is judged once and rows find theirs by the text's hash.
+Both ways give the same result.
 
 Defined results
     null or empty text      no match. An item without words matches nothing.
     items under `seed` words their whole sequence is the seed.
     ties                    the item with the highest coverage, then the least item_id, is named.
     repeated rows           each row has its own result; repeated items count once.
-    null ids                passed through; a null item_id is never named but does contaminate.
+    null ids                passed through; a null item_id is never named or listed but does contaminate.
     empty tables            no documents: no rows; no items: nothing is contaminated.
     other columns           ignored by `find_contamination`, carried by `decontaminate`.
 """
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm.common import cut
@@ -189,7 +191,7 @@ class Index:
             c = self.covered(seq, positions, n)
             if c > top:
                 top, name = c, self.items[n][0]
-            if c >= least:
+            if c >= least and self.items[n][0] is not None:
                 over.append(self.items[n][0])
         return top, name, over
 
@@ -198,8 +200,9 @@ _OUT = "best_item long, coverage double, items array<long>, contaminated boolean
 
 
 def _small(items: DataFrame, seed: int, limit: int, id_col: str, text_col: str) -> Index | None:
-    """The index of a benchmark whose seeds are within the limit; there are fewer seeds than words."""
-    n = items.select(F.sum(F.size(F.split(F.col(text_col), r"\W+"))).alias("n")).first().n or 0
+    """The index of a benchmark whose seeds are within the limit; there are fewer seeds than words, which
+    are counted by the class that Python's \\w stands for."""
+    n = items.select(F.sum(F.size(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}_]+"))).alias("n")).first().n or 0
     if n > limit:
         return None
     return Index([(r[0], r[1]) for r in items.select(F.col(id_col).cast("long"), F.col(text_col)).collect()], seed)
@@ -219,10 +222,15 @@ def _broadcast_search(docs: DataFrame, index: Index, least: float, key: str, tex
     return docs.select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, {_OUT}")
 
 
-def _joined_search(docs: DataFrame, items: DataFrame, seed: int, least: float, key: str, text: str, id_col: str, text_col: str) -> DataFrame:
-    """For a benchmark too large to broadcast: documents and items meet on seed hashes; pairs are
-    reduced to (document, item) before their texts are joined, so a seed or document with very many
-    partners is spread over tasks by the other side's key."""
+def _text_key(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def _joined_search(docs: DataFrame, items: DataFrame, seed: int, least: float, text: str, id_col: str, text_col: str) -> DataFrame:
+    """doc_key (hash of the text), best_item, coverage, items and contaminated of each distinct text that
+    shares a seed with an item, for a benchmark too large to broadcast: texts and items meet on seed
+    hashes; pairs are reduced to (text, item) before their texts are joined, so a seed or text with very
+    many partners is spread over tasks by the other side's key."""
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -238,8 +246,13 @@ def _joined_search(docs: DataFrame, items: DataFrame, seed: int, least: float, k
                         hs.append(h)
             yield pa.RecordBatch.from_arrays([pa.array(who, pa.string()), pa.array(hs, pa.int64())], names=["who", "h"])
 
-    its = cut(items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("item_text")).distinct().withColumn("item_key", F.sha2(F.concat_ws("\x01", F.col("item_id").cast("string"), "item_text"), 256)), "bench-items")
-    ds = docs.select(F.col(key).cast("string").alias("doc_key"), F.col(text).alias("doc_text"))
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(words(t)) for t in b.column(1).to_pylist()], pa.string())], names=["item_id", "item_text"])
+
+    its = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("item_text")).mapInArrow(plain, "item_id long, item_text string").filter("item_text <> ''").distinct()
+    its = cut(its.withColumn("item_key", F.sha2(F.concat(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.lit("\x01"), F.col("item_text")), 256)), "bench-items")
+    ds = cut(docs.select(_text_key(F.col(text)).alias("doc_key"), F.col(text).alias("doc_text")).filter("doc_text is not null").dropDuplicates(["doc_key"]), "doc-texts")
     a = cut(ds.select("doc_key", "doc_text").mapInArrow(seeds, "who string, h long").select(F.col("who").alias("doc_key"), "h"), "doc-seeds")
     b = cut(its.select("item_key", "item_text").mapInArrow(seeds, "who string, h long").select(F.col("who").alias("item_key"), "h"), "item-seeds")
     pairs = cut(a.join(b, "h").select("doc_key", "item_key").distinct(), "bench-pairs")
@@ -253,27 +266,28 @@ def _joined_search(docs: DataFrame, items: DataFrame, seed: int, least: float, k
     scored = full.select("doc_key", "doc_text", "item_id", "item_text").mapInArrow(run, "doc_key string, item_id long, c double")
     best = scored.groupBy("doc_key").agg(F.max_by("item_id", F.struct("c", -F.col("item_id"))).alias("best_item"), F.max("c").alias("coverage"),
                                           F.array_sort(F.collect_list(F.when(F.col("c") >= least, F.col("item_id")))).alias("items"), F.max(F.col("c") >= least).alias("contaminated"))
-    out = docs.select(key).join(cut(best, "bench-best").hint("merge"), F.col(key).cast("string") == F.col("doc_key"), "left")
     named = F.when(F.col("coverage") > 0, F.col("best_item"))
-    return out.select(key, named.alias("best_item"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("contaminated", F.lit(False)).alias("contaminated"))
+    return cut(best.select("doc_key", named.alias("best_item"), "coverage", "items", "contaminated"), "bench-best")
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, seed: int = SEED, least: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """One row for each row of docs: doc_id, best_item, coverage, items (all over the threshold),
-    contaminated. With a benchmark beyond `broadcast_seeds`, ids must be unique."""
+    contaminated."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     index = _small(items, seed, broadcast_seeds, item_id, item_text)
     if index is not None:
         return _broadcast_search(rows, index, least, "doc_id", "text")
-    return _joined_search(rows, items, seed, least, "doc_id", "text", item_id, item_text)
+    best = _joined_search(rows, items, seed, least, "text", item_id, item_text)
+    out = rows.select("doc_id", _text_key(F.col("text")).alias("_key")).join(best.hint("merge"), F.col("_key") == F.col("doc_key"), "left")
+    return out.select("doc_id", "best_item", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("contaminated", F.lit(False)).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, seed: int = SEED, least: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """The rows of docs that no item contaminates, with all their columns."""
     index = _small(items, seed, broadcast_seeds, item_id, item_text)
     if index is None:
-        bad = _joined_search(docs, items, seed, least, id_col, text_col, item_id, item_text).filter("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-        return docs.join(cut(bad, "bench-bad").hint("merge"), docs[id_col] == F.col("_bad"), "left_anti")
+        bad = _joined_search(docs, items, seed, least, text_col, item_id, item_text).filter("contaminated").select("doc_key")
+        return docs.join(bad.hint("merge"), _text_key(docs[text_col]) == bad["doc_key"], "left_anti")
     shipped = docs.sparkSession.sparkContext.broadcast(([(i, " ".join(s)) for i, s in index.items], seed))
     at = docs.columns.index(text_col)
 

@@ -515,6 +515,25 @@ def test_contamination_hard_rows(spark, hard, none):
     assert decontam.find_contamination(hard, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_large_benchmarks_give_the_same(spark, hard):
+    """Both paths on null ids, ids that rows share, repeated rows and items, and hard texts."""
+    item = " ".join(f"b{i}" for i in range(30))
+    bench = spark.createDataFrame([(1, "tie tie tie"), (1, "Tie, tie, TIE"), (4, item), (3, item), (None, item + " x"), (None, "é" * 30), (5, None), (6, ""), (8, "слово " * 7)], "item_id long, text string")
+    more = make(spark, [(None, item, None, None), (None, "clean", None, None), (50, item, None, None), (50, "other words here", None, None), (50, item, None, None), (51, "слово " * 9, None, None), (52, None, None, None)])
+    for df in (hard, more):
+        got = [sorted(map(repr, decontam.find_contamination(df, bench, broadcast_seeds=bound).collect())) for bound in (10**6, 1)]
+        assert got[0] == got[1] and any("contaminated=True" in r for r in got[0])
+        kept = [sorted(map(repr, decontam.decontaminate(df, bench, broadcast_seeds=bound).collect())) for bound in (10**6, 1)]
+        assert kept[0] == kept[1] and 0 < len(kept[0]) < len(got[0])
+    assert sorted((r.doc_id is None, r.text) for r in decontam.decontaminate(more, bench, broadcast_seeds=1).filter("text is not null").collect()) == [(False, "other words here"), (True, "clean")]
+
+
+def test_benchmark_words_of_any_script_count(spark):
+    bench = spark.createDataFrame([(1, " ".join(["слово", "λόγος", "शब्द"] * 40))], "item_id long, text string")
+    assert decontam._small(bench, decontam.SEED, 100, "item_id", "text") is None
+    assert decontam._small(bench, decontam.SEED, 1000, "item_id", "text") is not None
+
+
 # ---- 9 ----------------------------------------------------------------------------------------------
 
 
