@@ -7,12 +7,14 @@ labelled word by word; a document takes the language with the largest share of i
 
 Training uses a bounded sample: `per_lang` documents of each language (the least hashes of their
 ids), the first `sample_chars` characters of each, joined into chains of which some switch language.
+Every language that such rows name is learned; beyond `FULL_LANGS` of them, fewer documents of each.
 All weights are fitted here; what goes to the workers is bounded by `FEATURES` times the languages.
 
 Defined results
     null text, no letter    lang_pred 'und', score 0.
     null lang, null doc_id  never learned from; predicted like any other.
     repeated rows           the same prediction for each.
+    many languages          more than MAX_LANGS raise ValueError; none is left out.
     ties                    the first language in alphabetical order.
     empty table             no rows; with no labelled row at all, every prediction is 'und'.
     other columns           ignored by `identify`, carried by `keep_identified`.
@@ -28,14 +30,19 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Hash buckets of affixes and n-grams.
 FEATURES = 1 << 16
 #: Words of each language in the lexicon.
 LEXICON = 400
-#: Bounds of the training sample.
-PER_LANG, SAMPLE_CHARS, MAX_LANGS = 120, 12_000, 64
+#: Bounds of the training sample, and the languages up to which each has PER_LANG documents.
+PER_LANG, SAMPLE_CHARS, FULL_LANGS = 120, 12_000, 64
+#: Languages at most; beyond, the column holds something else.
+MAX_LANGS = 512
+#: Words times languages whose probabilities training holds at a time.
+CELLS = 8_000_000
 #: Characters labelled at a time, and words whose scores a worker remembers.
 CHUNK, REMEMBERED = 800_000, 200_000
 #: Rows whose texts a worker holds as strings at a time.
@@ -211,6 +218,17 @@ class Crf:
         return out
 
 
+def _blocks(lengths: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of chains with at most so many words each, or one chain."""
+    out, lo, n = [], 0, 0
+    for i, k in enumerate(lengths.tolist()):
+        if n and n + k > most:
+            out.append((lo, i))
+            lo, n = i, 0
+        n += k
+    return [*out, (lo, len(lengths))]
+
+
 def train(sample: list[tuple[str, str]], rounds: int = 40, rate: float = 0.15, decay: float = 1e-4, switch: float = 0.25, seed: int = 5) -> Crf:
     """Fit a field on (lang, text) rows by gradient ascent on the chains' likelihood (Adam)."""
     langs = sorted({lang for lang, _ in sample})
@@ -249,7 +267,7 @@ def train(sample: list[tuple[str, str]], rounds: int = 40, rate: float = 0.15, d
     inner[firsts] = False
     seen_moves = np.zeros((c, c))
     np.add.at(seen_moves, (truth[np.flatnonzero(inner) - 1], truth[inner]), 1)
-    onehot = np.eye(c)[truth]
+    edges = _blocks(lengths, CELLS // c)
     params = [np.zeros((FEATURES, c)), np.zeros((c, c)), np.zeros(c), np.zeros((c, c))]
     mean, var = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, rounds + 1):
@@ -257,12 +275,17 @@ def train(sample: list[tuple[str, str]], rounds: int = 40, rate: float = 0.15, d
         per_word = lex @ lw
         for k in range(c):
             per_word[:, k] += np.bincount(row, weights=w[col, k], minlength=len(words))
-        p, pairs = posteriors(per_word[flat], lengths, np.exp(start), np.exp(move))
-        miss = onehot - p
-        by_word = np.stack([np.bincount(flat, weights=miss[:, k], minlength=len(words)) for k in range(c)], axis=1)
+        by_word, starts, moves = np.zeros((len(words), c)), np.zeros(c), np.zeros((c, c))
+        for lo, hi in edges:
+            at = slice(firsts[lo], firsts[hi - 1] + lengths[hi - 1])
+            p, pairs = posteriors(per_word[flat[at]], lengths[lo:hi], np.exp(start), np.exp(move))
+            miss = np.eye(c)[truth[at]] - p
+            by_word += np.stack([np.bincount(flat[at], weights=miss[:, k], minlength=len(words)) for k in range(c)], axis=1)
+            starts += miss[firsts[lo:hi] - firsts[lo]].sum(axis=0)
+            moves += pairs
         grads = [
             np.stack([np.bincount(col, weights=by_word[row, k], minlength=FEATURES) for k in range(c)], axis=1),
-            lex.T @ by_word, miss[firsts].sum(axis=0), seen_moves - pairs,
+            lex.T @ by_word, starts, seen_moves - moves,
         ]
         for i, g in enumerate(grads):
             g = g / len(flat) - decay * params[i]
@@ -277,18 +300,22 @@ def _crc(col: str):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, sample_chars: int = SAMPLE_CHARS) -> Crf:
-    """Train on a bounded sample of the rows with a language whose crc32(id) mod 4 is not 2."""
+    """Train on a bounded sample of the rows with a language whose crc32(id) mod 4 is not 2; of every such language."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null").filter(_crc("id") % 4 != 2)
-    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
+    langs = rows.select("lang").distinct().limit(MAX_LANGS + 1).count()
+    if langs > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     sample: list[tuple[str, str]] = []
     if langs:
-        ids = None
-        for lang in langs:
-            some = rows.filter(F.col("lang") == lang).select("id", "lang").orderBy(F.xxhash64("id"), "id").limit(per_lang)
-            ids = some if ids is None else ids.unionAll(some)
-        # at most per_lang rows for each of at most MAX_LANGS languages
+        each = min(per_lang, max(1, per_lang * FULL_LANGS // langs))
+
+        def least(df: DataFrame, n: int, *order) -> DataFrame:
+            return df.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
+
+        # at most `each` rows a language; where rows share ids, at most twice as many texts
+        ids = least(rows.select("id", "lang"), each, F.xxhash64("id"), "id")
         got = rows.join(F.broadcast(ids.distinct()), ["id", "lang"]).select("lang", "id", F.substring("text", 1, sample_chars).alias("text"))
-        got = got.orderBy("id", "lang", "text").limit(per_lang * len(langs) * 2)
+        got = least(got, 2 * each, "id", "text").orderBy("id", "lang", "text")
         sample = [(r.lang, r.text) for r in got.collect()]
     return train(sample)
 

@@ -406,6 +406,29 @@ def test_language_hard_rows(spark, model, hard, none):
     assert langid.identify(none, model).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    """Seventy languages of words of their own, rare ones too, and one id that very many rows share."""
+    rng = random.Random(8)
+    own = {f"l{k:02}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for k in range(70)}
+    data = [(1000 * j + k, " ".join(rng.choices(w, k=15)), lang, "s") for k, (lang, w) in enumerate(own.items()) for j in range(8 if k < 60 else 4)]
+    m = langid.fit(make(spark, data + [(-1, " ".join(rng.choices(own["l00"], k=5)) + f" {i}", "l00", "s") for i in range(700)]), per_lang=4)
+    assert m.langs == sorted(own)
+    assert np.mean([got == x[2] for x, (got, _) in zip(data, m.predict([x[1] for x in data]), strict=True)]) > 0.98
+
+
+def test_too_many_languages_raise(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGS", 3)
+    with pytest.raises(ValueError):
+        langid.fit(make(spark, [(i, "some text", f"l{i}", "s") for i in range(40)]))
+
+
+def test_training_in_blocks_gives_the_same(rows, model, monkeypatch):
+    sample = [(lang, t[:300]) for _, t, lang in rows[:40]]
+    whole = langid.train(sample, rounds=5)
+    monkeypatch.setattr(langid, "CELLS", 500)
+    assert np.allclose(langid.train(sample, rounds=5).weights, whole.weights, atol=1e-5)
+
+
 def test_chunks_and_memory_do_not_change_predictions(model, rows, monkeypatch):
     texts = [t for _, t, _ in rows[:60]]
     want = model.predict(texts)
