@@ -22,8 +22,7 @@ def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), block_rows=64, power=0.5)
-    return out.select("doc_id", "source", "mix_slot", "mix_block", "mix_row")
+    return mixing.mix(table(spark, sf_dir, "documents"), block_rows=64, power=0.5)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,6 +150,12 @@ def test_mix_keeps_every_row_once(spark, docs):
         assert list(g.k) == sorted(g.k)
 
 
+def test_mix_query_returns_whole_rows(spark, docs):
+    got = queries.op2_mix_sources(spark, SF)
+    assert got.columns == [*docs.columns, "mix_slot", "mix_block", "mix_row"]
+    assert sorted(map(repr, got.select(*docs.columns).collect())) == sorted(map(repr, docs.collect()))
+
+
 def test_mix_hard_rows(spark, hard, none):
     assert mixing.mix(hard).count() == hard.count()
     assert mixing.mix(none).count() == 0
