@@ -2,9 +2,9 @@
 
 One pass finds the base kinds and opaque candidates (long mixed tokens that no base span covers).
 Every candidate is reduced to a keyed-free SHA-256 prefix; hashes are then counted over distinct
-owners and repositories. A value that several owners hold is a widely copied example; a value of one
-owner alone that looks random is live-looking. Base spans always stay; opaque candidates become spans
-only where their value is owner-specific and live-looking.
+owners and repositories. A value that several owners hold, or that two hold in many repositories, is a
+widely copied example; any other that looks random is live-looking, however often its owner repeats it.
+Base spans always stay; opaque candidates become spans only where their value is live-looking.
 
 Defined results
     null text          counts as empty: no spans, the digest of the empty string.
@@ -36,6 +36,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 #: A value held by this many owners or more is a widely copied example.
 EXAMPLE_OWNERS = 3
+#: ... and so is one of fewer, though two at least, that so many repositories hold.
+EXAMPLE_REPOS = 8
 #: Bits a character from which an owner-specific value looks live.
 LIVE_BITS = 3.0
 
@@ -64,10 +66,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def opaque_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Long tokens with letters and digits that touch no base span."""
-    out = []
+    out, k, reach = [], 0, 0
     for m in OPAQUE.finditer(text):
+        while k < len(base) and base[k][0] < m.end():  # bases are in order of start
+            reach = max(reach, base[k][2])
+            k += 1
         v = m[0]
-        if any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and not any(s < m.end() and m.start() < e for s, _, e in base):
+        if reach <= m.start() and any(c.isdigit() for c in v) and any(c.isalpha() for c in v):
             out.append((m.start(), 3, m.end()))
     return out
 
@@ -109,9 +114,10 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, owner: str | None = "source", repo: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-                 example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+                 example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """One row for each row of docs: doc_id, counts of the base kinds, base_sha256, spans (base and
-    added), n_live and n_example (values that are owner-specific and random, or widely copied).
+    added), n_live and n_example (values that are owner-specific and random, or widely copied), n_owners and
+    n_repos (of the value that most owners, and most repositories, hold; 0 without any).
 
     owner, repo: SQL expressions; repo None takes the owner's."""
     who = owner or "''"
@@ -120,17 +126,18 @@ def scan_secrets(docs: DataFrame, owner: str | None = "source", repo: str | None
     found = scan.select("row_id", "owner", "repo", F.explode("found").alias("f")).select("row_id", "owner", "repo", "f.*")
     # written before the join, so that both of its sides are plain shuffles and a hot value can be split
     held = cut(ownership(found), "secret-owners")
-    live = F.col("random") & (F.col("n_owners") < example_owners)
+    copied = (F.col("n_owners") >= example_owners) | ((F.col("n_owners") > 1) & (F.col("n_repos") >= example_repos))
     marked = (
         found.join(held.hint("merge"), "hash")
-        .withColumn("live", live)
+        .withColumn("copied", copied)
+        .withColumn("live", F.col("random") & ~F.col("copied"))
         .withColumn("span", F.when((F.col("kind") < 3) | F.col("live"), F.struct("start", "kind", "end")))
         .groupBy("row_id")
-        .agg(F.array_sort(F.collect_list("span")).alias("spans"), F.count_if("live").alias("n_live"), F.count_if(F.col("n_owners") >= example_owners).alias("n_example"))
+        .agg(F.array_sort(F.collect_list("span")).alias("spans"), F.count_if("live").alias("n_live"), F.count_if("copied").alias("n_example"), F.max("n_owners").alias("n_owners"), F.max("n_repos").alias("n_repos"))
     )
     kinds = F.array(*[F.lit(k) for k in KINDS])
     named = F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))))
     return scan.drop("found", "owner", "repo").join(marked, "row_id", "left").select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(named, F.lit("")).alias("spans"),
-        F.coalesce("n_live", F.lit(0).cast("long")).alias("n_live"), F.coalesce("n_example", F.lit(0).cast("long")).alias("n_example"),
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_live", "n_example", "n_owners", "n_repos")],
     )
