@@ -9,19 +9,16 @@ are taken as the exact rationals that the given numbers are, and all blocks are
 one heap step a block; 4 bytes a block (rows / block_rows of them) go to the workers. No row is dropped
 or repeated.
 
-With `period` given, weights are rounded to whole quotas of so many slots instead, and one period of each
-phase is worked out and repeated: what is sent does not grow with the rows, but prefixes keep to the
-rounded weights, not to the targets.
-
 Rows of a source are numbered without bringing them together: they are spread over buckets of the
 hash that orders them, numbered within each bucket, and shifted by the sizes of the buckets before.
 
 Defined results
     null source         a source of its own, named by None in `weights`.
     source not named    takes `default_weight`; with None, a source that isn't named raises ValueError.
-    null id             ordered before other ids with the same hash.
+    null id             dealt by a hash of the row instead.
     repeated rows       each has its own place.
-    weight 0 or less    raises ValueError; so do more than MAX_SOURCES sources.
+    weight 0 or less    raises ValueError. Any number of sources; their sizes come to the driver, one
+                        number each.
     ties                equal deadlines go to the source that sorts first.
     empty table         no rows. Other columns are carried, whatever their names.
 """
@@ -31,9 +28,7 @@ from __future__ import annotations
 import heapq
 import math
 from array import array
-from bisect import bisect_right
 from collections.abc import Mapping
-from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
@@ -44,88 +39,11 @@ from pyspark.sql import functions as F
 
 from barwright.llm.common import cut
 
-#: Slots of one period in `schedule`: the resolution of its weights.
-PERIOD = 1000
-#: Sources at most.
-MAX_SOURCES = 1000
 #: Rows in one numbering bucket: total / BUCKETS, within these bounds. The table of bucket sizes has
 #: at most one row for each BUCKET_ROWS[0] rows, and about total / BUCKET_ROWS[1] at large sizes.
 BUCKETS, BUCKET_ROWS = 4096, (500, 50_000)
-
-
-def quotas(weights: list[float], period: int) -> list[int]:
-    """Whole slots of a period for each weight, by largest remainder, one at least."""
-    total = sum(weights)
-    exact = [w / total * period for w in weights]
-    out = [max(1, int(x)) for x in exact]
-    order = sorted(range(len(weights)), key=lambda i: (int(exact[i]) - exact[i], i))
-    k = 0
-    while sum(out) < period:
-        out[order[k % len(order)]] += 1
-        k += 1
-    while sum(out) > period:
-        i = max(range(len(out)), key=lambda i: (out[i], -i))
-        out[i] -= 1
-    return out
-
-
-def one_period(quota: list[int]) -> list[list[int]]:
-    """Slots of each source's blocks in one period, earliest deadline first among released blocks."""
-    period = sum(quota)
-    slots: list[list[int]] = [[] for _ in quota]
-    coming = [(0, i) for i in range(len(quota))]  # (release, source)
-    ready: list[tuple[int, int]] = []  # (deadline, source)
-    heapq.heapify(coming)
-    for t in range(period):
-        while coming and coming[0][0] <= t:
-            _, i = heapq.heappop(coming)
-            heapq.heappush(ready, (-(-(len(slots[i]) + 1) * period // quota[i]), i))
-        _, i = heapq.heappop(ready)
-        slots[i].append(t)
-        if len(slots[i]) < quota[i]:
-            heapq.heappush(coming, (max(t + 1, len(slots[i]) * period // quota[i]), i))
-    return slots
-
-
-@dataclass
-class Phase:
-    start: int
-    period: int
-    first: dict[int, int]
-    slots: dict[int, np.ndarray]
-
-
-def schedule(blocks: list[int], weights: list[float], period: int = PERIOD) -> list[Phase]:
-    """Phases of the whole schedule; in each, the first block of every active source and its slots in
-    one period."""
-    left, done, start, phases = list(blocks), [0] * len(blocks), 0, []
-    while any(left):
-        active = [i for i in range(len(left)) if left[i]]
-        quota = quotas([weights[i] for i in active], max(period, len(active)))
-        slots = one_period(quota)
-        p = sum(quota)
-        ends = [(left[i] - 1) // quota[k] * p + slots[k][(left[i] - 1) % quota[k]] + 1 for k, i in enumerate(active)]
-        length = min(ends)
-        phases.append(Phase(start, p, {i: done[i] for i in active}, {i: np.array(slots[k], np.int64) for k, i in enumerate(active)}))
-        for k, i in enumerate(active):
-            used = length // p * quota[k] + bisect_right(slots[k], length % p - 1)
-            left[i] -= used
-            done[i] += used
-        start += length
-    return phases
-
-
-def place(phases: list[Phase], source: int, block: np.ndarray) -> np.ndarray:
-    """Slots of the given blocks of a source."""
-    own = [p for p in phases if source in p.first]
-    at = np.searchsorted(np.array([p.first[source] for p in own]), block, side="right") - 1
-    out = np.empty(len(block), np.int64)
-    for k in np.unique(at):
-        p, here = own[k], at == k
-        n = block[here] - p.first[source]
-        slots = p.slots[source]
-        out[here] = p.start + n // len(slots) * p.period + slots[n % len(slots)]
-    return out
+#: Sources whose sizes are broadcast; beyond, the planner chooses.
+BROADCAST_SOURCES = 100_000
 
 
 def exact_order(blocks: list[int], weights: list[float]) -> np.ndarray:
@@ -151,7 +69,7 @@ def exact_order(blocks: list[int], weights: list[float]) -> np.ndarray:
         d, r = done[at[i]], rate[at[i]] * k
         return d + r // whole[i], d - (-r // whole[i])
 
-    out, used = array("H"), [0] * len(blocks)
+    out, used = array("I"), [0] * len(blocks)
     deadline = [moment(i, 1)[1] if blocks[i] else 0 for i in range(len(blocks))]
     coming = [(0, i) for i in sorted(ends)]  # (release, source)
     ready: list[tuple[int, int]] = []  # (deadline, source)
@@ -166,7 +84,7 @@ def exact_order(blocks: list[int], weights: list[float]) -> np.ndarray:
             release = moment(i, used[i])[0]
             deadline[i] = moment(i, used[i] + 1)[1]
             heapq.heappush(coming, (max(t + 1, release), i))
-    return np.frombuffer(out, np.uint16) if out else np.zeros(0, np.uint16)
+    return np.frombuffer(out, np.uint32) if out else np.zeros(0, np.uint32)
 
 
 def slots_by_source(order: np.ndarray, sources: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,19 +100,17 @@ def smoothed(sizes: Mapping[str | None, int], power: float = 0.5) -> dict[str |
 
 
 def source_sizes(docs: DataFrame, source_col: str = "source") -> dict[str | None, int]:
-    got = docs.groupBy(F.col(source_col).cast("string").alias("s")).count().limit(MAX_SOURCES + 1).collect()
-    if len(got) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    return {r.s: r["count"] for r in got}
+    return {r.s: r["count"] for r in docs.groupBy(F.col(source_col).cast("string").alias("s")).count().collect()}
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = 64, power: float = 0.5, default_weight: float | None = None, seed: str = "mix", period: int | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = 64, power: float = 0.5, default_weight: float | None = None, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """All rows and columns of docs, and mix_slot (the block's place in the mixed order), mix_block
     (the block's number in its source) and mix_row (the row's number in the block). Ordered by
     mix_slot and mix_row, every prefix of whole slots holds the target weights.
 
     weights: target of each source; None smooths the sources' own sizes by `power`.
-    period: None keeps to the exact weights; a number, to weights rounded to so many slots."""
+    block_rows: the schedule takes 4 bytes a block on the driver and on every worker, and one heap step;
+    with very many rows, larger blocks keep it small."""
     sizes = source_sizes(docs, source_col)
     targets = smoothed(sizes, power) if weights is None else dict(weights)
     if missing := [s for s in sizes if s not in targets]:
@@ -205,17 +121,20 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     if any(not targets[s] > 0 for s in names):
         raise ValueError("weights must be above 0")
     blocks, wanted = [-(-sizes[s] // block_rows) for s in names], [targets[s] for s in names]
-    planned = slots_by_source(exact_order(blocks, wanted), len(names)) if period is None else schedule(blocks, wanted, period)
+    planned = slots_by_source(exact_order(blocks, wanted), len(names))
     number = {s: i for i, s in enumerate(names)}
 
     clash = {c.lower() for c in docs.columns} & {"mix_slot", "mix_block", "mix_row"}
     row = F.struct(*[docs[c] for c in docs.columns if c.lower() not in clash]).alias("row")
-    key = F.md5(F.concat_ws("\x1f", F.lit(seed), F.col(id_col).cast("string")).cast("binary"))
+    # rows without an id are dealt by what else they hold, so that any number of them spreads over buckets
+    rest = [docs[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    own = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("\x1f"), F.xxhash64(*rest).cast("string")))
+    key = F.md5(F.concat_ws("\x1f", F.lit(seed), own).cast("binary"))
     each = min(max(sum(sizes.values()) // BUCKETS, BUCKET_ROWS[0]), BUCKET_ROWS[1])
-    # one row a source, MAX_SOURCES at most
+    # one row a source
     parts = docs.sparkSession.createDataFrame([(s, -(-n // each)) for s, n in sizes.items()], "_s string, _parts long")
     rows = docs.select(row, F.col(source_col).cast("string").alias("_source"), F.col(id_col).alias("_id"), key.alias("_key"))
-    rows = rows.join(F.broadcast(parts), F.col("_source").eqNullSafe(F.col("_s")), "left")
+    rows = rows.join(F.broadcast(parts) if len(sizes) <= BROADCAST_SOURCES else parts, F.col("_source").eqNullSafe(F.col("_s")), "left")
     # buckets are ranges of the ordering hash, of which 28 bits are used
     share = F.conv(F.substring("_key", 1, 7), 16, 10).cast("long")
     rows = rows.withColumn("_bucket", F.floor(share * F.col("_parts") / F.lit(1 << 28)).cast("long")).drop("_s", "_parts")
@@ -230,18 +149,11 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
 
     @F.pandas_udf("long")
     def slot(source: pd.Series, block: pd.Series) -> pd.Series:
-        planned, number = shipped.value
-        out = np.empty(len(block), np.int64)
-        names = source.where(source.notna(), None)
-        for s in names.unique():
-            here = (names.isna() if s is None else names == s).to_numpy()
-            own = block.to_numpy()[here]
-            if isinstance(planned, list):
-                out[here] = place(planned, number[s], own)
-            else:
-                slots, first = planned
-                out[here] = slots[first[number[s]] + own]
-        return pd.Series(out)
+        (slots, first), number = shipped.value
+        # the number of each distinct source in the batch, then of each row
+        code, names = pd.factorize(source, use_na_sentinel=False)
+        start = np.array([first[number[None if pd.isna(s) else s]] for s in names], np.int64)
+        return pd.Series(slots[start[code] + block.to_numpy()].astype(np.int64))
 
     block = F.floor(F.col("_n") / F.lit(block_rows)).cast("long")
     return numbered.select("row", "_source", block.alias("mix_block"), (F.col("_n") % block_rows).cast("int").alias("mix_row")).select("row.*", slot("_source", "mix_block").alias("mix_slot"), "mix_block", "mix_row")
