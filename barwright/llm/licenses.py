@@ -3,12 +3,13 @@
 A paragraph is a line, or neighbouring lines without a blank one between them, joined: notices are
 often wrapped. Of a joined paragraph's first and last line only the `EDGE` words next to the others
 count, and between them lie fewer than 2 * `EDGE` words, so that a notice as long as the longest template
-fits however it is wrapped. A paragraph that holds an anchor word of some template is cut into words; its distinct word
+fits however it is wrapped. A paragraph is cut into words; its distinct word
 unigrams and bigrams are hashed into sparse features of a multinomial logistic regression whose
 classes are licence families and `unknown`. Probabilities are calibrated by a temperature fitted on
 held-out variants. A family's prediction is confirmed only where the paragraph also shares enough of
 one of that family's templates (word trigrams), or lies itself in one; otherwise the paragraph is
-`unknown`. Of confirmed paragraphs that share a line, the one that holds most of its template stays.
+`unknown`. Paragraphs without any of the `ANCHORS` aren't looked at: every template has so many trigrams
+with one of these words that no paragraph without them can be confirmed (`needed`, held by a test). Of confirmed paragraphs that share a line, the one that holds most of its template stays.
 
 The regression is fitted here, on the templates below, seeded variants of them and general licence
 talk as `unknown`; it is a constant of fixed size in the plan. The scan is DataFrame functions only:
@@ -38,18 +39,21 @@ from pyspark.sql import functions as F
 #: Hash buckets of the word n-grams.
 FEATURES = 2048
 #: Calibrated probability from which a family is predicted, and the share of a template's trigrams
-#: (or of the paragraph's own, of which it must hold OWN_TRIGRAMS then) that confirms it.
-LEAST_PROBABILITY, LEAST_OVERLAP, OWN_TRIGRAMS = 0.5, 0.5, 3
+#: (or of the paragraph's own, if it holds OWN_TRIGRAMS and OWN_HELD of the template) above which it is
+#: confirmed.
+LEAST_PROBABILITY, LEAST_OVERLAP, OWN_TRIGRAMS, OWN_HELD = 0.5, 0.5, 3, 0.4
 
 #: Short notices by which texts name their licence.
 TEMPLATES: dict[str, list[str]] = {
     "agpl": ["licensed under the gnu affero general public license version 3", "this program is free software under the terms of the gnu affero general public license"],
     "apache": ["licensed under the apache license version 2 0", "you may not use this file except in compliance with the license", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"],
+    "boost": ["distributed under the boost software license version 1 0", "licensed under the boost software license"],
     "bsd": ["licensed under the bsd 3 clause license", "licensed under the bsd 2 clause license", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"],
     "cc0": ["dedicated to the public domain under cc0 1 0 universal", "to the extent possible under law the author has waived all copyright and related rights to this work"],
     "cc-by": ["licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
     "cc-by-nc": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
     "cc-by-sa": ["licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
+    "epl": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "licensed under the eclipse public license version 2 0"],
     "gpl": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu gpl version 2 or later", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
     "isc": ["licensed under the isc license", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
     "lgpl": ["licensed under the gnu lesser general public license version 2 1", "this library is free software under the terms of the gnu lesser general public license"],
@@ -57,23 +61,47 @@ TEMPLATES: dict[str, list[str]] = {
     "mpl": ["this source code form is subject to the terms of the mozilla public license v 2 0", "licensed under the mozilla public license version 2 0"],
     "proprietary": ["copyright all rights reserved", "this document is proprietary and confidential and may not be reproduced without permission"],
     "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "zlib": ["licensed under the zlib license", "in no event will the authors be held liable for any damages arising from the use of this software"],
 }
+#: Identifiers in tags.
+TAGS = {
+    "agpl": ["agpl 3 0 or later", "agpl 3 0 only"], "apache": ["apache 2 0"], "boost": ["bsl 1 0"], "bsd": ["bsd 3 clause", "bsd 2 clause"], "cc0": ["cc0 1 0"], "cc-by": ["cc by 4 0"], "cc-by-nc": ["cc by nc 4 0"], "cc-by-sa": ["cc by sa 4 0"],
+    "epl": ["epl 2 0"], "gpl": ["gpl 3 0 or later", "gpl 2 0 only", "gpl 2 0 or later", "gpl 3 0 only"], "isc": ["isc"], "lgpl": ["lgpl 2 1 or later", "lgpl 3 0 only"], "mit": ["mit"], "mpl": ["mpl 2 0"], "unlicense": ["unlicense"], "zlib": ["zlib"],
+}
+for _family, _tags in TAGS.items():
+    TEMPLATES[_family] += [f"spdx license identifier {t}" for t in _tags]
 #: Talk of licences that names none.
 UNKNOWN = [
     "the driving license of the owner has expired", "a fishing license is needed here", "they asked for permission to leave", "the warranty covers two years of use",
     "the software was released last week", "please read the terms and conditions of sale", "the license plate was hard to read", "copyright law is a field of study",
     "the public domain is a legal idea", "this work is about the general public", "free software is a movement", "we may modify the schedule without notice",
     "distributed systems need care", "the commons were grazed by sheep", "poetic license is common in songs", "the source of the river", "all rights come with duties",
+    "spdx license identifier licenseref custom", "spdx license identifier see file", "no one will be held liable for the weather", "the terms of the lease were made available", "a boost in sales under the new version",
     "the apache people of the southwest", "he studied at mit for four years", "a mozilla developer gave a talk", "attribution of the painting is disputed",
 ]
-#: A paragraph without any of these words shares no template's key term and is unknown.
-ANCHORS = r"(?i)licen[cs]e|copyright|public domain|redistribut|hereby granted|warrant|waived all|proprietary|unencumbered|gnu |creative commons|endorse or promote".replace(" ", "[^a-z0-9]+")
+#: Words that hold every template together; see `needed`.
+ANCHOR_WORDS = """license licensed copyright permission permitted proprietary confidential reserved waived granted gnu gpl lgpl agpl affero lesser mozilla eclipse bsd cc cc0 mit
+    noncommercial sharealike attribution domain unencumbered software source binary documentation file authors contributors subject purpose conditions compliance applicable
+    warranties damages liable arising distributed redistribute redistribution released related reproduced available accompanying derived endorse promote modify obtaining possible""".split()
+ANCHORS = rf"(?<![a-z0-9])(?:{'|'.join(ANCHOR_WORDS)})(?![a-z0-9])"
 
 
 def _words(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.lower())
 
 
+def trigrams(words: list[str]) -> list[str]:
+    """Distinct word trigrams, or the whole of fewer words."""
+    return sorted({" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))})
+
+
+def needed(template: str, overlap: float = 0.5) -> int:
+    """Trigrams of a template that a paragraph must hold at least to be confirmed by it. Fewer of them than
+    that may be without an anchor word."""
+    n = len(trigrams(_words(template)))
+    return min(int(n * overlap) + 1, max(OWN_TRIGRAMS, math.ceil(n * OWN_HELD)))
+
+
 #: Words of the longest template.
 EDGE = max(len(_words(t)) for ts in TEMPLATES.values() for t in ts)
 
@@ -177,7 +205,7 @@ def classify(line: Column, model: Model, least: float = LEAST_PROBABILITY, overl
     # bucket after bucket, a weight for each class; folded to one constant array
     weights = F.split(F.lit(",".join(f"{x:g}" for x in model.weights.T.ravel())), ",").cast("array<double>")
     bias = F.array(*[F.lit(float(x)) for x in model.bias])
-    shapes = {c: [sorted({" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))}) for w in map(_words, ts)] for c, ts in TEMPLATES.items()}
+    shapes = {c: [trigrams(_words(t)) for t in ts] for c, ts in TEMPLATES.items()}
 
     def scores(buckets: Column) -> Column:
         scale = F.sqrt(F.greatest(F.size(buckets), F.lit(1)).cast("double"))
@@ -203,8 +231,8 @@ def classify(line: Column, model: Model, least: float = LEAST_PROBABILITY, overl
                 sizes = F.array(*[F.lit(float(len(t))) for t in templates])
 
                 def both(n: Column) -> Column:
-                    most = F.array_max(n)
-                    own = F.when(most >= OWN_TRIGRAMS, most / F.size(F.array_distinct(tri))).otherwise(F.lit(0.0))
+                    enough = F.array_max(F.zip_with(n, sizes, lambda x, y: F.when((x >= OWN_TRIGRAMS) & (x >= y * OWN_HELD), x).otherwise(F.lit(0))))
+                    own = enough / F.size(F.array_distinct(tri))
                     return F.struct(F.array_max(F.zip_with(n, sizes, lambda x, y: x / y)).alias("held"), own.alias("own"))
 
                 out = F.when(guess["family"] == c, _let(common, both)).otherwise(out)
@@ -212,7 +240,7 @@ def classify(line: Column, model: Model, least: float = LEAST_PROBABILITY, overl
 
         def verdict(s: Column) -> Column:
             most = F.greatest(s["held"], s["own"])
-            sure = (guess["family"] != "unknown") & (guess["p"] >= least) & (most >= overlap)
+            sure = (guess["family"] != "unknown") & (guess["p"] >= least) & (most > overlap)
             return F.struct(F.when(sure, guess["family"]).otherwise(F.lit("unknown")).alias("license"), F.round(guess["p"], 6).alias("probability"), F.round(most, 6).alias("overlap"), F.round(s["held"], 6).alias("held"))
 
         return _let(_let(_trigrams(words), share), verdict)
@@ -284,12 +312,12 @@ def scan_licenses(docs: DataFrame, model: Model | None = None, id_col: str = "do
 
     def candidates(ls: Column) -> Column:
         single = F.transform(ls, lambda x: F.struct(x["line"].alias("line"), F.lit(1).alias("lines"), x["text"].alias("text")))
-        return F.filter(F.concat(single, _joined(ls)), lambda x: x["text"].rlike(ANCHORS))
+        return F.filter(F.concat(single, _joined(ls)), lambda x: F.lower(x["text"]).rlike(ANCHORS))
 
     def judge(x: Column) -> Column:
         return _let(classify(x["text"], model, least, overlap), lambda c: F.struct(x["line"].alias("line"), x["lines"].alias("lines"), *[c[f].alias(f) for f in ("license", "probability", "overlap", "held")]))
 
-    found = F.when(F.col("text").rlike(ANCHORS), _let(lines, candidates))
+    found = F.when(F.lower("text").rlike(ANCHORS), _let(lines, candidates))
     judged = _apart(F.transform(F.coalesce(found, F.array().cast(_PARAGRAPHS)), judge))
     out = rows.select("doc_id", judged.alias("paragraphs"))
     named = F.filter("paragraphs", lambda x: x["license"] != "unknown")
