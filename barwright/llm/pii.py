@@ -1,12 +1,16 @@
 """Surrogates for personal data (operator 5).
 
-Entities are found in whole texts: e-mail addresses, IPv4 addresses, payment cards, phone numbers,
-social security numbers, IBANs and names (after a title or with a known first name). Each is replaced
-by a keyed surrogate of its own kind: digits by digits in the same layout (a card that passes the Luhn
-test gets one that passes), letters by letters of the same case, first names by names of the same
-gender and script, surnames by made-up ones of the same script. Names are mapped part by part and
-e-mail domains on their own, so "Mr Weber" and "Anna Weber", or two addresses at one host, still
-belong together.
+Entities are found in whole texts: e-mail addresses, IP addresses of both versions, payment cards, phone
+numbers (with separators or a country code, or plain after a word like "call"), social security numbers,
+IBANs and names (after a title or a phrase like "my name is", or with a known first name). A part of a
+name that was found stands for the same person wherever else it stands alone in the text.
+
+Each is replaced by a keyed surrogate of its own kind: digits by digits in the same layout (a card that
+passes the Luhn test gets one that passes, an IBAN check digits that fit), letters by letters of the same
+case, first names by names of the same gender (or of none, where nothing tells it) and script, surnames
+by made-up ones of the same script; a script without lists here by other letters of its own. Names are
+mapped part by part and e-mail domains on their own, so "Mr Weber" and "Anna Weber", or two addresses at
+one host, still belong together.
 
 A surrogate depends only on the key, the kind, the normalised value and a try number. Over the whole
 corpus, distinct values are given distinct surrogates that are nobody's real value: where a surrogate
@@ -17,6 +21,7 @@ that hold them beyond that.
 Defined results
     null text        stays null, no entity. Empty text stays empty.
     overlaps         the leftmost match, then the kind listed first, wins.
+    lone names       replaced where the text holds them as part of a name; not written small.
     collisions       of values that share a surrogate, the least value keeps it.
     repeated rows    the same text for each. An empty table gives no rows.
     other columns    carried by `pseudonymise_rows`; the entity count is added there as `n_entities`
@@ -26,7 +31,9 @@ Defined results
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,6 +59,14 @@ SYLLABLES = {
     "cyrillic": "ба ва га да ка ла ма на па ра са та во го до ко ло мо но ро со то".split(),
     "greek": "βα γα δα κα λα μα να πα ρα σα τα βο γο δο κο λο μο νο ρο το".split(),
 }
+#: First names that tell no gender, by script; never searched for.
+NEUTRAL = {
+    "latin": "Alex Robin Kim Sascha Noa Charlie Dominique Camille Sam Toni Luca Jules Kaya Mika Rene Quinn".split(),
+    "cyrillic": "Саша Женя Валя Шура Слава Паша Тоша Рома".split(),
+    "greek": "Άλεξ Ντάνι Φώτη Ζωή Χάρι Λίνο".split(),
+}
+#: Last letters of made-up first names, by script and gender.
+ENDINGS = {"latin": {"f": "a", "m": "nrs", "": "ie"}, "cyrillic": {"f": "ая", "m": "нрс", "": "ио"}, "greek": {"f": "αη", "m": "ς", "": "ιο"}}
 #: Titles and the gender that they tell.
 TITLES = {"mr": "m", "herr": "m", "señor": "m", "sr": "m", "monsieur": "m", "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "señora": "f", "sra": "f", "madame": "f", "mme": "f", "dr": "", "prof": "", "г-н": "m", "г-жа": "f"}
 _GENDER = {n.casefold(): (s, g) for (s, g), names in FIRST.items() for n in names}
@@ -67,15 +82,67 @@ _DIGITS = re.compile(
     r"|(?P<phone>(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|[.-]\d)"
     r")"
 )
+_IPV6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)")
+#: A plain number after a word that tells a phone.
+_CALL = re.compile(r"(?<!\w)(?i:call(?:ed|ing)?|phoned?|tel|telephone|mobile|cell|fax|dial(?:led)?|rang)(?:[ ](?i:me|us|him|her|them|at|on|is|no|number))*[.:]?[ ](?P<phone>\d{7,12})(?!\w|[.-]\d)")
 _TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
-_CAP = r"[^\W\d_a-zß-öø-ÿа-яά-ώ][^\W\d_]+(?:-[^\W\d_]+)*"
-_NAME = re.compile(rf"(?<!\w)(?:(?P<title>(?i:{_TITLE}))\.?\x20(?P<rest>{_CAP}(?:\x20{_CAP})?)|(?P<first>{'|'.join(sorted({n for v in FIRST.values() for n in v}))})\x20(?P<last>{_CAP}))(?!\w)")
+#: Combining marks, which belong to the letters before them.
+_MARKS = "".join(x for x in map(chr, range(0x300, 0xFB00)) if unicodedata.category(x) in ("Mn", "Mc"))
+_LETTER = rf"(?:[^\W\d_]|[{_MARKS}])"
+_CAP = rf"[^\W\d_a-zß-öø-ÿа-яά-ώ]{_LETTER}+(?:-{_LETTER}+)*"
+_NAME = re.compile(rf"(?<!\w)(?:(?P<title>(?i:{_TITLE}))\.?\x20(?P<rest>{_CAP}(?:\x20{_CAP})?)|(?i:my name is|name:|signed by|written by|contact:|attn:|sincerely,|regards,)\s(?P<cued>{_CAP}\x20{_CAP})|(?P<first>{'|'.join(sorted({n for v in FIRST.values() for n in v}))})\x20(?P<last>{_CAP}))(?!\w)")
 _HINT = re.compile(r"[0-9@]")
 
 
+_WORD = re.compile(rf"{_LETTER}+(?:-{_LETTER}+)*")
+
+
 def script(word: str) -> str:
+    """The script of the first letter: the first word of its Unicode name."""
     c = ord(word[0])
-    return "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 or 0x1F00 <= c < 0x2000 else "latin"
+    if c < 0x250:
+        return "latin"
+    return unicodedata.name(word[0], "unknown").split(" ")[0].split("-")[0].lower()
+
+
+def _names(text: str) -> list[tuple[int, int, list[tuple[int, int, str, str]]]]:
+    """(start, end, parts) of names."""
+    out = []
+    for m in _NAME.finditer(text):
+        gender = TITLES.get((m["title"] or "").casefold(), "")
+        at = m.start("rest") if m["title"] else m.start("first") if m["first"] else m.start("cued")
+        names, parts = text[at : m.end()].split(" "), []
+        for k, w in enumerate(names):
+            known = _GENDER.get(w.casefold())
+            kind = f"first:{script(w)}:{known[1] if known else gender}" if known or k < len(names) - 1 else f"last:{script(w)}"
+            parts.append((at, at + len(w), kind, ""))
+            at += len(w) + 1
+        out.append((m.start(), m.end(), parts))
+    return out
+
+
+def _alone(text: str, names: list[tuple[int, int, list]]) -> list[tuple[int, int, list]]:
+    """The names with one kind for each word of the text (a gender told anywhere counts everywhere), and
+    their parts where they stand alone."""
+    kinds: dict[tuple[str, str], str] = {}
+    for _, _, parts in names:
+        for s, e, kind, _ in parts:
+            key = (text[s:e].casefold(), kind.split(":")[0])
+            kinds[key] = max(kinds.get(key, ""), kind, key=len)
+    out = [(s, e, [(x, y, kinds[text[x:y].casefold(), k.split(":")[0]], "") for x, y, k, _ in parts]) for s, e, parts in names]
+    lone = {w: kinds.get((w, "last")) or kinds[w, "first"] for w, _ in kinds}
+    for m in _WORD.finditer(text):
+        if (kind := lone.get(m[0].casefold())) and not m[0].islower():
+            out.append((m.start(), m.end(), [(m.start(), m.end(), kind, "")]))
+    return out
+
+
+def _is_ipv6(value: str) -> bool:
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return False
+    return sum(c != ":" for c in value) >= 4
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
@@ -88,20 +155,11 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 got.append((m.start(), 0, m.end(), [(m.start(), at - 1, "mailbox", text[at : m.end()].casefold()), (at, m.end(), "host", "")]))
         got += [(m.start(), 1, m.end(), [(m.start(), m.end(), m.lastgroup if m.lastgroup != "gap" else "card", "")]) for m in _DIGITS.finditer(text)]
         got += [(m.start(), 2, m.end(), [(m.start(), m.end(), "iban", "")]) for m in _IBAN.finditer(text)]
-    for m in _NAME.finditer(text):
-        parts = []
-        gender = TITLES.get((m["title"] or "").casefold(), "")
-        at = m.start("rest") if m["title"] else m.start("first")
-        names = text[at : m.end()].split(" ")
-        for k, w in enumerate(names):
-            known = _GENDER.get(w.casefold())
-            if known or k < len(names) - 1:
-                kind = f"first:{script(w)}:{known[1] if known else gender or 'm'}"
-            else:
-                kind = f"last:{script(w)}"
-            parts.append((at, at + len(w), kind, ""))
-            at += len(w) + 1
-        got.append((m.start(), 3, m.end(), parts))
+        got += [(m.start("phone"), 3, m.end(), [(m.start("phone"), m.end(), "phone", "")]) for m in _CALL.finditer(text)]
+        if ":" in text:
+            got += [(m.start(), 4, m.end(), [(m.start(), m.end(), "ipv6", "")]) for m in _IPV6.finditer(text) if _is_ipv6(m[0])]
+    if names := _names(text):
+        got += [(s, 5 + (k >= len(names)), e, parts) for k, (s, e, parts) in enumerate(_alone(text, names))]
     out, end = [], 0
     for s, _, e, parts in sorted(got, key=lambda x: x[:3]):
         if s >= end:
@@ -184,14 +242,41 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int) -> str:
         return new
     if kind in ("phone", "ssn"):
         return _digits(s, normal, keep=1 if kind == "phone" and len(normal) > 10 else 0)
+    if kind == "ipv6":
+        return "".join("0123456789abcdef"[s.below(16)] if c in "0123456789abcdef" else c for c in normal)
     if kind == "iban":
-        return normal[:2] + "".join(str(s.below(10)) if c.isdigit() else chr(65 + s.below(26)) for c in normal[2:])
+        body = "".join(str(s.below(10)) if c.isdigit() else chr(65 + s.below(26)) for c in normal[4:])
+        return normal[:2] + iban_check(normal[:2], body) + body
     part, scr, *gender = kind.split(":")
-    if part == "first":
-        pool = [n for n in FIRST[(scr, gender[0])] if n.casefold() != normal]
-        return "-".join(pool[s.below(len(pool))] for _ in range(1 + attempt // 3)).casefold()
+    return "-".join(_name(s, part, scr, gender[0] if gender else "", w, attempt) for w in normal.split("-"))
+
+
+def iban_check(country: str, body: str) -> str:
+    """The two digits that make the account number pass."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02}"
+
+
+def _name(s: _Stream, part: str, scr: str, gender: str, normal: str, attempt: int) -> str:
+    """Another name: of the lists at the first tries, then a made-up one with the gender's ending."""
+    if scr not in SYLLABLES:
+        return "".join(_alike(s, c) for c in normal)
+    if part == "first" and attempt < 3:
+        pool = [n for n in (FIRST[scr, gender] if gender else NEUTRAL[scr]) if n.casefold() != normal]
+        return pool[s.below(len(pool))].casefold()
     syl = SYLLABLES[scr]
-    return "".join(syl[s.below(len(syl))] for _ in range(3 + s.below(2) + attempt // 3)).casefold()
+    made = "".join(syl[s.below(len(syl))] for _ in range(2 + s.below(2) + (part == "last") + attempt // 6))
+    if part == "first":
+        ends = ENDINGS[scr][gender]
+        made = (made if gender == "m" else made[:-1]) + ends[s.below(len(ends))]
+    return made
+
+
+def _alike(s: _Stream, c: str) -> str:
+    """Another letter of the same script and class, from the 128 characters around."""
+    kind, of = unicodedata.category(c), unicodedata.name(c, "").split(" ")[0].split("-")[0]
+    low = ord(c) & ~127
+    pool = [x for x in map(chr, range(low, low + 128)) if x != c and unicodedata.category(x) == kind and unicodedata.name(x, "").split(" ")[0].split("-")[0] == of]
+    return pool[s.below(len(pool))] if pool else c
 
 
 def dress(kind: str, original: str, normal: str) -> str:
@@ -254,16 +339,16 @@ def assign(found: DataFrame, key: bytes, most_tries: int = 60) -> tuple[DataFram
     given before, and each other."""
     pending, done, exceptions = found, None, None
     for attempt in range(most_tries):
-        tried = cut(_tries(pending, key, attempt), "pii-tries", fewer=4)
+        tried = cut(_tries(pending, key, attempt), "pii-tries")
         real = found.select("kind", F.col("normal").alias("new"))
         free = tried.join(real.hint("merge"), ["kind", "new"], "left_anti")
         if done is not None:
             free = free.join(done.select("kind", "new").hint("merge"), ["kind", "new"], "left_anti")
-        good = cut(free.groupBy("kind", "new").agg(F.min("normal").alias("normal")).select("kind", "normal", "new", F.lit(attempt).alias("attempt")), "pii-good", fewer=4)
+        good = cut(free.groupBy("kind", "new").agg(F.min("normal").alias("normal")).select("kind", "normal", "new", F.lit(attempt).alias("attempt")), "pii-good")
         done = good if done is None else done.unionAll(good)
         if attempt:
             exceptions = good if exceptions is None else exceptions.unionAll(good)
-        pending = cut(tried.select("kind", "normal").join(good.select("kind", "normal").hint("merge"), ["kind", "normal"], "left_anti"), "pii-pending", fewer=4)
+        pending = cut(tried.select("kind", "normal").join(good.select("kind", "normal").hint("merge"), ["kind", "normal"], "left_anti"), "pii-pending")
         if pending.isEmpty():
             break
     else:
