@@ -6,10 +6,11 @@ the document that can hold a match at all. Greedy string tiling then takes the l
 don't overlap, found by running Karp-Rabin; matches may stand in any order, so reordered passages are
 caught. A document is contaminated by an item when tiles cover at least `coverage` of its words.
 
-The benchmark is a set of queries against all rows. Its seeds are broadcast only while they are at
-most `BROADCAST_SEEDS`; a larger benchmark is joined on seed hashes instead. Verdicts are a matter of
-the text alone, so there each distinct text is judged once and rows find theirs by the text's hash.
-Both ways give the same result.
+The benchmark is a set of queries against all rows: its index is sent to every worker. A benchmark of
+more than `BLOCK_WORDS` words goes in blocks of about so many, one pass over the rows for each, whose
+findings (one row for a text and block that share a seed) are put together by the text's hash. No rows
+are joined on seeds, so a phrase that very many texts and items hold costs what any other does. Verdicts
+are a matter of the text alone; the result is the same in any number of blocks.
 
 Defined results
     null or empty text      no match. An item without words matches nothing.
@@ -26,6 +27,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,8 @@ from pyspark.sql import functions as F
 from barwright.llm.common import cut
 
 SEED, COVERAGE = 5, 0.5
-#: Seeds sent to every worker at most (about 100 bytes each).
-BROADCAST_SEEDS = 1_000_000
+#: Words of the benchmark whose seeds are sent to every worker at a time (about 100 bytes each).
+BLOCK_WORDS = 1_000_000
 #: Tilings remembered in one worker.
 REMEMBERED = 20_000
 
@@ -199,97 +201,89 @@ class Index:
 _OUT = "best_item long, coverage double, items array<long>, contaminated boolean"
 
 
-def _small(items: DataFrame, seed: int, limit: int, id_col: str, text_col: str) -> Index | None:
-    """The index of a benchmark whose seeds are within the limit; there are fewer seeds than words, which
-    are counted by the class that Python's \\w stands for."""
-    n = items.select(F.sum(F.size(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}_]+"))).alias("n")).first().n or 0
-    if n > limit:
-        return None
-    return Index([(r[0], r[1]) for r in items.select(F.col(id_col).cast("long"), F.col(text_col)).collect()], seed)
+def _blocks(items: DataFrame, seed: int, limit: int, id_col: str, text_col: str) -> Iterator[Index]:
+    """Indexes of the benchmark in blocks of about `limit` words, counted by the class that Python's \\w
+    stands for; always one at least. A block is collected when it is asked for."""
+    rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    n = rows.select(F.sum(F.size(F.split(F.lower("t"), r"[^\p{L}\p{N}_]+"))).alias("n")).first().n or 0
+    many = max(1, -(-n // limit))
+    for k in range(many):
+        part = rows if many == 1 else rows.filter(F.pmod(F.xxhash64("t", "i"), F.lit(many)) == k)
+        yield Index([(r.i, r.t) for r in part.collect()], seed)
 
 
-def _broadcast_search(docs: DataFrame, index: Index, least: float, key: str, text: str) -> DataFrame:
-    shipped = docs.sparkSession.sparkContext.broadcast(([(i, " ".join(s)) for i, s in index.items], index.seed))
+def _shipped(docs: DataFrame, index: Index):
+    return docs.sparkSession.sparkContext.broadcast(([(i, " ".join(s)) for i, s in index.items], index.seed))
+
+
+def _text_key(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def _found(docs: DataFrame, index: Index, least: float, text: str) -> DataFrame:
+    """doc_key (hash of the text) and what this block of the benchmark says, of texts that share a seed
+    with it; repeated texts have repeated rows."""
+    shipped = _shipped(docs, index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Index(*shipped.value)
         for b in batches:
-            got = [own.best(t, least) for t in b.column(1).to_pylist()]
+            got = [(k, *x) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t and (x := own.best(t, least))[0] > 0]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([x[1] for x in got], pa.int64()), pa.array([x[0] for x in got], pa.float64()), pa.array([x[2] for x in got], pa.list_(pa.int64())), pa.array([x[0] >= least for x in got], pa.bool_())],
-                names=[key, "best_item", "coverage", "items", "contaminated"])
-
-    return docs.select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, {_OUT}")
+                [pa.array([x[0] for x in got], pa.string()), pa.array([x[2] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[3] for x in got], pa.list_(pa.int64()))],
+                names=["doc_key", "best_item", "coverage", "items"])
 
+    return docs.select(_text_key(F.col(text)).alias("doc_key"), F.col(text).alias("text")).mapInArrow(run, "doc_key string, best_item long, coverage double, items array<long>")
 
-def _text_key(text: Column) -> Column:
-    return F.sha2(text, 256)
 
+def _together(docs: DataFrame, blocks: Iterator[Index], least: float, text: str) -> DataFrame:
+    """doc_key, best_item, coverage, items, contaminated of each distinct text that shares a seed with
+    the benchmark."""
+    found = None
+    for k, index in enumerate(blocks):
+        # equal texts are one row before anything is written
+        one = cut(_found(docs, index, least, text).groupBy("doc_key").agg(F.first("best_item").alias("best_item"), F.first("coverage").alias("coverage"), F.first("items").alias("items")), f"bench-block-{k}")
+        found = one if found is None else found.unionAll(one)
+    best = found.groupBy("doc_key").agg(F.max_by("best_item", F.struct("coverage", -F.col("best_item"))).alias("best_item"), F.max("coverage").alias("coverage"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
+    return cut(best.withColumn("contaminated", F.col("coverage") >= least), "bench-best")
 
-def _joined_search(docs: DataFrame, items: DataFrame, seed: int, least: float, text: str, id_col: str, text_col: str) -> DataFrame:
-    """doc_key (hash of the text), best_item, coverage, items and contaminated of each distinct text that
-    shares a seed with an item, for a benchmark too large to broadcast: texts and items meet on seed
-    hashes; pairs are reduced to (text, item) before their texts are joined, so a seed or text with very
-    many partners is spread over tasks by the other side's key."""
 
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def find_contamination(docs: DataFrame, items: DataFrame, seed: int = SEED, least: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row for each row of docs: doc_id, best_item, coverage, items (all over the threshold),
+    contaminated."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    blocks = _blocks(items, seed, block_words, item_id, item_text)
+    first, second = next(blocks), next(blocks, None)
+    if second is not None:
+        best = _together(rows, chain([first, second], blocks), least, "text")
+        out = rows.select("doc_id", _text_key(F.col("text")).alias("_key")).join(best.hint("merge"), F.col("_key") == F.col("doc_key"), "left")
+        return out.select("doc_id", "best_item", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("contaminated", F.lit(False)).alias("contaminated"))
+    shipped = _shipped(docs, first)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Index(*shipped.value)
         for b in batches:
-            who, hs = [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                w = words(t)
-                sizes = {seed} | ({len(w)} if 0 < len(w) < seed else set()) if b.schema.names[0] == "item_key" else set(range(1, seed + 1))
-                for k in sizes:
-                    for h in {xxhash.xxh64_intdigest(" ".join(w[j : j + k])) - 2**63 for j in range(len(w) - k + 1)}:
-                        who.append(i)
-                        hs.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(who, pa.string()), pa.array(hs, pa.int64())], names=["who", "h"])
-
-    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(words(t)) for t in b.column(1).to_pylist()], pa.string())], names=["item_id", "item_text"])
+            got = [own.best(t, least) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([x[1] for x in got], pa.int64()), pa.array([x[0] for x in got], pa.float64()), pa.array([x[2] for x in got], pa.list_(pa.int64())), pa.array([x[0] >= least for x in got], pa.bool_())],
+                names=["doc_id", "best_item", "coverage", "items", "contaminated"])
 
-    its = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("item_text")).mapInArrow(plain, "item_id long, item_text string").filter("item_text <> ''").distinct()
-    its = cut(its.withColumn("item_key", F.sha2(F.concat(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.lit("\x01"), F.col("item_text")), 256)), "bench-items")
-    ds = cut(docs.select(_text_key(F.col(text)).alias("doc_key"), F.col(text).alias("doc_text")).filter("doc_text is not null").dropDuplicates(["doc_key"]), "doc-texts")
-    a = cut(ds.select("doc_key", "doc_text").mapInArrow(seeds, "who string, h long").select(F.col("who").alias("doc_key"), "h"), "doc-seeds")
-    b = cut(its.select("item_key", "item_text").mapInArrow(seeds, "who string, h long").select(F.col("who").alias("item_key"), "h"), "item-seeds")
-    pairs = cut(a.join(b, "h").select("doc_key", "item_key").distinct(), "bench-pairs")
-    full = pairs.join(its, "item_key").join(ds, "doc_key")
+    return rows.mapInArrow(run, "doc_id long, best_item long, coverage double, items array<long>, contaminated boolean")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in batches:
-            cov = [Index([(0, y)], seed).best(x, least)[0] for x, y in zip(r.column(1).to_pylist(), r.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([r.column(0), r.column(2), pa.array(cov, pa.float64())], names=["doc_key", "item_id", "c"])
 
-    scored = full.select("doc_key", "doc_text", "item_id", "item_text").mapInArrow(run, "doc_key string, item_id long, c double")
-    best = scored.groupBy("doc_key").agg(F.max_by("item_id", F.struct("c", -F.col("item_id"))).alias("best_item"), F.max("c").alias("coverage"),
-                                          F.array_sort(F.collect_list(F.when(F.col("c") >= least, F.col("item_id")))).alias("items"), F.max(F.col("c") >= least).alias("contaminated"))
-    named = F.when(F.col("coverage") > 0, F.col("best_item"))
-    return cut(best.select("doc_key", named.alias("best_item"), "coverage", "items", "contaminated"), "bench-best")
+def decontaminate(docs: DataFrame, items: DataFrame, seed: int = SEED, least: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs that no item contaminates, with all their columns: row by row, or, for a benchmark
+    of several blocks, by an anti-join on the text's hash."""
+    blocks = _blocks(items, seed, block_words, item_id, item_text)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _without(docs, first, least, text_col)
+    bad = _together(docs, chain([first, second], blocks), least, text_col).filter("contaminated").select("doc_key")
+    return docs.join(bad.hint("merge"), _text_key(docs[text_col]) == bad["doc_key"], "left_anti")
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, seed: int = SEED, least: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
-    """One row for each row of docs: doc_id, best_item, coverage, items (all over the threshold),
-    contaminated."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    index = _small(items, seed, broadcast_seeds, item_id, item_text)
-    if index is not None:
-        return _broadcast_search(rows, index, least, "doc_id", "text")
-    best = _joined_search(rows, items, seed, least, "text", item_id, item_text)
-    out = rows.select("doc_id", _text_key(F.col("text")).alias("_key")).join(best.hint("merge"), F.col("_key") == F.col("doc_key"), "left")
-    return out.select("doc_id", "best_item", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("contaminated", F.lit(False)).alias("contaminated"))
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, seed: int = SEED, least: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
-    """The rows of docs that no item contaminates, with all their columns."""
-    index = _small(items, seed, broadcast_seeds, item_id, item_text)
-    if index is None:
-        bad = _joined_search(docs, items, seed, least, text_col, item_id, item_text).filter("contaminated").select("doc_key")
-        return docs.join(bad.hint("merge"), _text_key(docs[text_col]) == bad["doc_key"], "left_anti")
-    shipped = docs.sparkSession.sparkContext.broadcast(([(i, " ".join(s)) for i, s in index.items], seed))
-    at = docs.columns.index(text_col)
+def _without(docs: DataFrame, index: Index, least: float, text_col: str) -> DataFrame:
+    shipped, at = _shipped(docs, index), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Index(*shipped.value)
