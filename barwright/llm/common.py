@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
@@ -12,7 +14,9 @@ from pyspark.sql import functions as F
 
 @lru_cache(maxsize=1)
 def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="barwright-shared-")
+    found = tempfile.mkdtemp(prefix="barwright-shared-")
+    atexit.register(shutil.rmtree, found, ignore_errors=True)
+    return found
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,17 +29,31 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_folder()
 
 
-def cut(df: DataFrame, name: str, codec: str = "zstd", fewer: int = 1) -> DataFrame:
+#: Rows of a narrow table (ids, digests, counts) that go into one file.
+NARROW = 200_000
+
+
+def cut(df: DataFrame, name: str, rows: int | None = None, per_file: int = NARROW) -> DataFrame:
     """Write df to the shared folder and read it back, so that later stages survive a lost executor
     without computing it again, and so that plans see it as an input of their own.
 
-    fewer: for tables much narrower than what they are made from, the files (and last tasks) are this
-    many times fewer than shuffle partitions, two at least."""
+    rows: an upper bound of its rows, where one is known. A last stage of more tasks than `per_file`
+    rows each call for is narrowed, so that the number of files follows the data and nothing else."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/barwright/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    out = df if fewer == 1 else df.coalesce(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // fewer))
-    out.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df if rows is None else df.coalesce(max(1, -(-rows // per_file)))
+    out.write.option("compression", "zstd").parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._cut_path = path
+    return back
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove tables that `cut` has written, once nothing reads them any more."""
+    for t in tables:
+        if t is not None and (path := getattr(t, "_cut_path", None)):
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

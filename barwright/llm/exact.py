@@ -10,6 +10,8 @@ Defined results
     repeated rows   rows equal in id and text are one document to `annotate` (the same verdict);
                     `dedup` returns one of them.
     empty table     no rows.
+    later batches   a digest keeps the id that its first batch gave it, whatever ids come later, as
+                    what was kept then has been passed on; `group_size` counts the batch.
     other columns   carried by `dedup` whatever their names; `annotate` returns its own columns only.
 """
 
@@ -23,6 +25,9 @@ from pyspark.sql import functions as F
 
 from barwright.llm.common import cut, text_or_empty
 
+#: Digests of one bucket, about 150 MB; the least number of buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 2_000_000, 8
+
 
 def digest(col: str = "text"):
     """Lowercase hex SHA-256 of the text's UTF-8 bytes."""
@@ -33,20 +38,44 @@ class DigestIndex:
     """Digests seen so far, with the id that stays for each.
 
     path: folder shared by the cluster; None puts the table into the warehouse.
-    buckets: fixed when the index is made; about index bytes / 512 MB.
+    rows: digests that it is to hold in the end; they set the number of buckets, which is fixed when
+    the index is made. An index that exists keeps its own.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 32, name: str | None = None):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, name: str | None = None, rows: int = 0):
+        self.spark = spark
+        self.buckets = buckets or max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
+        if path:
+            self.buckets = self._noted(path, self.buckets)
         key = hashlib.md5((path or name or uuid.uuid4().hex).encode()).hexdigest()[:20]
         self.name = f"digest_index_{key}"
         at = f" LOCATION '{path}'" if path else ""
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} (digest STRING, keep_id BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS{at}"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS{at}"
         )
         if path:
             spark.catalog.refreshTable(self.name)
+        found = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {self.name}").collect()}
+        self.buckets = int(found["Num Buckets"])
+
+    def _noted(self, path: str, buckets: int) -> int:
+        """The number of buckets that an index in this folder was made with, noted there; else this one."""
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path, "_buckets")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if fs.exists(at):
+            noted = fs.open(at)
+            try:
+                return noted.readInt()
+            finally:
+                noted.close()
+        out = fs.create(at)
+        try:
+            out.writeInt(buckets)
+        finally:
+            out.close()
+        return buckets
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -70,15 +99,16 @@ class DigestIndex:
 
 def _verdicts(docs: DataFrame, index: DigestIndex, id_col: str, text_col: str) -> DataFrame:
     """(digest, keep_id, group_size) of each digest in docs, after the index has taken in the new ones."""
+    n = docs.count()
     groups = cut(
         docs.select(F.col(id_col).cast("long").alias("id"), digest(text_col).alias("digest"))
         .groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")),
-        "digest-groups", fewer=32,
+        "digest-groups", rows=n,
     )
     index.append(index.unseen(groups))
     known = index.table().select("digest", "keep_id")
     out = groups.select("digest", "group_size").repartition(index.buckets, "digest").join(known.hint("merge"), "digest")
-    return cut(out.select("digest", "keep_id", "group_size"), "digest-verdicts", fewer=32)
+    return cut(out.select("digest", "keep_id", "group_size"), "digest-verdicts", rows=n)
 
 
 def annotate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

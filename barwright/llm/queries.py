@@ -51,7 +51,7 @@ def op7_transcript_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.parse_transcripts(raw, chat.fit(raw))
     true = F.filter("states", lambda s: s % 2 == 0)
     names = F.array(*[F.lit(r) for r in chat.ROLES])
-    return out.select("conv_id", "segment", "part", F.size("turns").alias("n_turns"), F.concat_ws(",", F.transform(true, lambda s: F.element_at(names, (s / 2).cast("int") + 1))).alias("true_roles"),
+    return out.select("conv_id", "part", F.size("turns").alias("n_turns"), F.concat_ws(",", F.transform(true, lambda s: F.element_at(names, (s / 2).cast("int") + 1))).alias("true_roles"),
                       F.concat_ws(",", F.transform("turns", lambda t: t["role"])).alias("roles"), "chat")
 
 
@@ -66,9 +66,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = exact.DigestIndex(spark)
+    docs = table(spark, sf_dir, "documents")
+    index = exact.DigestIndex(spark, rows=docs.count())
     try:
-        return exact.annotate(table(spark, sf_dir, "documents"), index)
+        return exact.annotate(docs, index)
     finally:
         index.drop()  # the result reads the written verdicts only
 

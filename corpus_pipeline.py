@@ -20,7 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    index = exact.DigestIndex(spark)
+    index = exact.DigestIndex(spark, rows=docs.count())
     try:
         return exact.dedup(docs, index)
     finally:
