@@ -71,3 +71,16 @@ def exact(rows):
     for d, t in rows:
         groups[t or ""].append(d)
     return {d: (max(groups[t or ""]), len(groups[t or ""])) for d, t in rows}
+
+
+def addresses(text):
+    """E-mail and IPv4 addresses among the words of a text."""
+    out = []
+    for w in (text or "").split():
+        w = w.strip(".,;:!?*#%$&()\"'")
+        parts = w.split(".")
+        if w.count("@") == 1 and w.isascii() and w[0].isalnum() and "." in w.split("@")[1] and parts[-1].isalpha() and len(parts[-1]) >= 2:
+            out.append(w)
+        elif len(parts) == 4 and all(p.isdecimal() and p.isascii() and len(p) <= 3 and int(p) < 256 and (p == "0" or p[0] != "0") for p in parts):
+            out.append(w)
+    return out
