@@ -107,6 +107,41 @@ def filtered(x: np.ndarray, how: str = "none") -> np.ndarray:
     return x
 
 
+def standing(x: np.ndarray, n: int, least: int | None = None, ddof: int = 1) -> np.ndarray:
+    """Where each value stands among the last n, as 50 plus 15 for each deviation, in [0, 100]; 50 where
+    fewer than `least` (all n by default) are there or they don't differ."""
+    past = pd.Series(x).rolling(n, min_periods=n if least is None else least)
+    mean, sd = past.mean(), past.std(ddof=ddof)
+    score = (50 + 15 * (pd.Series(x) - mean) / sd.where(sd > 0)).clip(0, 100)
+    return score.fillna(50.0).to_numpy()
+
+
+def within(x: np.ndarray, n: int, least: int = 1) -> np.ndarray:
+    """Where each value lies between the least and the greatest of the last n, in [0, 100]; 50 where those
+    are level, or before bar number `least`."""
+    past = pd.Series(x).rolling(n, min_periods=1)
+    low, high = past.min(), past.max()
+    place = ((pd.Series(x) - low) / (high - low).where(high > low) * 100).clip(0, 100)
+    place.iloc[: least - 1] = np.nan
+    return place.fillna(50.0).to_numpy()
+
+
+def above_since(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether x last crossed y upwards; True before the first crossing. A crossing needs values on both
+    sides of it, and levels count as not yet crossed."""
+    side = pd.Series(np.sign(x - y))
+    before = side.shift()
+    event = pd.Series(np.nan, index=side.index).mask((side > 0) & (before <= 0), 1.0).mask((side < 0) & (before >= 0), 0.0)
+    return event.ffill().fillna(1.0).to_numpy() > 0
+
+
+def band_place(close: np.ndarray, n: int = 20, wide: float = 2.0) -> np.ndarray:
+    """Place of the close between its bands, 0 to 100 inside them; 50 where they meet."""
+    past = pd.Series(close).rolling(n)
+    reach = wide * past.std()
+    return ((pd.Series(close) - past.mean() + reach) / (2 * reach).where(reach != 0) * 100).where(reach != 0, 50.0).where(reach.notna()).to_numpy()
+
+
 def true_range(high: np.ndarray, low: np.ndarray, close: np.ndarray) -> np.ndarray:
     before = np.concatenate([close[:1], close[:-1]])
     tr = np.maximum(high - low, np.maximum(np.abs(high - before), np.abs(low - before)))

@@ -91,21 +91,43 @@ def parabolic_sar(b: Bars, step: float = 0.02, top: float = 0.2) -> Verdict:
     return _from(b, rel > 0, rel < 0, rel, rel, 5)
 
 
-def rube_goldberg(b: Bars, basis: str = "EMA", smoothing: str = "none", least_bars: int = 50) -> Verdict:
-    """An oscillator leaving its band while directional movement is strong, and the stop turning on the same bar."""
-    if len(b) < least_bars:
-        return _blank(b)
+def rube_parts(b: Bars, basis: str = "EMA", smoothing: str = "none", refs: Iterable[np.ndarray] = ()) -> dict[str, np.ndarray]:
+    """What the finder of tops and bottoms is made of, bar by bar.
+
+    leading: 1 where the oscillator leaves its band downwards while selling is strong or the symbol's
+    directional balance lies far under that of the references, -1 the other way; lagging: 1 where the
+    stop turns below the close and the oscillator rises, -1 the other way; gap: a spike of one
+    direction in a market without trend. refs: closes bar by bar; one with a missing value up to a bar
+    doesn't count there."""
     osc = K.filtered(K.moving_average(K.first_filled(K.wilder_rsi(b.close)), 3, basis), smoothing)
     before = np.concatenate([[np.nan], osc[:-1]])
+    rise = osc - before
     plus, minus, adx = K.wilder_di(b.high, b.low, b.close)
     adx = np.nan_to_num(adx, nan=0.0)
-    strong = (adx > 20) & (adx > K.sma(adx, 10))
-    sar = K.parabolic(b.high, b.low, b.close, by_close=False)
-    over, was_over = sar > b.close, np.concatenate([[False], (sar > b.close)[:-1]])
-    under, was_under = sar < b.close, np.concatenate([[False], (sar < b.close)[:-1]])
-    buy = (before >= 30) & (osc < 30) & strong & (minus > 35) & was_over & under & (osc > before)
-    sell = (before <= 70) & (osc > 70) & strong & (plus > 35) & was_under & over & (osc < before)
-    return _from(b, buy, sell, 1.0, -1.0, least_bars)
+    trend = (adx > 20) & (adx > K.sma(adx, 10))
+    others = [np.where(np.maximum.accumulate(np.isnan(r)), np.nan, p - m) for r in refs for p, m, _ in [K.wilder_di(r, r, r)]]
+    apart = np.zeros(len(b))
+    if others:
+        known = ~np.isnan(others)
+        mean = np.nansum(others, axis=0) / np.where(known.any(axis=0), known.sum(axis=0), 1)
+        apart = np.nan_to_num(np.where(known.any(axis=0), plus - minus - mean, 0.0), nan=0.0)
+    down, up = (before >= 30) & (osc < 30), (before <= 70) & (osc > 70)
+    leading = (down & ((trend & (minus > 35)) | (apart < -25))).astype(np.int8) - (up & ((trend & (plus > 35)) | (apart > 25)))
+    side = np.sign(b.close - K.parabolic(b.high, b.low, b.close, by_close=False))
+    was = np.concatenate([[0.0], side[:-1]])
+    turned = np.where((was < 0) & (side > 0), 1, np.where((was > 0) & (side < 0), -1, 0))
+    lagging = np.where(turned * rise > 0, turned, 0)
+    return {"osc": osc, "adx": adx, "apart": apart, "leading": leading, "lagging": lagging, "gap": (adx < 22) & ((minus > 35) | (plus > 35))}
+
+
+def rube_goldberg(b: Bars, basis: str = "EMA", smoothing: str = "none", least_bars: int = 50, refs: Iterable[np.ndarray] = ()) -> Verdict:
+    """The leading trigger with the lagging one on the same bar. As published, the first needs a falling
+    oscillator and the second a rising one, so this never signals; `rube_parts` shows both."""
+    if len(b) < least_bars:
+        return _blank(b)
+    parts = rube_parts(b, basis, smoothing, refs)
+    both = np.where(parts["leading"] == parts["lagging"], parts["leading"], 0)
+    return _from(b, both > 0, both < 0, 1.0, -1.0, least_bars)
 
 
 def value_gap(b: Bars, n: int = 14, quiet: float = 14.0, jump: float = 10.0, least_bars: int = 60) -> Verdict:
@@ -130,66 +152,66 @@ def gap_lines(b: Bars, n: int = 14, quiet: float = 14.0, jump: float = 10.0) ->
     return level, (run > 0) & ~broken
 
 
-def _centred(x: np.ndarray, n: int) -> np.ndarray:
-    """50 + 15 z-scores over the last n bars, in [0, 100]; 50 while that isn't defined."""
-    s = pd.Series(x).rolling(n)
-    mean, sd = K.sma(x, n), s.std().to_numpy()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where((sd == 0) | np.isnan(sd), 50.0, np.clip(50 + (x - mean) / sd * 15, 0, 100))
+def _swing(b: Bars, n: int = 14, average: int = 3) -> np.ndarray:
+    """Averaged place of the close in the range of the last bars."""
+    high, low = pd.Series(b.high).rolling(n).max(), pd.Series(b.low).rolling(n).min()
+    place = ((pd.Series(b.close) - low) / (high - low).where(high != low) * 100).where(high != low, 50.0).where(high.notna())
+    return np.nan_to_num(K.sma(K.first_filled(place.to_numpy()), average), nan=50.0)
+
+
+def _pressure(b: Bars, span: int, n: int = 14) -> np.ndarray:
+    """Directional balance, times how wide the bars are against their own past."""
+    plus, minus, _ = K.wilder_di(b.high, b.low, b.close, n)
+    width = pd.Series(K.first_filled(np.where(b.close == 0, 0.0, K.sma(K.true_range(b.high, b.low, b.close), n) / np.where(b.close == 0, 1.0, b.close) * 100)))
+    usual = pd.Series(K.sma(width.to_numpy(), span))
+    return (plus - minus) * (width / usual.where(usual != 0)).where(usual != 0, 1.0).to_numpy()
+
+
+def _macd_gap(b: Bars) -> np.ndarray:
+    line = K.ewm(b.close, 12) - K.ewm(b.close, 26)
+    return line - K.ewm(line, 9)
+
+
+#: The oscillator's gauges: each brings a series of its own on a scale of 0 to 100.
+CHIMERA: dict[str, Callable[[Bars, int], np.ndarray]] = {
+    "strength": lambda b, span: K.standing(K.first_filled(K.wilder_rsi(b.close)), span),
+    "macd": lambda b, span: K.standing(_macd_gap(b), span),
+    "band": lambda b, span: K.standing(K.first_filled(K.band_place(b.close)), span),
+    "swing": lambda b, span: _swing(b),
+    "pressure": lambda b, span: K.within(_pressure(b, span), span, least=span),
+}
 
 
 def chimera(b: Bars, span: int = 252, least_bars: int = 260) -> Verdict:
-    """Mean of five centred oscillators against its own 12-bar average."""
+    """Mean of the gauges against its own 12-bar average, on the side of their last crossing."""
     if len(b) < least_bars:
         return _blank(b)
-    c = b.close
-    rsi = _centred(K.first_filled(K.wilder_rsi(c)), span)
-    line = K.ewm(c, 12) - K.ewm(c, 26)
-    macd_part = _centred(line - K.ewm(line, 9), span)
-    dev = 2.0 * pd.Series(c).rolling(20).std().to_numpy()
-    lower = K.sma(c, 20) - dev
-    with np.errstate(divide="ignore", invalid="ignore"):
-        place = np.where(2 * dev == 0, 50.0, 100.0 * (c - lower) / (2 * dev))
-    band = _centred(K.first_filled(place), span)
-    hi, lo = pd.Series(b.high).rolling(14).max().to_numpy(), pd.Series(b.low).rolling(14).min().to_numpy()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        k = np.where(hi != lo, 100.0 * (c - lo) / (hi - lo), 50.0)
-    k = np.where(np.isnan(hi), np.nan, k)
-    stoch = np.nan_to_num(K.sma(K.first_filled(k), 3), nan=50.0)
-    plus, minus, _ = K.wilder_di(b.high, b.low, c)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        rel = K.first_filled(np.where(c == 0, 0.0, K.sma(K.true_range(b.high, b.low, c), 14) / c * 100))
-        avg = K.sma(rel, span)
-        force = (plus - minus) * np.where(avg == 0, 1.0, rel / avg)
-    s = pd.Series(force).rolling(span, min_periods=1)
-    top, bottom = s.max().to_numpy(), s.min().to_numpy()
-    half, mid = (top - bottom) / 2, (top + bottom) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        drive = np.where((half == 0) | np.isnan(half) | (np.arange(len(c)) < span - 1), 50.0, np.clip(50 + 50 * (force - mid) / half, 0, 100))
-    raw = (rsi + macd_part + band + stoch + drive) / 5
-    slow = K.sma(raw, 12)
-    was, was_slow = np.concatenate([[np.nan], raw[:-1]]), np.concatenate([[np.nan], slow[:-1]])
-    turn = np.where((raw > slow) & (was <= was_slow), 1.0, np.where((raw < slow) & (was >= was_slow), 0.0, np.nan))
-    rising = pd.Series(turn).ffill().fillna(1.0).to_numpy() > 0
-    return _from(b, rising & (raw > slow), ~rising & (raw < slow), _clamped((raw - 50) / 50), -_clamped((50 - raw) / 50), least_bars)
+    mean = np.mean([gauge(b, span) for gauge in CHIMERA.values()], axis=0)
+    slow = K.sma(mean, 12)
+    up, far = K.above_since(mean, slow), np.clip((mean - 50) / 50, -1, 1)
+    return _from(b, up & (mean > slow), ~up & (mean < slow), far, far, least_bars)
+
+
+def mood_gauges(close: np.ndarray, vix: np.ndarray, put_call: np.ndarray, junk_yield: np.ndarray, treasury_yield: np.ndarray, span: int = 252) -> dict[str, np.ndarray]:
+    """Gauges of fear and greed, 50 where their series is missing."""
+    def against(x: np.ndarray, y: np.ndarray, level: float) -> np.ndarray:
+        return np.where(y == 0, level, x / np.where(y == 0, 1.0, y))
+
+    spread = junk_yield - treasury_yield
+    return {
+        "momentum": K.standing(100 * (against(close, K.sma(close, 125), 1.0) - 1), span, 1, 0), "strength": K.within(K.wilder_rsi(close), span),
+        "options": K.standing(-K.sma(put_call, 5), span, 1, 0), "volatility": K.standing(1 - against(vix, K.sma(vix, 50), 1.0), span, 1, 0),
+        "junk": K.within(spread - K.sma(spread, 5), 100),
+    }
 
 
 def fear_greed(b: Bars, span: int = 252, least_bars: int = 260) -> Verdict:
-    """Mean of seven gauges; the five that need other series than the symbol's own stand at 50."""
+    """Mean of seven gauges; the five that need other series than the symbol's own stand at 50 (see
+    `fear_greed_signals`)."""
     if len(b) < least_bars:
         return _blank(b)
-    base = K.sma(b.close, 125)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        raw = np.where(base == 0, 0.0, (b.close / base - 1) * 100)
-    s = pd.Series(raw).rolling(span, min_periods=1)
-    mean, sd = s.mean().to_numpy(), s.std(ddof=0).to_numpy()
-    rsi = K.wilder_rsi(b.close)
-    r = pd.Series(rsi).rolling(span, min_periods=1)
-    lo, hi = r.min().to_numpy(), r.max().to_numpy()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        drive = np.where(np.isnan(raw) | ~(sd > 0), 50.0, np.clip(50 + (raw - mean) / sd * 15, 0, 100))
-        strength = np.where(np.isnan(rsi) | ~(hi > lo), 50.0, np.clip((rsi - lo) / (hi - lo) * 100, 0, 100))
-    mood = (drive + strength + 5 * 50.0) / 7
+    none = np.full(len(b), np.nan)
+    mood = (sum(mood_gauges(b.close, none, none, none, none, span).values()) + 2 * 50.0) / 7
     return _from(b, mood <= 25, mood >= 75, (25 - mood) / 25, -(mood - 75) / 25, least_bars)
 
 
@@ -509,29 +531,39 @@ def fear_greed_gauges(bars: DataFrame, refs: DataFrame | None = None, span: int
     b = bars.select("sym", "bar_ts", "close")
     b = b.join(refs.select("bar_ts", *cols), "bar_ts", "left") if refs is not None else b.select("*", *[F.lit(None).cast("double").alias(c) for c in cols])
 
-    def centred(x: np.ndarray, n: int) -> np.ndarray:
-        s = pd.Series(x).rolling(n, min_periods=1)
-        m, sd = s.mean().to_numpy(), s.std(ddof=0).to_numpy()
-        return np.where(np.isnan(x) | ~(sd > 0), 50.0, np.clip(50 + (x - m) / sd * 15, 0, 100))
-
-    def scaled(x: np.ndarray, n: int) -> np.ndarray:
-        s = pd.Series(x).rolling(n, min_periods=1)
-        lo, hi = s.min().to_numpy(), s.max().to_numpy()
-        return np.where(np.isnan(x) | ~(hi > lo), 50.0, np.clip((x - lo) / (hi - lo) * 100, 0, 100))
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar_ts", kind="stable").reset_index(drop=True)
-        c, vix, pc, jy, ty = (pdf[x].to_numpy(np.float64) for x in ("close", *cols))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            base = K.sma(c, 125)
-            momentum = centred(np.where(base == 0, 0.0, (c / base - 1) * 100), span)
-            calm = K.sma(vix, 50)
-            gauges = {
-                "momentum": momentum, "strength": scaled(K.wilder_rsi(c), span), "options": centred(-K.sma(pc, 5), span),
-                "volatility": centred(1 - np.where(calm == 0, 1.0, vix / calm), span), "junk": scaled((jy - ty) - K.sma(jy - ty, 5), 100),
-            }
+        c, *others = (pdf[x].to_numpy(np.float64) for x in ("close", *cols))
+        gauges = mood_gauges(c, *others, span)
         ready = np.arange(len(c)) >= least_bars - 1
         mean = (sum(gauges.values()) + 100.0) / 7
         return pd.DataFrame({"sym": pdf["sym"], "bar_ts": pdf["bar_ts"], **{k: np.where(ready, v, 50.0) for k, v in gauges.items()}, "overall": np.where(ready, mean, 50.0)})
 
     return b.groupBy("sym").applyInPandas(run, "sym string, bar_ts timestamp, momentum double, strength double, options double, volatility double, junk double, overall double")
+
+
+def fear_greed_signals(bars: DataFrame, refs: DataFrame | None = None, span: int = 252, least_bars: int = 260) -> DataFrame:
+    """(sym, bar_ts, state, score) of fear and greed with its reference series."""
+    mood = F.col("overall")
+    state = F.when(mood <= 25, "BUY").when(mood >= 75, "SELL").otherwise("HOLD")
+    score = F.when(mood <= 25, (25 - mood) / 25).when(mood >= 75, -(mood - 75) / 25).otherwise(0.0)
+    return fear_greed_gauges(bars, refs, span, least_bars).select("sym", "bar_ts", state.alias("state"), score.alias("score"))
+
+
+def rube_triggers(bars: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+    """`rube_parts` of every bar: sym, bar_ts, osc, adx, apart, leading, lagging, gap. refs: (bar_ts, and a
+    column of closes for each reference), one row a bar."""
+    names = [c for c in refs.columns if c != "bar_ts"] if refs is not None else []
+    rows = bars.select("sym", "bar_ts", "open", "high", "low", "close", "volume")
+    if refs is not None:
+        rows = rows.join(refs.select("bar_ts", *[F.col(c).cast("double").alias(f"ref{i}") for i, c in enumerate(names)]), "bar_ts", "left")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bar_ts", kind="stable").reset_index(drop=True)
+        b = Bars(*[pdf[c].to_numpy(np.float64) for c in ("open", "high", "low", "close", "volume")])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            parts = rube_parts(b, refs=[pdf[f"ref{i}"].to_numpy(np.float64) for i in range(len(names))])
+        return pd.DataFrame({"sym": pdf["sym"], "bar_ts": pdf["bar_ts"], **parts})
+
+    out = rows.groupBy("sym").applyInPandas(run, "sym string, bar_ts timestamp, osc double, adx double, apart double, leading int, lagging int, gap boolean")
+    return out.withColumn("osc", F.nanvl("osc", F.lit(None).cast("double")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barwright.operators import native, recursive
@@ -85,14 +86,63 @@ _recursive("supertrend", "Supertrend", f"""
 
 for _key, _name in {
     "parabolic_sar": "Parabolic SAR", "autotrend": "AutoTrend", "fractals": "AutoFractal", "double_top_bottom": "DoubleTopBottom", "head_shoulders": "HeadShoulders", "wedge": "WedgePattern",
-    "cup_handle": "CupAndHandle", "pattern_combined": "PatternDetector", "echo_chamber": "EchoChamber", "match_finder": "MatchFinder", "ufvg": "UnFairValueGap", "rube_goldberg": "RubeGoldberg",
-    "fear_greed": "FearGreed", "chimera": "Chimera",
+    "pattern_combined": "PatternDetector", "echo_chamber": "EchoChamber", "rube_goldberg": "RubeGoldberg", "chimera": "Chimera",
 }.items():
     _recursive(_key, _name)
 
-ORACLES["match_finder"] = f"WITH {sql.HOURLY} SELECT sym, bar_ts, 'HOLD' AS state, 0.0::DOUBLE AS score FROM bars"
-#: Five of the seven gauges stand at 50, so the mean can't leave (25, 75).
-ORACLES["fear_greed"] = ORACLES["match_finder"]
+
+def cup_handle(spark, sf_dir):
+    """Over bars whose shapes repeat: a made cup every 48 bars on top of the hourly closes' hundredths."""
+    out = recursive.indicator(_shaped(B.hourly(spark, sf_dir)), "CupAndHandle")
+    return out.select("sym", "bar_ts", "state", (F.round("score", 5) + 0.0).alias("score"))
+
+
+#: A cup with its handle: rim, bowl, rim, a dip with one deep low, a spike and what follows, a level a bar.
+CUP = [100, 101, 102, 103, 104, 105, 104, 102, 100, 98, 96, 95, 94, 93, 92, 91, 90, 91, 92, 93, 94, 95, 97, 99, 101, 103, 104, 105, 104, 103.4, 103.2, 103.1, 103, 103, 103, 104.3, 103.2, 103, 103, 103, 103.2, 104.2, 104.3, 104.3, 104.2, 103, 102, 101]
+DEEP = 34
+
+
+def _shaped(bars):
+    at = (F.row_number().over(Window.partitionBy("sym").orderBy("bar_ts")) - 1) % len(CUP)
+    level = F.element_at(F.array(*[F.lit(float(x)) for x in CUP]), (at + 1).cast("int")) + F.col("close") % 1 / 100
+    shaped = bars.withColumns({"close": level, "at": at})
+    return shaped.withColumns({"open": F.col("close"), "high": F.col("close") + 0.1, "low": F.col("close") - F.when(F.col("at") == DEEP, 3.0).otherwise(0.1)}).drop("at")
+
+
+QUERIES["cup_handle"] = cup_handle
+
+
+def ufvg(spark, sf_dir):
+    out = recursive.indicator(B.daily_by_nation(spark, sf_dir), "UnFairValueGap")
+    return out.select("sym", "bar_ts", "state", (F.round("score", 5) + 0.0).alias("score"))
+
+
+QUERIES["ufvg"] = ufvg
+
+#: Bars of the reference series that patterns are looked for in.
+REFERENCE = 150
+
+
+def match_finder(spark, sf_dir):
+    """Every symbol's closes against the first bars of one symbol, which come to the driver."""
+    bars = B.hourly(spark, sf_dir)
+    ref = [r.close for r in bars.filter("sym = 'view'").orderBy("bar_ts").limit(REFERENCE).select("close").collect()]
+    rule = {"MatchFinder": (native.TREND, recursive.match({"view": ref}))}
+    out = recursive.signals(bars, ["MatchFinder"], rule)
+    return out.select("sym", "bar_ts", "state", (F.round("score", 5) + 0.0).alias("score"))
+
+
+QUERIES["match_finder"] = match_finder
+ORACLES["match_finder"] = f"""WITH {sql.HOURLY}, n AS (SELECT sym, bar_ts, close, row_number() OVER ({sql.W}) - 1 AS i FROM bars),
+    ref AS (SELECT i, close FROM n WHERE sym = 'view' AND i < {REFERENCE}), len AS (SELECT count(*) AS k FROM ref),
+    k AS (SELECT sym, i, list(close) OVER ({sql.W.replace('bar_ts', 'i')} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS x FROM n UNION ALL SELECT '(ref)', i, list(close) OVER (ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) FROM ref),
+    u AS (SELECT sym, i, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM k WHERE i >= 19 AND (i >= 59 OR sym = '(ref)')),
+    z AS (SELECT sym, i, avg(v) AS m, sqrt(greatest(sum(v * v) - 20 * avg(v) * avg(v), 0)) AS sz, max(v) > min(v) AS moves FROM u GROUP BY ALL),
+    q AS (SELECT u.sym, u.i, list((v - m) / sz ORDER BY j) AS y FROM u JOIN z USING (sym, i) WHERE moves GROUP BY ALL),
+    c AS (SELECT a.sym, a.i, b.i - 19 AS s, round(list_dot_product(a.y, b.y), 9) AS r FROM q a JOIN q b ON b.sym = '(ref)' AND b.i - 19 < (SELECT k FROM len) - 20 WHERE a.sym <> '(ref)'),
+    t AS (SELECT sym, i, max(r) AS r, arg_max(s, (r, -s)) AS s FROM c GROUP BY ALL),
+    e AS (SELECT t.sym, t.i, r, sign(b.close - a.close) AS way FROM t JOIN ref a ON a.i = t.s + 20 JOIN ref b ON b.i = least(t.s + 40, (SELECT k FROM len)) - 1 WHERE r >= 0.8)
+    SELECT n.sym, n.bar_ts, CASE WHEN way > 0 THEN 'BUY' WHEN way < 0 THEN 'SELL' ELSE 'HOLD' END AS state, round(coalesce(greatest(-1.0, least(1.0, r)) * way, 0)::DOUBLE, 5) + 0.0::DOUBLE AS score FROM n LEFT JOIN e ON e.sym = n.sym AND e.i = n.i"""
 
 # the five-bar fractal needs only neighbours, so SQL can express it
 ORACLES["fractals"] = f"""
@@ -158,15 +208,43 @@ ORACLES["moving_averages"] = f"""WITH {sql.HOURLY}, b AS (SELECT sym, bar_ts, {_
       round(CASE WHEN len(h) >= 9 THEN list_reduce(list_prepend(list_avg(h[1:9]), h[10:]), lambda acc, v: 0.2::DOUBLE * v + 0.8::DOUBLE * acc) END, 6) AS ema FROM b"""
 
 
+def _mood_refs(bars):
+    """Reference series made from the bars of one symbol."""
+    return bars.filter("sym = 'view'").select("bar_ts", (F.col("high") / 10).alias("vix"), (F.col("volume") / 10).alias("put_call"), (F.col("close") / 20).alias("junk_yield"), (F.col("open") / 30).alias("treasury_yield"))
+
+
+GAUGES = ("momentum", "strength", "options", "volatility", "junk", "overall")
+
+
 def fear_greed_gauges(spark, sf_dir):
-    """Gauges over reference series made from the bars of one symbol."""
     bars = B.hourly(spark, sf_dir)
-    refs = bars.filter("sym = 'view'").select("bar_ts", (F.col("high") / 10).alias("vix"), (F.col("volume") / 10).alias("put_call"), (F.col("close") / 20).alias("junk_yield"), (F.col("open") / 30).alias("treasury_yield"))
-    return recursive.fear_greed_gauges(bars, refs)
+    g = recursive.fear_greed_gauges(bars, _mood_refs(bars))
+    return g.select("sym", "bar_ts", *[F.round(c, 4).alias(c) for c in GAUGES])
 
 
 QUERIES["fear_greed_gauges"] = fear_greed_gauges
 
+
+def fear_greed(spark, sf_dir):
+    """Fear and greed with all its series, over gauges of a short span so that it signals."""
+    bars = B.hourly(spark, sf_dir)
+    out = recursive.fear_greed_signals(bars, _mood_refs(bars), span=MOOD_SPAN, least_bars=MOOD_LEAST)
+    return out.select("sym", "bar_ts", "state", (F.round("score", 4) + 0.0).alias("score"))
+
+
+QUERIES["fear_greed"] = fear_greed
+MOOD_SPAN, MOOD_LEAST = 20, 140
+
+
+def rube_triggers(spark, sf_dir):
+    """The parts of the finder of tops and bottoms, with one symbol as the reference."""
+    bars = B.daily_by_nation(spark, sf_dir)
+    t = recursive.rube_triggers(bars, bars.filter("sym = '7'").select("bar_ts", "close"))
+    return t.select("sym", "bar_ts", *[F.round(c, 5).alias(c) for c in ("osc", "adx", "apart")], "leading", "lagging", "gap")
+
+
+QUERIES["rube_triggers"] = rube_triggers
+
 # ---- SQL for kernels with state: recursion over bar numbers, folds over lists ------------------------
 
 _SAR = f"""WITH RECURSIVE {sql.HOURLY}, n AS (SELECT *, row_number() OVER ({sql.W}) - 1 AS i FROM bars),
@@ -191,7 +269,7 @@ def _wilder(h: str, n: int = 14) -> str:
     return f"CASE WHEN len({h}) >= {n} THEN list_reduce(list_prepend(list_avg({h}[1:{n}]), {h}[{n + 1}:]), lambda acc, v: (acc * {n - 1} + v) / {n}) END"
 
 
-ORACLES["ufvg"] = f"""WITH {sql.HOURLY}, {sql.KERNELS},
+ORACLES["ufvg"] = f"""WITH {sql.NATION}, {sql.KERNELS},
     m AS (SELECT sym, bar_ts, idx, tr, CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0.0 END AS pd, CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0.0 END AS md FROM k1),
     l AS (SELECT sym, bar_ts, idx, list(tr) {PAST} AS ht, list(pd) {PAST} AS hp, list(md) {PAST} AS hm FROM m),
     w AS (SELECT sym, bar_ts, idx, {_wilder('ht')} AS t, {_wilder('hp')} AS p, {_wilder('hm')} AS m FROM l),
@@ -210,3 +288,31 @@ ORACLES["echo_chamber"] = f"""WITH {sql.HOURLY}, n AS (SELECT sym, bar_ts, close
     t AS (SELECT sym, i, max(r) AS r, arg_max(s, (r, -s)) AS s FROM c GROUP BY ALL),
     e AS (SELECT t.sym, t.i, r, sign(b.close - a.close) AS way FROM t JOIN n a ON a.sym = t.sym AND a.i = t.s + 20 JOIN n b ON b.sym = t.sym AND b.i = t.s + 39 WHERE r >= 0.8)
     SELECT n.sym, n.bar_ts, CASE WHEN way > 0 THEN 'BUY' WHEN way < 0 THEN 'SELL' ELSE 'HOLD' END AS state, round(coalesce(greatest(-1.0, least(1.0, r)) * way, 0)::DOUBLE, 5) + 0.0::DOUBLE AS score FROM n LEFT JOIN e ON e.sym = n.sym AND e.i = n.i"""
+
+
+def _standing(x: str, n: int) -> str:
+    """50 plus 15 deviations among the last n that are there."""
+    w = f"OVER ({sql.W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"coalesce(CASE WHEN {x} IS NOT NULL AND stddev_pop({x}) {w} > 0 THEN greatest(0, least(100, 50 + 15 * ({x} - avg({x}) {w}) / stddev_pop({x}) {w})) END, 50)"
+
+
+def _within(x: str, n: int) -> str:
+    w = f"OVER ({sql.W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"coalesce(CASE WHEN {x} IS NOT NULL AND max({x}) {w} > min({x}) {w} THEN greatest(0, least(100, ({x} - min({x}) {w}) / (max({x}) {w} - min({x}) {w}) * 100)) END, 50)"
+
+
+def _mood_sql(span: int, least: int) -> str:
+    """CTEs up to `mood`: the gauges and their mean."""
+    return f"""WITH {sql.HOURLY}, v AS (SELECT bar_ts, high / 10 AS vix, volume / 10 AS pc, close / 20 AS jy, open / 30 AS ty FROM bars WHERE sym = 'view'),
+    j AS (SELECT b.*, vix, pc, jy - ty AS spread, row_number() OVER (PARTITION BY b.sym ORDER BY b.bar_ts) - 1 AS idx, close - lag(close) OVER (PARTITION BY b.sym ORDER BY b.bar_ts) AS ch FROM bars b LEFT JOIN v USING (bar_ts)),
+    l AS (SELECT *, list(greatest(ch, 0)) FILTER (ch IS NOT NULL) {PAST} AS hg, list(greatest(-ch, 0)) FILTER (ch IS NOT NULL) {PAST} AS hl FROM j),
+    w AS (SELECT *, {_wilder('hg')} AS g, {_wilder('hl')} AS ls FROM l),
+    r AS (SELECT * EXCLUDE (hg, hl), CASE WHEN ls = 0 THEN 100.0 ELSE 100 - 100 / (1 + g / ls) END AS rsi, 100 * (close / {sql.roll('avg', 'close', 125)} - 1) AS lead125, -({sql.roll('avg', 'pc', 5)}) AS calls, 1 - vix / ({sql.roll('avg', 'vix', 50)}) AS calm,
+        spread - ({sql.roll('avg', 'spread', 5)}) AS demand FROM w),
+    s AS (SELECT *, {_standing('lead125', span)} AS momentum, {_within('rsi', span)} AS strength, {_standing('calls', span)} AS options, {_standing('calm', span)} AS volatility, {_within('demand', 100)} AS junk FROM r),
+    mood AS (SELECT sym, bar_ts, {', '.join(f'CASE WHEN idx >= {least - 1} THEN {c} ELSE 50 END::DOUBLE AS {c}' for c in GAUGES[:-1])}, CASE WHEN idx >= {least - 1} THEN (momentum + strength + options + volatility + junk + 100) / 7 ELSE 50 END::DOUBLE AS overall FROM s)"""
+
+
+ORACLES["fear_greed_gauges"] = f"{_mood_sql(252, 260)} SELECT sym, bar_ts, {', '.join(f'round({c}, 4) AS {c}' for c in GAUGES)} FROM mood"
+ORACLES["fear_greed"] = f"""{_mood_sql(MOOD_SPAN, MOOD_LEAST)} SELECT sym, bar_ts, CASE WHEN overall <= 25 THEN 'BUY' WHEN overall >= 75 THEN 'SELL' ELSE 'HOLD' END AS state,
+    round(CASE WHEN overall <= 25 THEN (25 - overall) / 25 WHEN overall >= 75 THEN -(overall - 75) / 25 ELSE 0 END::DOUBLE, 4) + 0.0::DOUBLE AS score FROM mood"""
