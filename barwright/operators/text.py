@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Upper-case words that aren't symbols.
-NOT_SYMBOLS = "THE AND FOR NOT BUT ANY ALL CAN HAD HAS HIS HER ITS THEY THEM THEN THAT THIS WITH FROM TO IN ON AT BY OF".split()
-#: Words counted wherever they stand in a text, also inside others.
-BULL = "call calls buy bull moon rocket long bagholder diamond hodl pump wagie aper dividend dividends yield growth surge gain gains rally recovery breakout momentum".split()
-BEAR = "put puts sell bear crash dump short loss losses bleed blood doom apocalypse recession crisis correction drop decline down downgrade fear panic liquidate".split()
-#: Whole words of news; a word listed more than once counts as often.
-NEWS_UP = ("growth beat upgrade bullish tillväxt ökade uppgång revenue profit gain strong outperform rally optimistic record surge momentum breakout expansion innovation acquisition partnership dividend "
-           "increase rises surpasses exceeds positive tillväxt tillväxt ökade uppgång rekord bullish strong outperform rally").split()
-NEWS_DOWN = ("loss downgrade bearish nedgång förlust kritik decline drop crash weak underperform sell-off pessimistic miss layoff bankruptcy recession warning lawsuit fraud scandal regulatory "
-             "decrease falls misses underperforms negative nedgång förlust kritik bearish weak").split()
-#: Words of posts, of which one of either sort counts once.
-POST_UP = ["bullish", "buy", "moon", "long", "accumulate", "tillväxt", "rekord", "bra", "strong", "breakout", "squeeze", "diamond hands", "dh", "hold", "buying", "up", "gain", "profit", "rally", "surge"]
-POST_DOWN = ["bearish", "sell", "crash", "short", "dump", "nedgång", "dåligt", "rädsla", "weak", "resistance", "bear", "profit taking", "liquidation", "down", "loss", "fear", "panic", "sell-off", "cap", "ceiling"]
-#: Words of the short news scorer.
-SHORT_UP = ["surge", "beat", "upgrade", "strong", "growth", "profit", "gain", "bullish", "rally", "outperform", "recovery", "record high", "breakout", "positive", "optimistic"]
-SHORT_DOWN = ["decline", "miss", "downgrade", "weak", "loss", "crisis", "recession", "bearish", "plunge", "underperform", "concern", "warn", "risk", "fall", "drop", "negative"]
+#: Fixed values, in words.json: upper-case words that aren't symbols; words counted wherever they stand in a
+#: text, also inside others (bull, bear); whole words of news, where one listed more than once counts as
+#: often; words of posts, of which one of either sort counts once; words of the short news scorer.
+_LISTS: dict[str, list[str]] = json.loads(Path(__file__).with_name("words.json").read_text(encoding="utf-8"))
+NOT_SYMBOLS, BULL, BEAR, NEWS_UP, NEWS_DOWN, POST_UP, POST_DOWN, SHORT_UP, SHORT_DOWN = (_LISTS[k] for k in ("not_symbols", "bull", "bear", "news_up", "news_down", "post_up", "post_down", "short_up", "short_down"))
 
 #: A character of a word, in any script.
 _W = r"[\p{L}\p{N}_]"
@@ -32,8 +24,9 @@ def symbols(text: Column) -> Column:
     """Sorted distinct symbols named in a text, HTML tags aside: two to five capitals, or up to four with a
     class letter after a dot."""
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^\n]*?>", "")
-    words = F.filter(F.split(plain, f"[^\\p{{L}}\\p{{N}}_]+"), lambda w: w.rlike("^[A-Z]{2,5}$"))
-    dotted = F.regexp_extract_all(plain, F.lit(f"(?<!{_W})([A-Z]{{1,4}}\\.[A-Z])(?!{_W})"), 1)
+    # a capital first: the look behind is only taken there
+    words = F.regexp_extract_all(plain, F.lit(f"(?=[A-Z])(?<!{_W})([A-Z]{{2,5}})(?!{_W})"), 1)
+    dotted = F.regexp_extract_all(plain, F.lit(f"(?=[A-Z])(?<!{_W})([A-Z]{{1,4}}\\.[A-Z])(?!{_W})"), 1)
     return F.array_sort(F.array_distinct(F.array_except(F.concat(words, dotted), F.array(*[F.lit(w) for w in NOT_SYMBOLS]))))
 
 
@@ -52,13 +45,18 @@ def any_of(text: Column, words: Sequence[str]) -> Column:
 
 
 def whole_words(text: Column, words: Sequence[str]) -> Column:
-    """How many of the listed words a text holds as words."""
+    """How many of the listed words a text holds as words; one listed more than once counts as often. The
+    text is cut into words once, and met with all listed words of one weight together."""
     low = F.lower(F.coalesce(text, F.lit("")))
     held = F.split(low, f"[^\\p{{L}}\\p{{N}}_]+")
-    total = F.lit(0)
-    for w in words:
-        hit = low.rlike(f"(?<!{_W}){w}(?!{_W})") if "-" in w else F.array_contains(held, w)
-        total = total + hit.cast("int")
+    weights, total = Counter(words), F.lit(0)
+    for n in sorted(set(weights.values())):
+        own = [w for w, k in weights.items() if k == n]
+        if plain := [w for w in own if "-" not in w]:
+            total = total + n * F.size(F.array_intersect(held, F.array(*[F.lit(w) for w in plain])))
+        for w in own:
+            if "-" in w:
+                total = total + n * low.rlike(f"(?<!{_W}){w}(?!{_W})").cast("int")
     return total
 
 
