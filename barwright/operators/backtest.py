@@ -32,20 +32,25 @@ def event_trades(signals: DataFrame, horizons: Sequence[int] = HORIZONS, cost: f
     with the opposite state within the horizon, else at its end. Trades that would end beyond the data
     are kept with `complete` false.
 
-    One window pass finds the next opposite state of every bar; the exit price comes from a join on
-    (symbol, bar number)."""
+    One window pass finds the next opposite state within the longest horizon of every bar; the exit price
+    comes from a join on (symbol, bar number)."""
     w = _by(*keys)
-    ahead = w.rowsBetween(1, Window.unboundedFollowing)
+    ahead = w.rowsBetween(1, max(horizons))  # no exit is ever looked for further on
     s = edges(signals, warmup, keys).withColumns({
         "entry_open": F.lead("open").over(w),
         "next_sell": F.min(F.when(F.col("state") == "SELL", F.col("idx"))).over(ahead), "next_buy": F.min(F.when(F.col("state") == "BUY", F.col("idx"))).over(ahead),
     })
-    t = s.filter("edge").withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
+    return settled(s.filter("edge"), signals, horizons, cost, keys)
+
+
+def settled(entries: DataFrame, prices: DataFrame, horizons: Sequence[int] = HORIZONS, cost: float = ROUND_TRIP, keys: Sequence[str] = ("sym", "indicator")) -> DataFrame:
+    """Trades of edges with entry_open, next_sell and next_buy. prices: rows with sym, idx, bar_ts, close."""
+    t = entries.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
     opposite = F.when(F.col("state") == "BUY", F.col("next_sell")).otherwise(F.col("next_buy"))
     end = F.col("idx") + F.col("horizon")
     t = t.select(*keys, "idx", "n", "bar_ts", "horizon", F.when(F.col("state") == "BUY", "long").otherwise("short").alias("side"), "entry_open", F.least(F.coalesce(opposite, end), end).alias("exit_idx"))
-    prices = signals.select("sym", F.col("idx").alias("exit_idx"), F.col("bar_ts").alias("exit_ts"), F.col("close").alias("exit_close")).dropDuplicates(["sym", "exit_idx"])
-    out = t.join(prices, ["sym", "exit_idx"], "left")
+    at = prices.select("sym", F.col("idx").alias("exit_idx"), F.col("bar_ts").alias("exit_ts"), F.col("close").alias("exit_close")).dropDuplicates(["sym", "exit_idx"])
+    out = t.join(at, ["sym", "exit_idx"], "left")
     gross = (F.col("exit_close") / F.when(F.col("entry_open") != 0, F.col("entry_open")) - 1) * 100 * F.when(F.col("side") == "long", 1.0).otherwise(-1.0)
     out = out.withColumn("complete", F.col("exit_idx") < F.col("n")).withColumn("gross", F.when(F.col("complete"), gross))
     return out.withColumn("net", F.col("gross") - cost)

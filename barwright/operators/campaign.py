@@ -76,25 +76,81 @@ def levers(signals: DataFrame, risk_only: Sequence[str] = ("Bollinger Bands", "A
     return g.crossJoin(F.broadcast(total)).filter((F.col("have") == F.col("symbols")) & (F.col("signals") > 0) & ~F.col("indicator").isin(*risk_only)).select("indicator", "signals")
 
 
+#: Names packed into one number.
+BITS = 62
+
+
 def combos(spark: SparkSession, names: Sequence[str], most: int = 3) -> DataFrame:
     """All combinations of one to `most` names: (combo, members)."""
     rows = [("+".join(c), list(c)) for k in range(1, most + 1) for c in combinations(sorted(names), k)]
     return spark.createDataFrame(rows, "combo string, members array<string>")
 
 
+def _masked(signals: DataFrame, grid: DataFrame, warmup: int) -> tuple[DataFrame, DataFrame, int]:
+    """Bars with the buying and selling names of each as bits (buy0, sell0, ...), those of the bar before
+    (prefix was_) and the next open; the grid with its members as bits (m0, ...); the numbers it takes. The
+    grid, which is bounded by its names, comes to the driver."""
+    keys = [(r.combo, r.members) for r in grid.select("combo", "members").collect()]
+    names = sorted({x for _, members in keys for x in members})
+    words = [names[i : i + BITS] for i in range(0, len(names), BITS)]
+    bit = [F.coalesce(*[F.when(F.col("indicator") == x, F.lit(1 << k)) for k, x in enumerate(w)], F.lit(0)).cast("long") for w in words]
+    side = {f"{word}{k}": F.coalesce(F.bit_or(F.when(F.col("state") == state, b)), F.lit(0)) for k, b in enumerate(bit) for word, state in (("buy", "BUY"), ("sell", "SELL"))}
+    bars = signals.groupBy("sym", "bar_ts", "idx", "n", "open", "close").agg(*[c.alias(k) for k, c in side.items()])
+    bars = bars.withColumns({k: F.when(F.col("idx") >= warmup, F.col(k)).otherwise(F.lit(0)) for k in side})
+    w = Window.partitionBy("sym").orderBy("idx")
+    bars = bars.withColumns({"entry_open": F.lead("open").over(w), **{f"was_{k}": F.lag(k, 1, 0).over(w) for k in side}})
+    rows = [(key, *[sum(1 << k for k, x in enumerate(w) if x in members) for w in words]) for key, members in keys]
+    masks = signals.sparkSession.createDataFrame(rows, "combo string, " + ", ".join(f"m{k} long" for k in range(len(words))))
+    return bars, masks, len(words)
+
+
+def _holds(word: str, n: int) -> Column:
+    """Whether all members of a combination are in the bits of a bar."""
+    out = F.lit(True)
+    for k in range(n):
+        out = out & (F.col(f"{word}{k}").bitwiseAND(F.col(f"m{k}")) == F.col(f"m{k}"))
+    return out
+
+
+def _state(n: int, prefix: str = "") -> Column:
+    return F.when(_holds(f"{prefix}buy", n), "BUY").when(_holds(f"{prefix}sell", n), "SELL").otherwise("HOLD")
+
+
 def combo_signals(signals: DataFrame, grid: DataFrame) -> DataFrame:
-    """Signals of combinations: the state that all members share, else HOLD. States are packed into one map
-    a bar first, so each combination costs one row a bar and no join on indicators. The grid is
-    bounded by its names (4,991 rows for 31) and broadcast."""
-    packed = signals.groupBy("sym", "bar_ts", "idx", "n", "open", "close").agg(F.map_from_entries(F.collect_list(F.struct("indicator", "state"))).alias("states"))
-    wide = packed.crossJoin(F.broadcast(grid))
-    got = F.transform("members", lambda m: F.element_at("states", m))
-    state = F.when((F.size(F.array_distinct(got)) == 1) & ~F.array_contains(F.transform(got, lambda x: x.isNull()), True), F.element_at(got, 1)).otherwise("HOLD")
-    return wide.select("sym", "bar_ts", "idx", "n", "open", "close", "combo", state.alias("state"))
+    """Signals of combinations at every bar: the state that all members share, else HOLD. States are packed
+    into bits first, so a combination costs two comparisons a bar. The grid is bounded by its names
+    (4,991 rows for 31) and broadcast."""
+    bars, masks, n = _masked(signals, grid, 0)
+    return bars.crossJoin(F.broadcast(masks)).select("sym", "bar_ts", "idx", "n", "open", "close", "combo", _state(n).alias("state"))
 
 
 def combo_trades(signals: DataFrame, grid: DataFrame, warmup: int = backtest.WARMUP) -> DataFrame:
-    return backtest.event_trades(combo_signals(signals, grid), warmup=warmup, keys=("sym", "combo"))
+    """The trades of combinations, as `backtest.event_trades` makes them of `combo_signals`. Bars meet the
+    grid without a shuffle, and only those where a combination fires go on."""
+    bars, masks, n = _masked(signals, grid, warmup)
+    fired = bars.crossJoin(F.broadcast(masks)).select("sym", "combo", "bar_ts", "idx", "n", "entry_open", _state(n).alias("state"), _state(n, "was_").alias("was")).filter("state <> 'HOLD'")
+    ahead = Window.partitionBy("sym", "combo").orderBy("idx").rangeBetween(1, max(backtest.HORIZONS))
+    fired = fired.withColumns({f"next_{x.lower()}": F.min(F.when(F.col("state") == x, F.col("idx"))).over(ahead) for x in ("SELL", "BUY")})
+    return backtest.settled(fired.filter("state <> was"), signals, keys=("sym", "combo"))
+
+
+def sliced(signals: DataFrame, fold: str, cut: DataFrame, warmup: int = backtest.WARMUP) -> DataFrame:
+    """The signals of a fold alone, with bars numbered and counted within it; states before the warm-up of
+    the whole series are HOLD. Trades are then made with a warm-up of 0, and end within the fold."""
+    s = signals.withColumn("state", F.when(F.col("idx") >= warmup, F.col("state")).otherwise("HOLD"))
+    s = in_fold(s, fold, cut)
+    own = Window.partitionBy("sym", "indicator")
+    return s.withColumns({"n": F.count(F.lit(1)).over(own), "idx": (F.row_number().over(own.orderBy("bar_ts")) - 1).cast("int")})
+
+
+def trial_ledger(events: DataFrame) -> DataFrame:
+    """Trials charged by selection events (k, fold, trials): every event adds to one running sum, and a
+    fold's trials are that sum at its latest event. (fold, trials), and `total` over all. One row an
+    event, in one order."""
+    w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    ran = events.select("k", "fold", F.sum("trials").over(w).alias("trials"))
+    each = ran.groupBy("fold").agg(F.max_by("trials", "k").alias("trials"))
+    return each.unionByName(ran.agg(F.lit("total").alias("fold"), F.max_by("trials", "k").alias("trials")))
 
 
 def panel(trades: DataFrame, bars: DataFrame, side: str = "long", horizon: int = 10, key: str = "combo") -> DataFrame:
@@ -261,8 +317,38 @@ def listing_digest(bars: DataFrame) -> DataFrame:
     return last.agg(F.count(F.lit(1)).alias("symbols"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n").cast("binary"), 256).alias("digest"))
 
 
+def snapshot(bars: DataFrame) -> DataFrame:
+    """What a frozen snapshot states of its store: digest of the listing, cuts, and days of each fold."""
+    cut = cuts(bars)
+    days = fold_days(bars, cut).agg(F.array_sort(F.collect_list(F.struct("fold", "days"))).alias("fold_days"))
+    return listing_digest(bars).crossJoin(F.broadcast(cut)).crossJoin(F.broadcast(days))
+
+
+def snapshot_reasons(frozen: DataFrame, bars: DataFrame) -> DataFrame:
+    """What no longer holds of a frozen snapshot (one row) against a store: its listing, its cuts, which
+    must follow from its own last day, and its days by fold."""
+    now = listing_digest(bars).select(F.col("digest").alias("now"))
+    # the cuts as they follow from the day that was frozen
+    again = frozen.select(F.add_months("last", -2).alias("x3")).select("x3", F.add_months("x3", -3).alias("x2")).select("x3", "x2", F.add_months("x2", -3).alias("x1"))
+    days = fold_days(bars, frozen.select("last", "c1", "c2", "c3")).agg(F.array_sort(F.collect_list(F.struct("fold", "days"))).alias("now_days"))
+    j = frozen.crossJoin(F.broadcast(now)).crossJoin(F.broadcast(again)).crossJoin(F.broadcast(days))
+    drift = F.when(F.col("digest") != F.col("now"), "listing"), F.when((F.col("c1") != F.col("x1")) | (F.col("c2") != F.col("x2")) | (F.col("c3") != F.col("x3")), "cuts"), F.when(F.col("fold_days") != F.col("now_days"), "fold days")
+    return j.select(F.array_compact(F.array(*drift)).alias("reasons"))
+
+
+def attestation(frozen: DataFrame, streams: DataFrame, slices: DataFrame, fold: str) -> DataFrame:
+    """Why streams may not stand for a snapshot: they name another run or listing, or the fold has no
+    slice. frozen, streams: (run, digest), one row; slices: (fold, ...)."""
+    s = streams.select(F.col("run").alias("of_run"), F.col("digest").alias("of_digest"))
+    held = slices.filter(F.col("fold") == fold).agg((F.count(F.lit(1)) > 0).alias("held"))
+    j = frozen.select("run", "digest").join(s, F.lit(True), "left").crossJoin(F.broadcast(held))
+    why = F.when(~F.col("run").eqNullSafe(F.col("of_run")), "run"), F.when(~F.col("digest").eqNullSafe(F.col("of_digest")), "digest"), F.when(~F.col("held"), "no slices")
+    return j.select(F.array_compact(F.array(*why)).alias("reasons"))
+
+
 def holdout(trades: DataFrame, chosen: Sequence[str], spent: bool = False, key: str = "combo", most: int = 10) -> DataFrame:
-    """Descriptive rows of a few chosen keys, once: refuses when spent, for too many or unknown keys."""
+    """Descriptive rows of a few chosen keys, once: refuses when spent, for too many or unknown keys. trades
+    are those of the holdout fold (see `sliced`)."""
     why = []
     if spent:
         why.append("the holdout has been opened")
@@ -276,6 +362,11 @@ def holdout(trades: DataFrame, chosen: Sequence[str], spent: bool = False, key:
     return backtest.event_study(trades.filter(F.col(key).isin(*chosen)), (key,))
 
 
+def opened_early(signals: DataFrame, cut: DataFrame) -> DataFrame:
+    """Rows of an opened holdout that lie at or before its cut; there must be none."""
+    return signals.crossJoin(F.broadcast(cut)).filter(F.to_date("bar_ts") <= F.col("c3")).select(*signals.columns)
+
+
 def churn(trades: DataFrame, classes: DataFrame, key: str = "combo") -> DataFrame:
     """Trades and the sign of their mean by key and class of symbol. classes: (sym, class)."""
     g = trades.filter("complete").join(classes, "sym", "left").groupBy(key, F.coalesce("class", F.lit("dead")).alias("class"))

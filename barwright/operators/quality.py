@@ -29,12 +29,10 @@ def detect_splits(bars: DataFrame, jump: float = JUMP) -> DataFrame:
 
 def adjust_splits(bars: DataFrame, jump: float = JUMP) -> DataFrame:
     """Bars from each fall on are scaled by its ratio, volumes the other way; rises aren't splits. The
-    running product is kept as an exact fold over the ratios so far, of which there are few."""
+    product runs along with the window."""
     move = _share()
     ratio = F.when(move < -jump, F.round(1 / F.when(move != -1, 1 + move), 4))
-    b = bars.withColumn("ratio", ratio)
-    so_far = F.collect_list("ratio").over(X.past())  # nulls aren't collected
-    b = b.withColumn("factor", F.aggregate(so_far, F.lit(1.0), lambda acc, r: acc * r))
+    b = bars.withColumn("ratio", ratio).withColumn("factor", F.coalesce(F.product("ratio").over(X.past()), F.lit(1.0)))
     return b.select("sym", "bar_ts", *[(F.col(c) * F.col("factor")).alias(c) for c in PRICES], (F.col("volume") / F.col("factor")).alias("volume"), "factor")
 
 
@@ -80,7 +78,8 @@ def outlier_report(bars: DataFrame, cols: Sequence[str] = NUMBERS, k: float = 1.
 
 
 def winsorized(bars: DataFrame, cols: Sequence[str] = NUMBERS, clip: float = 0.01) -> DataFrame:
-    """Each symbol's values held within its outer quantiles (linear interpolation)."""
+    """Each symbol's values held within its outer quantiles (linear interpolation). The quantiles are exact:
+    a task holds the distinct values of the symbols that it is dealt, after the map tasks have counted."""
     g = bars.groupBy("sym").agg(*[F.percentile(c, F.lit(q)).alias(f"_{c}_{n}") for c in cols for n, q in (("lo", clip), ("hi", 1 - clip))])
     held = [F.greatest(F.least(F.col(c), F.col(f"_{c}_hi")), F.col(f"_{c}_lo")).alias(c) if c in cols else F.col(c) for c in NUMBERS]
     return bars.join(g, "sym").select("sym", "bar_ts", *held)

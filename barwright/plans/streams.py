@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
-from barwright.plans import sql
+from barwright.plans import shared, sql
 from barwright.streaming import bars as S
 
 QUERIES, ORACLES = {}, {}
 
 
 def _folder(spark) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    master = spark.sparkContext.master
-    if not shared and (not master.startswith("local") or master.startswith("local-cluster")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(shared or tempfile.mkdtemp(prefix='barwright-stream-')).rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    return shared.folder(spark, "stream")
 
 
 def _ticks(spark, sf_dir):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barwright.operators import backtest as T
 from barwright.operators import campaign as C
 from barwright.operators import native, recursive
-from barwright.plans import sql
+from barwright.plans import shared, sql
 from barwright.sources import bars as B
 
 QUERIES, ORACLES = {}, {}
@@ -280,9 +280,14 @@ def _grid_trades(spark, sf_dir):
     return C.combo_trades(_signals(spark, sf_dir), C.combos(spark, STUDIED, 2))
 
 
-GRID = f"""{SIG}, one AS (SELECT DISTINCT indicator FROM sig), grid AS (SELECT indicator AS combo, indicator AS a, indicator AS b FROM one UNION ALL SELECT x.indicator || '+' || y.indicator, x.indicator, y.indicator FROM one x JOIN one y ON x.indicator < y.indicator),
+def _grid_sql(head: str, warmup: int = 60) -> str:
+    """CTEs up to the trades `tt` of singles and pairs over a CTE `sig`."""
+    return f"""{head}, one AS (SELECT DISTINCT indicator FROM sig), grid AS (SELECT indicator AS combo, indicator AS a, indicator AS b FROM one UNION ALL SELECT x.indicator || '+' || y.indicator, x.indicator, y.indicator FROM one x JOIN one y ON x.indicator < y.indicator),
     cs AS (SELECT p.sym, p.bar_ts, p.idx, p.n, p.open, p.close, grid.combo, CASE WHEN p.state = q.state THEN p.state ELSE 'HOLD' END AS state FROM grid JOIN sig p ON p.indicator = grid.a JOIN sig q ON q.indicator = grid.b AND q.sym = p.sym AND q.idx = p.idx),
-    {_trades('sym, combo', 'cs')}"""
+    {_trades('sym, combo', 'cs', warmup)}"""
+
+
+GRID = _grid_sql(SIG)
 
 
 def combo_grid(spark, sf_dir):
@@ -293,11 +298,15 @@ def combo_grid(spark, sf_dir):
 QUERIES["combo_grid"] = combo_grid
 ORACLES["combo_grid"] = f"{GRID} SELECT combo, horizon, side, count(net) AS trades, count(*) FILTER (NOT complete) AS incomplete, round(avg((net > 0)::INT), 5) AS hit_rate, round(avg(net), 4) AS avg_net FROM tt GROUP BY ALL"
 
-PANEL = f"""{GRID}, days AS (SELECT bar_ts AS day, count(DISTINCT sym) AS symbols FROM bars GROUP BY 1), keys AS (SELECT DISTINCT combo FROM tt),
+def _panel_sql(grid: str) -> str:
+    return f"""{grid}, days AS (SELECT bar_ts AS day, count(DISTINCT sym) AS symbols FROM sig GROUP BY 1), keys AS (SELECT DISTINCT combo FROM tt),
     nets AS (SELECT combo, exit_ts AS day, sum(net) AS net FROM tt WHERE side = 'long' AND horizon = 10 AND complete GROUP BY ALL),
     panel AS (SELECT keys.combo, days.day, coalesce(net / symbols, 0) AS x FROM keys CROSS JOIN days LEFT JOIN nets ON nets.combo = keys.combo AND nets.day = days.day)"""
 
 
+PANEL = _panel_sql(GRID)
+
+
 def _panel(spark, sf_dir):
     return C.panel(_grid_trades(spark, sf_dir), B.hourly(spark, sf_dir))
 
@@ -306,12 +315,16 @@ QUERIES["panel_daily"] = lambda spark, sf_dir: _panel(spark, sf_dir).select("com
 ORACLES["panel_daily"] = f"{PANEL} SELECT combo, day, round(x, 4) AS x FROM panel"
 
 _LAGGED = ", ".join(f"coalesce(sum(dev * d{i}), 0) AS g{i}" for i in range(1, 11))
-STATS = f"""{PANEL}, dv AS (SELECT *, x - avg(x) OVER (PARTITION BY combo) AS dev FROM panel),
+def _stats_sql(panel: str) -> str:
+    return f"""{panel}, dv AS (SELECT *, x - avg(x) OVER (PARTITION BY combo) AS dev FROM panel),
     lg AS (SELECT *, {', '.join(f"lag(dev, {i}) OVER (PARTITION BY combo ORDER BY day) AS d{i}" for i in range(1, 11))} FROM dv),
     gs AS (SELECT combo, count(*) AS days, avg(x) AS mean, avg(dev * dev) AS m2, avg(dev * dev * dev) AS m3, avg(dev * dev * dev * dev) AS m4, {_LAGGED} FROM lg GROUP BY 1),
     st AS (SELECT *, CASE WHEN m2 > 1e-18 THEN sqrt(greatest(m2 + {' + '.join(f"2 * (1 - {i} / 11.0::DOUBLE) * g{i} / days" for i in range(1, 11))}, 0)) ELSE 0 END AS long_sd FROM gs)"""
 
 
+STATS = _stats_sql(PANEL)
+
+
 def newey_west(spark, sf_dir):
     s = C.series_statistics(_panel(spark, sf_dir))
     return s.select("combo", "days", *[R(c, 4).alias(c) for c in ("mean", "long_sd", "skew", "kurt", "sr")])
@@ -322,25 +335,91 @@ ORACLES["newey_west"] = f"""{STATS} SELECT combo, days, round(mean, 4) AS mean,
     round(CASE WHEN long_sd > 1e-12 THEN mean / long_sd END, 4) AS sr FROM st"""
 
 
-def _deflated(spark, sf_dir):
-    names = sorted(set(native.NATIVE) - {"ATR", "Bollinger Bands", "Donchian Channel"})
-    signals = native.signals(B.hourly(spark, sf_dir), names)
-    grid = C.combos(spark, names, 3)
-    stats = C.series_statistics(C.panel(C.combo_trades(signals, grid), B.hourly(spark, sf_dir)))
-    days = B.hourly(spark, sf_dir).select("bar_ts").distinct().count()
-    return C.deflated(stats, days, trials=175)
+#: Levers of the campaign: all native indicators but those of risk.
+LEVERS = sorted(set(native.NATIVE) - {"ATR", "Bollinger Bands", "Donchian Channel"})
+FOLDS = ("val1", "val2")
+
+
+def _fold_signals(spark, sf_dir, fold, names):
+    """The signals of a fold of the daily bars, numbered within it."""
+    bars = B.daily_by_nation(spark, sf_dir)
+    return C.sliced(native.signals(bars, names), fold, C.cuts(bars))
+
+
+def _slice_sql(names, where):
+    """CTEs up to `sig`: the signals of a fold of the daily bars."""
+    return f"""WITH {sql.NATION}, {sql.KERNELS}, {CUT}, {sql.signals_cte(names).replace('sig AS (', 'sig0 AS (', 1)},
+    sig AS (SELECT sig0.sym, bar_ts, row_number() OVER own - 1 AS idx, count(*) OVER (PARTITION BY sig0.sym, indicator) AS n, open, close, indicator, CASE WHEN idx >= 60 THEN state ELSE 'HOLD' END AS state
+      FROM sig0, cut WHERE {where} WINDOW own AS (PARTITION BY sig0.sym, indicator ORDER BY bar_ts))"""
+
+
+IN_FOLD = {"val1": "CAST(bar_ts AS DATE) > c1 AND CAST(bar_ts AS DATE) <= c2", "val2": "CAST(bar_ts AS DATE) > c2 AND CAST(bar_ts AS DATE) <= c3", "holdout": "CAST(bar_ts AS DATE) > c3"}
+
+
+def _fold_statistics(spark, sf_dir, fold, names, most):
+    """(statistics, trades, days) of a pass over a fold; the trades are written once."""
+    signals = _fold_signals(spark, sf_dir, fold, names)
+    trades = shared.written(C.combo_trades(signals, C.combos(spark, names, most), warmup=0), f"trades-{fold}")
+    bars = shared.written(signals.filter(F.col("indicator") == names[0]).select("sym", "bar_ts"), f"bars-{fold}")
+    return C.series_statistics(C.panel(trades, bars)), trades, bars.select("bar_ts").distinct().count()
+
+
+def fold_statistics(spark, sf_dir):
+    out = None
+    for fold in FOLDS:
+        s = _fold_statistics(spark, sf_dir, fold, STUDIED, 2)[0].select(F.lit(fold).alias("fold"), "combo", "days", *[R(c, 4).alias(c) for c in ("mean", "long_sd", "sr")])
+        out = s if out is None else out.unionAll(s)
+    return out
+
+
+QUERIES["fold_statistics"] = fold_statistics
+ORACLES["fold_statistics"] = " UNION ALL ".join(
+    f"SELECT * FROM ({_stats_sql(_panel_sql(_grid_sql(_slice_sql(STUDIED, IN_FOLD[f]), 0)))} SELECT '{f}' AS fold, combo, days, round(mean, 4) AS mean, round(long_sd::DOUBLE, 4) AS long_sd, round(CASE WHEN long_sd > 1e-12 THEN mean / long_sd END, 4) AS sr FROM st)" for f in FOLDS)
+
+
+def _charged(spark, n):
+    """Trials of the passes over both folds, each of n combinations: the second pays for the first as well."""
+    return {r.fold: r.trials for r in C.trial_ledger(spark.createDataFrame([(k, f, n) for k, f in enumerate(FOLDS)], "k int, fold string, trials long")).collect()}
+
+
+def _gated(spark, sf_dir):
+    n = C.combos(spark, LEVERS, 3).count()
+    charged, tables, long = _charged(spark, n), {}, None
+    for fold in FOLDS:
+        stats, trades, days = _fold_statistics(spark, sf_dir, fold, LEVERS, 3)
+        tables[fold] = shared.written(C.deflated(stats, days, charged[fold]), f"deflated-{fold}")
+        own = trades.filter("side = 'long' and horizon = 10 and complete").select("combo")
+        long = own if long is None else long.unionAll(own)
+    return tables, C.gate(tables["val1"], tables["val2"], long.groupBy("combo").agg(F.count(F.lit(1)).alias("trades")))
+
+
+def dsr(spark, sf_dir):
+    tables, _ = _gated(spark, sf_dir)
+    out = [tables[f].select(F.lit(f).alias("fold"), "combo", R("sr", 6).alias("sr"), R("z", 6).alias("z"), R("dsr", 6).alias("dsr"), R("bar", 6).alias("bar")) for f in FOLDS]
+    return out[0].unionAll(out[1])
+
+
+QUERIES["dsr"] = dsr
+
 
+def gate_rows(spark, sf_dir):
+    """Every combination on both folds, with what the gate says of it."""
+    g = _gated(spark, sf_dir)[1]
+    return g.select("combo", *[R(c, 6).alias(c) for c in ("sr1", "dsr1", "sr2", "dsr2")], "trades", "same_sign", "passes_ratio", "passes_trades", "passes")
 
-QUERIES["dsr"] = lambda spark, sf_dir: _deflated(spark, sf_dir).select("combo", R("sr", 6).alias("sr"), R("z", 6).alias("z"), R("dsr", 6).alias("dsr"), R("bar", 6).alias("bar"))
 
+QUERIES["gate_rows"] = gate_rows
+QUERIES["gate_verdict"] = lambda spark, sf_dir: C.verdict(_gated(spark, sf_dir)[1])
 
-def gate_verdict(spark, sf_dir):
-    d = _deflated(spark, sf_dir)
-    traded = _grid_trades(spark, sf_dir).filter("side = 'long' and horizon = 10 and complete").groupBy("combo").agg(F.count(F.lit(1)).alias("trades"))
-    return C.verdict(C.gate(d, d, traded))
 
+def trial_ledger(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return C.trial_ledger(n.select(F.col("n_nationkey").alias("k"), F.concat(F.lit("fold"), F.col("n_regionkey").cast("string")).alias("fold"), F.length("n_name").cast("long").alias("trials")))
 
-QUERIES["gate_verdict"] = gate_verdict
+
+QUERIES["trial_ledger"] = trial_ledger
+ORACLES["trial_ledger"] = """WITH e AS (SELECT n_nationkey AS k, 'fold' || n_regionkey AS fold, sum(length(n_name)) OVER (ORDER BY n_nationkey)::BIGINT AS trials FROM nation)
+    SELECT fold, arg_max(trials, k) AS trials FROM e GROUP BY 1 UNION ALL SELECT 'total', arg_max(trials, k) FROM e"""
 
 
 def metric_block(spark, sf_dir):
@@ -376,12 +455,31 @@ def campaign_ranking(spark, sf_dir):
 QUERIES["campaign_ranking"] = campaign_ranking
 
 
+def _holdout_trades(spark, sf_dir):
+    return C.combo_trades(_fold_signals(spark, sf_dir, "holdout", STUDIED), C.combos(spark, STUDIED, 2), warmup=0)
+
+
 def holdout_rows(spark, sf_dir):
-    return C.holdout(_grid_trades(spark, sf_dir), ["ROC", "VWAP"]).select("combo", "horizon", "side", "trades", R("avg_net", 4).alias("avg_net"))
+    """The chosen combinations on the days after the last cut."""
+    return C.holdout(_holdout_trades(spark, sf_dir), ["ROC", "MFI+VWAP"]).select("combo", "horizon", "side", "trades", "incomplete", R("avg_net", 4).alias("avg_net"))
 
 
 QUERIES["holdout"] = holdout_rows
-ORACLES["holdout"] = f"{GRID} SELECT combo, horizon, side, count(net) AS trades, round(avg(net), 4) AS avg_net FROM tt WHERE combo IN ('ROC', 'VWAP') GROUP BY ALL"
+ORACLES["holdout"] = f"""{_grid_sql(_slice_sql(STUDIED, IN_FOLD['holdout']), 0)} SELECT combo, horizon, side, count(net) AS trades, count(*) FILTER (NOT complete) AS incomplete, round(avg(net), 4) AS avg_net FROM tt WHERE combo IN ('ROC', 'MFI+VWAP') GROUP BY ALL"""
+
+
+def holdout_span(spark, sf_dir):
+    """Bars of the opened holdout by symbol, and how many of them lie at or before the cut."""
+    bars = B.daily_by_nation(spark, sf_dir)
+    cut = C.cuts(bars)
+    s = C.sliced(native.signals(bars, ["ROC"]), "holdout", cut)
+    early = C.opened_early(s, cut).groupBy("sym").agg(F.count(F.lit(1)).alias("early"))
+    g = s.groupBy("sym").agg(F.count(F.lit(1)).alias("bars"), F.max("idx").alias("last_idx"), F.min("bar_ts").alias("first_ts"))
+    return g.join(early, "sym", "left").select("sym", "bars", "last_idx", "first_ts", F.coalesce("early", F.lit(0).cast("long")).alias("early"))
+
+
+QUERIES["holdout_span"] = holdout_span
+ORACLES["holdout_span"] = f"WITH {sql.NATION}, {CUT} SELECT sym, count(*) AS bars, (count(*) - 1)::INT AS last_idx, min(bar_ts) AS first_ts, 0::BIGINT AS early FROM bars, cut WHERE CAST(bar_ts AS DATE) > c3 GROUP BY 1"
 
 
 def churn(spark, sf_dir):
@@ -396,3 +494,57 @@ QUERIES["best_combos"] = lambda spark, sf_dir: C.best_keys(C.series_statistics(_
 ORACLES["best_combos"] = f"{STATS} SELECT combo, round(mean / long_sd, 4) AS sr FROM st WHERE long_sd > 1e-12 ORDER BY mean / long_sd DESC, combo LIMIT 5"
 QUERIES["listing_sha"] = lambda spark, sf_dir: C.listing_digest(B.daily_by_nation(spark, sf_dir))
 ORACLES["listing_sha"] = f"""WITH {sql.NATION}, l AS (SELECT sym || ',' || strftime(max(bar_ts), '%Y-%m-%d') AS line FROM bars GROUP BY sym) SELECT count(*) AS symbols, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM l"""
+
+
+def _frozen(spark, sf_dir):
+    return shared.written(C.snapshot(B.daily_by_nation(spark, sf_dir)), "snapshot")
+
+
+def snapshot_rows(spark, sf_dir):
+    return _frozen(spark, sf_dir).select("symbols", "digest", "last", "c1", "c2", "c3", F.explode("fold_days").alias("f")).select("symbols", "digest", "last", "c1", "c2", "c3", "f.fold", "f.days")
+
+
+_LISTED = "l AS (SELECT sym || ',' || strftime(max(bar_ts), '%Y-%m-%d') AS line FROM bars GROUP BY sym), dg AS (SELECT count(*) AS symbols, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM l)"
+_DAYS = "d AS (SELECT DISTINCT CAST(bar_ts AS DATE) AS day FROM bars), fd AS (SELECT CASE WHEN day <= c1 THEN 'train' WHEN day <= c2 THEN 'val1' WHEN day <= c3 THEN 'val2' ELSE 'holdout' END AS fold, count(*) AS days FROM d, cut GROUP BY 1)"
+QUERIES["snapshot"] = snapshot_rows
+ORACLES["snapshot"] = f'WITH {sql.NATION}, {CUT}, {_LISTED}, {_DAYS} SELECT symbols, digest, last_ AS "last", CAST(c1 AS DATE) AS c1, CAST(c2 AS DATE) AS c2, CAST(c3 AS DATE) AS c3, fold, days FROM dg, cut, fd'
+
+
+def snapshot_drift(spark, sf_dir):
+    """A snapshot against the store that it froze, one that has lost its last days, and one of other cuts."""
+    frozen, bars = _frozen(spark, sf_dir), B.daily_by_nation(spark, sf_dir)
+    cases = {"same": (frozen, bars), "shorter": (frozen, bars.filter(F.to_date("bar_ts") <= F.lit("1998-01-01").cast("date"))), "other cuts": (frozen.withColumn("c1", F.date_add("c1", 1)), bars)}
+    out = None
+    for name, (f, b) in cases.items():
+        r = C.snapshot_reasons(f, b).select(F.lit(name).alias("store"), F.array_join("reasons", ",").alias("reasons"))
+        out = r if out is None else out.unionAll(r)
+    return out
+
+
+def _moved(where="true", c1="c1"):
+    return f"(SELECT list(f ORDER BY f) FROM (SELECT fold || count(*) AS f FROM (SELECT DISTINCT CAST(bar_ts AS DATE) AS day, CASE WHEN CAST(bar_ts AS DATE) <= {c1} THEN 'train' WHEN CAST(bar_ts AS DATE) <= c2 THEN 'val1' WHEN CAST(bar_ts AS DATE) <= c3 THEN 'val2' ELSE 'holdout' END AS fold FROM bars, cut WHERE {where}) GROUP BY fold))"
+
+
+_SHORT = "CAST(bar_ts AS DATE) <= DATE '1998-01-01'"
+QUERIES["snapshot_drift"] = snapshot_drift
+ORACLES["snapshot_drift"] = f"""WITH {sql.NATION}, {CUT} SELECT 'same' AS store, '' AS reasons
+    UNION ALL SELECT 'shorter', concat_ws(',', CASE WHEN (SELECT list(x ORDER BY x) FROM (SELECT sym || max(bar_ts) AS x FROM bars GROUP BY sym)) <> (SELECT list(x ORDER BY x) FROM (SELECT sym || max(bar_ts) AS x FROM bars WHERE {_SHORT} GROUP BY sym)) THEN 'listing' END, CASE WHEN {_moved()} <> {_moved(_SHORT)} THEN 'fold days' END)
+    UNION ALL SELECT 'other cuts', concat_ws(',', 'cuts', CASE WHEN {_moved()} <> {_moved(c1='c1 + INTERVAL 1 DAY')} THEN 'fold days' END)"""
+
+
+def attested(spark, sf_dir):
+    """Whether streams may stand for a snapshot: those of its run, of another run, and without slices."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    frozen = n.filter("n_nationkey = 1").select(F.col("n_name").alias("run"), F.sha2("n_name", 256).alias("digest"))
+    other = n.filter("n_nationkey = 2").select(F.col("n_name").alias("run"), F.sha2("n_name", 256).alias("digest"))
+    slices = n.select(F.concat(F.lit("val"), F.col("n_regionkey").cast("string")).alias("fold"))
+    cases = {"same": (frozen, "val1"), "other": (other, "val1"), "no slices": (frozen, "val9"), "none": (other.limit(0), "val1")}
+    out = None
+    for name, (s, fold) in cases.items():
+        r = C.attestation(frozen, s, slices, fold).select(F.lit(name).alias("streams"), F.array_join("reasons", ",").alias("reasons"))
+        out = r if out is None else out.unionAll(r)
+    return out
+
+
+QUERIES["attestation"] = attested
+ORACLES["attestation"] = "SELECT 'same' AS streams, '' AS reasons UNION ALL SELECT 'other', CASE WHEN a.n_name <> b.n_name THEN 'run,digest' ELSE '' END FROM nation a, nation b WHERE a.n_nationkey = 1 AND b.n_nationkey = 2 UNION ALL SELECT 'no slices', CASE WHEN (SELECT count(*) FROM nation WHERE n_regionkey = 9) = 0 THEN 'no slices' ELSE '' END UNION ALL SELECT 'none', 'run,digest'"
