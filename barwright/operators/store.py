@@ -9,10 +9,21 @@ from pyspark.sql import functions as F
 
 #: Days kept, days until stale, jump that marks a split between deliveries, closing hour.
 KEEP_DAYS, STALE_DAYS, BREAK, CLOSING_HOUR = 730, 28, 0.30, 19
+#: Nights missed until a symbol is excluded, and the share of members that may be.
+EXCLUDE_NIGHTS, EXCLUDE_SHARE = 2, 0.005
 #: Least bars to score, share of rows and of each region that must be there, and its floor.
 LEAST_BARS, ROW_SHARE, REGION_SHARE, ROW_FLOOR = 20, (2, 5), (1, 2), 2500
 
 
+def cased(rows: DataFrame) -> DataFrame:
+    """Columns by their names in small letters, blanks as underscores; of names that then are alike, the
+    first stays."""
+    out: dict[str, Column] = {}
+    for c in rows.columns:
+        out.setdefault("_".join(c.strip().lower().split()), rows[f"`{c}`"])
+    return rows.select(*[col.alias(name) for name, col in out.items()])
+
+
 def normalized(rows: DataFrame) -> DataFrame:
     """Numbers from whatever the columns hold; rows without a close go."""
     return rows.select("sym", "bar_ts", *[F.expr(f"try_cast({c} as double)").alias(c) for c in ("open", "high", "low", "close", "volume")]).filter("close is not null and not isnan(close)")
@@ -110,10 +121,32 @@ def exclusions(state: DataFrame, misses: DataFrame, tonight: Column) -> DataFram
     return j.select("sym", F.coalesce("first_seen", tonight).alias("first_seen"), tonight.alias("last_seen"), (F.coalesce("nights", F.lit(0)) + 1).cast("int").alias("nights"), F.col("why").alias("reason"))
 
 
-def excluded(state: DataFrame, nights: int = 2) -> DataFrame:
+def excluded(state: DataFrame, nights: int = EXCLUDE_NIGHTS) -> DataFrame:
+    """Symbols that have been missed so many nights."""
     return state.filter(F.col("nights") >= nights)
 
 
+def too_many(state: DataFrame, members: DataFrame, share: float = EXCLUDE_SHARE, nights: int = EXCLUDE_NIGHTS) -> DataFrame:
+    """Number of excluded symbols and of members, and whether the first are so many that the fetch has
+    failed rather than they."""
+    out = excluded(state, nights).agg(F.count(F.lit(1)).alias("excluded"))
+    all_ = members.agg(F.countDistinct("sym").alias("members"))
+    return out.crossJoin(F.broadcast(all_)).withColumn("too_many", F.col("excluded") > F.col("members") * share)
+
+
+def merged_passes(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Results (sym, score, error) of two passes: the second's take the place of the first's where they have
+    a score; a second pass that failed only leaves its error. Symbols of the second alone don't count."""
+    b = second.select("sym", F.col("score").alias("score2"), F.col("error").alias("error2"))
+    j = first.join(b, "sym", "left")
+    return j.select("sym", F.coalesce("score2", "score").alias("score"), F.when(F.col("score2").isNotNull(), F.col("error2")).otherwise(F.coalesce("error2", "error")).alias("error"), F.col("score2").isNotNull().alias("replaced"))
+
+
+def anchor(stats: Column) -> Column:
+    """The size of the registry that published statistics (JSON) state, null where they state none."""
+    return F.from_json(F.get_json_object(stats, "$.registry"), "m_unique int")["m_unique"]
+
+
 def is_stale(day: Column, today: Column) -> Column:
     """Older than the last weekday before today (today's own bar isn't due yet)."""
     back = F.when(F.weekday(today) == 0, 3).when(F.weekday(today) == 6, 2).otherwise(1)

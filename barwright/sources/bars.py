@@ -6,6 +6,8 @@ with these columns and partition by `sym`, ordered by `bar_ts`.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,10 +64,28 @@ def read_csv_store(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("close is not null and bar_ts is not null")
 
 
+def replaced(spark: SparkSession, path: str, write) -> None:
+    """Calls write(folder) for a new folder beside `path` and moves it there once it is complete: readers
+    find the old store or the new one, never half of it."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at, new, old = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + x) for x in ("", f".new-{uuid.uuid4().hex[:8]}", f".old-{uuid.uuid4().hex[:8]}"))
+    fs = at.getFileSystem(conf)
+    try:
+        write(str(new.toString()))
+        if fs.exists(at):
+            fs.rename(at, old)
+        if not fs.rename(new, at):
+            raise OSError(f"can't move {new.toString()} to {path}")
+    finally:
+        fs.delete(new, True)
+        fs.delete(old, True)
+
+
 def write_csv_store(bars: DataFrame, path: str) -> None:
-    """One CSV folder a symbol, in date order."""
+    """One CSV folder a symbol, in date order; takes the place of what is there as a whole."""
     out = bars.select(escaped(F.col("sym")).alias("sym"), F.date_format("bar_ts", "yyyy-MM-dd").alias("date"), "open", "high", "low", "close", "volume")
-    out.repartition("sym").sortWithinPartitions("sym", "date").write.mode("overwrite").option("header", True).partitionBy("sym").csv(path)
+    ready = out.repartition("sym").sortWithinPartitions("sym", "date")
+    replaced(bars.sparkSession, path, lambda at: ready.write.option("header", True).partitionBy("sym").csv(at))
 
 
 def read_csv_folders(spark: SparkSession, path: str) -> DataFrame:
