@@ -8,24 +8,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import cut
+from barwright.llm.common import NARROW, cut, discard
 
-#: Pointer jumps in each round of contraction.
-JUMPS = 2
+#: Links that a task joins before it gives out what it has and starts anew (about 100 MB).
+HELD = 500_000
 
 
-#: Links that one task joins by union-find; a larger table is contracted in rounds.
-ONE_TASK = 1_000_000
-
-
-def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
-    """links (a, b) -> (node, comp): comp is the least node of the component.
-
-    A table of at most `one_task` distinct links, which is counted first, goes through one task (about
-    100 MB at the bound). Anything larger goes through `contracted`; the results are the same."""
-    edges = cut(links.select("a", "b").filter("a <> b").distinct(), "cc-links", fewer=32)
-    if edges.limit(one_task + 1).count() > one_task:
-        return contracted(edges)
+def _joined(links: DataFrame, held: int, n: int) -> DataFrame:
+    """The same components by fewer links: of every `held` links that a task sees, one from each node
+    to the least node that they lead to. Of n links, about NARROW meet in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top: dict[bytes, bytes] = {}
@@ -37,45 +28,47 @@ def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
                 x = top[x]
             return x
 
-        for b in batches:
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        def out() -> pa.RecordBatch:
+            rows = [(r, x) for x in top if (r := root(x)) != x]
+            top.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["a", "b"])
+
+        n = 0
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x, y = root(x), root(y)
                 if x != y:
                     top[max(x, y)] = min(x, y)
-        nodes = list(top)
-        for i in range(0, len(nodes), 50_000):
-            part = nodes[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([root(x) for x in part], pa.binary())], names=["node", "comp"])
+            n += batch.num_rows
+            if n >= held:
+                yield out()
+                n = 0
+        yield out()
 
-    return cut(edges.repartition(1).mapInArrow(run, "node binary, comp binary"), "cc-found", fewer=32)
+    return links.select("a", "b").coalesce(max(1, -(-n // NARROW))).mapInArrow(run, "a binary, b binary")
 
 
-def contracted(edges: DataFrame) -> DataFrame:
-    """Components without ever bringing links together.
+def components(links: DataFrame, held: int = HELD) -> DataFrame:
+    """links (a, b) -> (node, comp): comp is the least node of the component.
 
-    Each round points every node at its smallest neighbour, follows the pointers a few steps, and
-    contracts the links to what their ends point at; links within one node go. The image of a
-    connected set stays connected, so rounds go on until no link is left (about log of the longest
-    path). Nodes with very many links only meet pre-aggregated minima and joins whose other side has
-    one row a node.
+    Tasks first join the links that they see anyway. Then, in rounds, every node points at its least
+    neighbour or itself, and links are carried over to what their ends point at; links within one node
+    go. The image of a connected set stays connected and its least node points at itself, so rounds go
+    on until no link is left. Nodes with very many links only meet pre-aggregated minima and joins
+    whose other side has one row a node.
     """
-    found = None
-    while not edges.isEmpty():
+    edges = cut(_joined(links, held, links.count()), "cc-links")
+    n, found = edges.count(), None
+    if not n:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    while n:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")), "cc-up", fewer=32)
-        for _ in range(JUMPS):
-            above = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            up = cut(up.join(above.hint("merge"), "up").select("node", F.col("top").alias("up")), "cc-up", fewer=32)
-        if found is None:
-            found = up.select("node", F.col("up").alias("comp"))
-        else:
-            step = up.select(F.col("node").alias("comp"), "up")
-            found = cut(found.join(step.hint("merge"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "cc-found", fewer=32)
-        ends = cut(edges.join(up.select(F.col("node").alias("a"), F.col("up").alias("x")).hint("merge"), "a").select("x", "b"), "cc-ends", fewer=32)
+        up = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")), "cc-up", rows=2 * n)
+        step = up.select(F.col("node").alias("comp"), "up")
+        old, found = found, up.select("node", F.col("up").alias("comp")) if found is None else cut(found.join(step.hint("merge"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "cc-found", rows=found.count())
+        ends = edges.join(up.select(F.col("node").alias("a"), F.col("up").alias("x")).hint("merge"), "a").select("x", "b")
         ends = ends.join(up.select(F.col("node").alias("b"), F.col("up").alias("y")).hint("merge"), "b").filter("x <> y")
-        edges = cut(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-links", fewer=32)
-    if found is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    # the node that a round ends at isn't always the least of its component
-    least = cut(found.groupBy("comp").agg(F.least(F.min("node"), F.first("comp")).alias("least")), "cc-least", fewer=32)
-    return cut(found.join(least.hint("merge"), "comp").select("node", F.col("least").alias("comp")), "cc-found", fewer=32)
+        fewer = cut(_joined(ends.select(F.col("x").alias("a"), F.col("y").alias("b")), held, n), "cc-links")
+        discard(edges, old)
+        edges, n = fewer, fewer.count()
+    return found

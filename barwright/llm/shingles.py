@@ -8,7 +8,7 @@ import xxhash
 #: Word hashes remembered by one worker; beyond it the memory is emptied.
 REMEMBERED = 250_000
 #: Shingles hashed at a time, so that a very long text takes a bounded block.
-BLOCK = 2048
+BLOCK = 1024
 
 
 class WordHashes(dict):
@@ -52,16 +52,17 @@ def shingle_set(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(_mix(acc))
 
 
-def minhash(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-    """The upper 32 bits of the least product with each multiplier; shingles are random already."""
-    least = np.full(len(multipliers), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), BLOCK):
-        np.minimum(least, (shingles[i : i + BLOCK, None] * multipliers).min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32)
+def minhash(shingles: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """The least product with each multiplier, in 32 bits; shingles are random already."""
+    high = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(by), np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(high), BLOCK):
+        np.minimum(least, (high[i : i + BLOCK, None] * by).min(axis=0), out=least)
+    return least
 
 
 def multipliers(n: int) -> np.ndarray:
-    return _odd(n, 7)
+    return np.random.default_rng(7).integers(1, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
