@@ -317,6 +317,15 @@ def listing_digest(bars: DataFrame) -> DataFrame:
     return last.agg(F.count(F.lit(1)).alias("symbols"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n").cast("binary"), 256).alias("digest"))
 
 
+def eligible_keys(first: DataFrame, second: DataFrame, k: int = 10, least: int = LEAST_TRADES, by_second: bool = True, key: str = "combo") -> DataFrame:
+    """The k highest ratios of one fold among the keys that both folds can speak of: a ratio in each, of one
+    sign, and `least` long trades in each. first, second: (key, sr, trades)."""
+    a = first.select(key, F.col("sr").alias("sr1"), F.col("trades").alias("trades1"))
+    b = second.select(key, F.col("sr").alias("sr2"), F.col("trades").alias("trades2"))
+    both = a.join(b, key).filter((F.col("sr1") * F.col("sr2") > 0) & (F.col("trades1") >= least) & (F.col("trades2") >= least))
+    return both.orderBy(F.desc("sr2" if by_second else "sr1"), key).limit(k)
+
+
 def snapshot(bars: DataFrame) -> DataFrame:
     """What a frozen snapshot states of its store: digest of the listing, cuts, and days of each fold."""
     cut = cuts(bars)

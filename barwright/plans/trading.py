@@ -377,6 +377,26 @@ ORACLES["fold_statistics"] = " UNION ALL ".join(
     f"SELECT * FROM ({_stats_sql(_panel_sql(_grid_sql(_slice_sql(STUDIED, IN_FOLD[f]), 0)))} SELECT '{f}' AS fold, combo, days, round(mean, 4) AS mean, round(long_sd::DOUBLE, 4) AS long_sd, round(CASE WHEN long_sd > 1e-12 THEN mean / long_sd END, 4) AS sr FROM st)" for f in FOLDS)
 
 
+def eligible_combos(spark, sf_dir):
+    """The five best combinations of the second fold that both folds bear out, with ten long trades in each."""
+    tables = []
+    for fold in FOLDS:
+        stats, trades, _ = _fold_statistics(spark, sf_dir, fold, STUDIED, 2)
+        long = trades.filter("side = 'long' and horizon = 10 and complete").groupBy("combo").agg(F.count(F.lit(1)).alias("trades"))
+        tables.append(stats.join(long, "combo"))
+    return C.eligible_keys(*tables, k=5, least=10).select("combo", R("sr1", 4).alias("sr1"), "trades1", R("sr2", 4).alias("sr2"), "trades2")
+
+
+def _eligible_sql(fold):
+    return f"""({_stats_sql(_panel_sql(_grid_sql(_slice_sql(STUDIED, IN_FOLD[fold]), 0)))} SELECT st.combo, CASE WHEN long_sd > 1e-12 THEN mean / long_sd END AS sr, k AS trades
+      FROM st JOIN (SELECT combo, count(*) AS k FROM tt WHERE side = 'long' AND horizon = 10 AND complete GROUP BY 1) c ON c.combo = st.combo)"""
+
+
+QUERIES["eligible_combos"] = eligible_combos
+ORACLES["eligible_combos"] = f"""SELECT a.combo, round(a.sr, 4) AS sr1, a.trades AS trades1, round(b.sr, 4) AS sr2, b.trades AS trades2 FROM {_eligible_sql('val1')} a JOIN {_eligible_sql('val2')} b ON b.combo = a.combo
+    WHERE a.sr * b.sr > 0 AND a.trades >= 10 AND b.trades >= 10 ORDER BY b.sr DESC, a.combo LIMIT 5"""
+
+
 def _charged(spark, n):
     """Trials of the passes over both folds, each of n combinations: the second pays for the first as well."""
     return {r.fold: r.trials for r in C.trial_ledger(spark.createDataFrame([(k, f, n) for k, f in enumerate(FOLDS)], "k int, fold string, trials long")).collect()}
