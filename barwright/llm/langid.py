@@ -38,6 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barwright.llm.common import pieces
+
 #: Hash buckets of affixes and n-grams.
 FEATURES = 1 << 16
 #: Words of each language in the lexicon.
@@ -52,26 +54,33 @@ PIECE = 400
 CELLS = 8_000_000
 #: Characters labelled at a time, and words whose scores a worker remembers.
 CHUNK, REMEMBERED = 800_000, 200_000
-#: Rows whose texts a worker holds as strings at a time.
-ROWS = 512
 #: Longer words go through the features in a block of their own.
 WIDE = 32
 #: Share of a word's features that must occur in training to call it known; share of a text's words
 #: that must be known to keep it.
 KNOWN, LEAST_KNOWN = 0.6, 0.25
 
-#: Characters that Python counts as word characters but that are numerals, not letters.
-_NUMERALS = "".join(x for x in map(chr, range(0x80, sys.maxunicode + 1)) if x.isalnum() and not x.isalpha() and not x.isdecimal())
-_LETTER = rf"[^\W\d_{re.escape(_NUMERALS)}]"
+#: By code point: what Python counts as a word character but is a numeral, not a letter; taken as a digit.
+_NUMERAL = np.zeros(sys.maxunicode + 1, bool)
+_NUMERAL[[c for c in range(0x80, sys.maxunicode + 1) if (x := chr(c)).isalnum() and not x.isalpha() and not x.isdecimal()]] = True
 #: Words, and line ends. Letters next to digits or within addresses are no words ...
-_TOKEN = re.compile(rf"(?<![\w@.]){_LETTER}+(?![\w@])|\n")
+_TOKEN = re.compile(r"(?<![\w@.])[^\W\d_]+(?![\w@])|\n")
 #: ... unless a text has no others.
-_LETTERS = re.compile(rf"{_LETTER}+|\n")
+_LETTERS = re.compile(r"[^\W\d_]+|\n")
+
+
+def _plain(low: str) -> str:
+    """The text, of the same length, with digits for numerals."""
+    if low.isascii():
+        return low
+    codes = np.frombuffer(low.encode("utf-32-le"), np.uint32)
+    at = _NUMERAL[codes]
+    return np.where(at, np.uint32(ord("0")), codes).tobytes().decode("utf-32-le") if at.any() else low
 
 
 def lines(text: str) -> list[list[str]]:
     """Lower-cased words of each line that has any."""
-    low = text.lower()
+    low = _plain(text.lower())
     return _split(_TOKEN.findall(low)) or _split(_LETTERS.findall(low))
 
 
@@ -252,6 +261,7 @@ class Crf:
         low = text.lower()
         if len(low) != len(text):
             low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+        low = _plain(low)
         pattern = _TOKEN if any(m[0] != "\n" for m in _TOKEN.finditer(low)) else _LETTERS
         chains: list[list[re.Match]] = [[]]
         for m in pattern.finditer(low):
@@ -390,7 +400,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def _predicted(m: Crf, texts: pa.Array) -> list[Prediction]:
-    return [x for i in range(0, len(texts), ROWS) for x in m.predict([t or "" for t in texts.slice(i, ROWS).to_pylist()])]
+    return m.predict([t or "" for t in texts.to_pylist()])
 
 
 _WORDS = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
@@ -403,7 +413,7 @@ def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value.fresh()
-        for b in batches:
+        for b in pieces(batches):
             got = _predicted(m, b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.lang for x in got], pa.string()), pa.array([x.score for x in got], pa.float64()), pa.array([x.known for x in got], pa.float64()),
                                               pa.array([[{"lang": k, "words": n} for k, n in x.words] for x in got], _WORDS)], names=["doc_id", "held_out", "lang_pred", "score", "known", "word_langs"])
@@ -420,12 +430,10 @@ def label_runs(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value.fresh()
-        for b in batches:
-            for i in range(0, b.num_rows, ROWS):
-                part = b.slice(i, ROWS)
-                got = [(d, *r) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if t for r in m.runs(t)]
-                columns = list(zip(*got, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["doc_id", "start", "end", "lang", "words"])
+        for b in pieces(batches):
+            got = [(d, *r) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for r in m.runs(t)]
+            columns = list(zip(*got, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["doc_id", "start", "end", "lang", "words"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, start long, end long, lang string, words long")
 
@@ -438,7 +446,7 @@ def keep_identified(docs: DataFrame, model: Crf, least_known: float = LEAST_KNOW
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value.fresh()
-        for b in batches:
+        for b in pieces(batches):
             got = _predicted(m, b.column(at))
             yield b.filter(pa.array([x.lang != "und" and x.known >= least_known for x in got], pa.bool_()))
 
