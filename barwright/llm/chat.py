@@ -10,7 +10,7 @@ its lines. Turns are then rendered in one canonical form. A transcript is parsed
 length.
 
 Start, transition and emission tables are counted, with one added to each cell, on a bounded sample of
-labelled transcripts (`SAMPLE` of them).
+labelled transcripts (`SAMPLE` of them, `SAMPLE_LINES` lines).
 
 `transcripts` writes raw transcripts from a table of turns, in the order of turns: one for each
 conversation, or, for one of more than `PART_TURNS` turns, one for each part of so many. Turns are
@@ -43,13 +43,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barwright.llm.common import cut
+from barwright.llm.common import cut, pieces
 
 ROLES = ("system", "user", "assistant")
 #: Turns of one transcript at most; a longer conversation is written in parts.
 PART_TURNS = 2048
-#: Labelled transcripts that the tables are counted on at most.
-SAMPLE = 2000
+#: Labelled transcripts, and lines of them, that the tables are counted on at most.
+SAMPLE, SAMPLE_LINES = 2000, 50_000
 
 #: Names of speakers.
 SPEAKERS = {
@@ -174,7 +174,7 @@ def parse_transcripts(rows: DataFrame, model: Hmm, text_col: str = "transcript")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        for b in batches:
+        for b in pieces(batches, 64):
             got = [m.turns(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([[{"role": r, "text": t} for r, t in g] for g in got], kind), pa.array([render(g) for g in got], pa.string())], names=[*cols, "turns", "chat"])
 
@@ -239,16 +239,23 @@ def transcripts(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     groups = rows.groupBy("conv", "part").agg(F.sort_array(F.collect_list(F.struct("n", "turn", "role", "text"))).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 64):
             got = [write_raw(c, t) for c, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.list_(pa.int32()))], names=["conv_id", "part", "transcript", "states"])
 
     return groups.mapInArrow(run, "conv_id string, part long, transcript string, states array<int>")
 
 
-def fit(raw: DataFrame, sample: int = SAMPLE) -> Hmm:
-    """Count the tables on the transcripts with the least hashes, except those held out (crc32(conv_id)
-    mod 4 = 2)."""
-    rows = raw.filter(F.crc32(F.col("conv_id").cast("binary")) % 4 != 2).select("transcript", "states", F.xxhash64("conv_id", "part").alias("h"))
-    got = rows.orderBy("h", "transcript").limit(sample).collect()
+def fit(raw: DataFrame, sample: int = SAMPLE, lines: int = SAMPLE_LINES) -> Hmm:
+    """Count the tables on the transcripts with the least hashes, `sample` of them and `lines` lines at most
+    (one transcript at least), except those held out (crc32(conv_id) mod 4 = 2)."""
+    rows = raw.filter(F.crc32(F.col("conv_id").cast("binary")) % 4 != 2).withColumn("h", F.xxhash64("conv_id", "part"))
+    total, last = 0, None
+    for r in rows.select("h", F.size("states").alias("n")).orderBy("h").limit(sample).collect():
+        if total and total + r.n > lines:
+            break
+        total, last = total + r.n, r.h
+    if last is None:
+        return Hmm.counted([])
+    got = rows.filter(F.col("h") <= last).orderBy("h", "transcript").select("transcript", "states").collect()
     return Hmm.counted([list(zip(r.states, r.transcript.split("\n"), strict=True)) for r in got if r.states and min(r.states) >= 0])
