@@ -169,10 +169,13 @@ def indicator(bars: DataFrame, name: str) -> DataFrame:
 
 def signals(bars: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
     """Indicators at every bar as rows: sym, bar_ts, idx, n, open, close, indicator, category, state, score."""
-    names = list(names if names is not None else NATIVE)
-    k = kernels(bars)
+    return rows_of(kernels(bars), names)
+
+
+def rows_of(k: DataFrame, names: Iterable[str] | None = None, *more: Column) -> DataFrame:
+    """The rows of `signals` from kernels, with more columns of the kernels' bars."""
     cells = []
-    for name in names:
+    for name in names if names is not None else NATIVE:
         state, score = NATIVE[name][1]()
         cells.append(F.struct(F.lit(name).alias("indicator"), F.lit(NATIVE[name][0]).alias("category"), state.alias("state"), (F.round(score, 6) + 0.0).alias("score")))
-    return k.select("sym", "bar_ts", "idx", "n", "open", "close", F.inline(F.array(*cells)))
+    return k.select("sym", "bar_ts", "idx", "n", "open", "close", *more, F.inline(F.array(*cells)))

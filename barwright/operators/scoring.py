@@ -29,9 +29,9 @@ def vote_of(state: Column) -> Column:
     return F.when(s.isin("BUY", "BULLISH"), 1).when(s.isin("SELL", "BEARISH"), -1).otherwise(0)
 
 
-def votes(signals: DataFrame) -> DataFrame:
-    """Directional votes: sym, bar_ts, indicator, family, vote, strength."""
-    return signals.filter(~F.col("indicator").isin(*RISK_ONLY)).select("sym", "bar_ts", "indicator", family_of(F.col("category")).alias("family"), vote_of(F.col("state")).alias("vote"), F.abs("score").alias("strength"))
+def votes(signals: DataFrame, *more: str) -> DataFrame:
+    """Directional votes: sym, bar_ts, indicator, family, vote, strength, and more columns."""
+    return signals.filter(~F.col("indicator").isin(*RISK_ONLY)).select("sym", "bar_ts", "indicator", family_of(F.col("category")).alias("family"), vote_of(F.col("state")).alias("vote"), F.abs("score").alias("strength"), *more)
 
 
 def _majority(buy: Column, sell: Column) -> Column:
@@ -44,16 +44,17 @@ def family_votes(v: DataFrame) -> DataFrame:
     return g.select("*", ((F.col("buys") - F.col("sells")) / F.col("members")).alias("strength"), _majority(F.col("buys"), F.col("sells")).alias("vote"))
 
 
-def directions(v: DataFrame) -> DataFrame:
-    """direction (0 to 1), dominant family, consensus and confidence with its parts, in one aggregation."""
-    aggs = [F.avg("strength").alias("avg_strength")]
+def directions(v: DataFrame, *more: str) -> DataFrame:
+    """direction (0 to 1), dominant family, consensus and confidence with its parts, in one aggregation; more
+    columns, which a bar's votes share or lack, come along."""
+    aggs = [F.avg("strength").alias("avg_strength"), *[F.max(c).alias(c) for c in more]]
     for f in FAMILIES:
         mine = F.col("family") == f
         aggs += [F.count_if(mine).alias(f"n_{f}"), F.count_if(mine & (F.col("vote") > 0)).alias(f"b_{f}"), F.count_if(mine & (F.col("vote") < 0)).alias(f"s_{f}")]
     g = v.groupBy("sym", "bar_ts").agg(*aggs)
     strength = {f: F.when(F.col(f"n_{f}") > 0, (F.col(f"b_{f}") - F.col(f"s_{f}")) / F.col(f"n_{f}")) for f in FAMILIES}
     vote = {f: F.when(F.col(f"n_{f}") > 0, _majority(F.col(f"b_{f}"), F.col(f"s_{f}"))) for f in FAMILIES}
-    g = g.select("sym", "bar_ts", "avg_strength", *[strength[f].alias(f"strength_{f}") for f in FAMILIES], *[vote[f].alias(f"vote_{f}") for f in FAMILIES])
+    g = g.select("sym", "bar_ts", "avg_strength", *more, *[strength[f].alias(f"strength_{f}") for f in FAMILIES], *[vote[f].alias(f"vote_{f}") for f in FAMILIES])
     present = {f: F.col(f"strength_{f}").isNotNull() for f in FAMILIES}
 
     def total(pick) -> Column:
@@ -81,7 +82,7 @@ def directions(v: DataFrame) -> DataFrame:
         "sym", "bar_ts", *[f"strength_{f}" for f in FAMILIES], *[f"vote_{f}" for f in FAMILIES],
         F.coalesce((raw + 1) / 2, F.lit(0.5)).alias("direction"), dominant.alias("dominant"), F.when(same, 1.0).otherwise(least).alias("consensus"),
         agreement.alias("agreement"), F.col("avg_strength"), F.coalesce(confirmed, F.lit(False)).alias("volume_confirmed"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 * agreement + 0.3 * F.col("avg_strength") + 0.2 * volume)).alias("confidence"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 * agreement + 0.3 * F.col("avg_strength") + 0.2 * volume)).alias("confidence"), *more,
     )
 
 
@@ -96,8 +97,12 @@ def risk_multiplier(atr_pct: Column, squeeze: Column, volume_ratio: Column) -> C
 def squeeze(kernels: DataFrame) -> DataFrame:
     """Width of the Bollinger band over its middle, and the risk multiplier of the nightly path (which
     knows neither the range nor the volume)."""
+    return kernels.select("sym", "bar_ts", "idx", "n", *_squeezed())
+
+
+def _squeezed() -> list[Column]:
     s = F.coalesce(F.when(F.col("sma20") > 0, (F.col("upper") - F.col("lower")) / F.col("sma20")), F.lit(0.05))
-    return kernels.select("sym", "bar_ts", "idx", "n", F.round(s, 8).alias("squeeze"), risk_multiplier(F.lit(0.0), F.round(s, 8), F.lit(1.0)).alias("risk_multiplier"))
+    return [F.round(s, 8).alias("squeeze"), risk_multiplier(F.lit(0.0), F.round(s, 8), F.lit(1.0)).alias("risk_multiplier")]
 
 
 def regimes(index_bars: DataFrame) -> DataFrame:
@@ -164,15 +169,19 @@ def score(bars: DataFrame, index_bars: DataFrame | None = None, region: DataFram
     social) and (sym, options) in [-1, 1], where known. names: indicators to use, all by default."""
     chosen = set(names) if names is not None else set(native.NATIVE) | set(recursive.RECURSIVE)
     own, rec = [n for n in native.NATIVE if n in chosen], [n for n in recursive.RECURSIVE if n in chosen]
-    rows = None
-    if own:
-        rows = native.signals(bars, own).filter("idx = n - 1").drop("idx", "n", "open", "close")
+    # the bars are sorted once for the native rows and the width of the band, and once for the rest
+    k, risk = native.kernels(bars).filter("idx = n - 1"), ("squeeze", "risk_multiplier")
+    carried = [n for n in own if n not in RISK_ONLY]
+    rows = native.rows_of(k, carried, *_squeezed()).drop("idx", "n", "open", "close") if carried else None
     if rec:
         more = recursive.signals(bars, rec, last_only=True).drop("idx", "n", "open", "close")
-        rows = more if rows is None else rows.unionByName(more)
-    d = directions(votes(rows))
-    risk = squeeze(native.kernels(bars)).filter("idx = n - 1").select("sym", "squeeze", "risk_multiplier")
-    out = d.join(risk, "sym")
+        rows = more if rows is None else rows.unionByName(more, allowMissingColumns=True)
+    if rows is None:
+        raise ValueError("no indicator that votes")
+    if carried:
+        out = directions(votes(rows, *risk), *risk)
+    else:
+        out = directions(votes(rows)).join(squeeze(k).select("sym", *risk), "sym")
     if index_bars is None:
         out = out.withColumns({"regime": F.lit("CHOP"), "regime_multiplier": F.lit(0.5)})
     else:
