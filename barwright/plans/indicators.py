@@ -168,25 +168,6 @@ def zigzag(spark, sf_dir):
 QUERIES["zigzag"] = zigzag
 
 
-def recursive_values(spark, sf_dir):
-    v = recursive.values(B.hourly(spark, sf_dir))
-    return v.select("sym", "bar_ts", *[F.round(c, 6).alias(c) for c in ("ema9", "ema21", "macd", "macd_signal", "supertrend_upper", "supertrend_lower")])
-
-
-QUERIES["recursive_values"] = recursive_values
-ORACLES["recursive_values"] = f"""
-    WITH {sql.HOURLY}, {sql.KERNELS}, l AS (SELECT *, list(tr) {PAST} AS trs, {_ewm('close', 9)} AS ema9, {_ewm('close', 21)} AS ema21, {_ewm('close', 12, True)} - {_ewm('close', 26, True)} AS line FROM k1),
-    a AS (SELECT *, {_ewm('line', 9, True)} AS sig, CASE WHEN idx < 10 THEN list_avg(trs) ELSE list_reduce(list_prepend(list_avg(trs[1:10]), trs[11:]), lambda acc, x: x / 10 + acc * 0.9) END AS atr FROM l)
-    SELECT sym, bar_ts, round(ema9, 6) AS ema9, round(ema21, 6) AS ema21, round(line, 6) AS macd, round(sig, 6) AS macd_signal, round((high + low) / 2 + 3 * atr, 6) AS supertrend_upper, round((high + low) / 2 - 3 * atr, 6) AS supertrend_lower FROM a"""
-
-
-def all_values(spark, sf_dir):
-    """Stops, Wilder's indices and gap lines, which SQL can't fold."""
-    return recursive.values(B.hourly(spark, sf_dir))
-
-
-QUERIES["all_values"] = all_values
-
 _LAST9 = f"list(close) OVER ({sql.W} ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)"
 _ALMA = [2.718281828459045 ** (-((s - 0.85 * 8) ** 2) / (2 * 9.0)) for s in range(9)]
 
@@ -316,3 +297,64 @@ def _mood_sql(span: int, least: int) -> str:
 ORACLES["fear_greed_gauges"] = f"{_mood_sql(252, 260)} SELECT sym, bar_ts, {', '.join(f'round({c}, 4) AS {c}' for c in GAUGES)} FROM mood"
 ORACLES["fear_greed"] = f"""{_mood_sql(MOOD_SPAN, MOOD_LEAST)} SELECT sym, bar_ts, CASE WHEN overall <= 25 THEN 'BUY' WHEN overall >= 75 THEN 'SELL' ELSE 'HOLD' END AS state,
     round(CASE WHEN overall <= 25 THEN (25 - overall) / 25 WHEN overall >= 75 THEN -(overall - 75) / 25 ELSE 0 END::DOUBLE, 4) + 0.0::DOUBLE AS score FROM mood"""
+
+
+# ---- values of the recursive indicators -----------------------------------------------------------------
+
+VALUES = ("ema9", "ema21", "macd", "macd_signal", "supertrend_upper", "supertrend_lower", "rsi_wilder", "plus_di", "minus_di", "adx_wilder")
+
+
+def recursive_values(spark, sf_dir):
+    v = recursive.values(B.hourly(spark, sf_dir))
+    return v.select("sym", "bar_ts", *[F.round(c, 6).alias(c) for c in VALUES])
+
+
+#: CTEs up to `wi`: Wilder's strength and directional indices of every bar.
+_WILDER = f"""m AS (SELECT *, CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0.0 END AS pd, CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0.0 END AS md FROM k1),
+    l AS (SELECT *, list(tr) {PAST} AS ht, list(pd) {PAST} AS hp, list(md) {PAST} AS hm, list(greatest(ch, 0)) FILTER (ch IS NOT NULL) {PAST} AS hg, list(greatest(-ch, 0)) FILTER (ch IS NOT NULL) {PAST} AS hl FROM m),
+    w AS (SELECT * EXCLUDE (ht, hp, hm, hg, hl), {_wilder('ht')} AS wt, {_wilder('hp')} AS wp, {_wilder('hm')} AS wm, {_wilder('hg')} AS wg, {_wilder('hl')} AS wl FROM l),
+    d AS (SELECT *, 100 * wp / wt AS plus_di, 100 * wm / wt AS minus_di, coalesce(100 * abs(wp - wm) / nullif(wp + wm, 0), 0) AS dx, CASE WHEN wl = 0 THEN 100.0 ELSE 100 - 100 / (1 + wg / wl) END AS rsi_wilder FROM w),
+    x AS (SELECT *, list(dx) {PAST} AS hx FROM d), wi AS (SELECT * EXCLUDE (hx), {_wilder('hx')} AS adx_wilder FROM x)"""
+
+QUERIES["recursive_values"] = recursive_values
+ORACLES["recursive_values"] = f"""
+    WITH {sql.HOURLY}, {sql.KERNELS}, {_WILDER},
+    l2 AS (SELECT *, list(tr) {PAST} AS trs, {_ewm('close', 9)} AS ema9, {_ewm('close', 21)} AS ema21, {_ewm('close', 12, True)} - {_ewm('close', 26, True)} AS line FROM wi),
+    a AS (SELECT *, {_ewm('line', 9, True)} AS sig, CASE WHEN idx < 10 THEN list_avg(trs) ELSE list_reduce(list_prepend(list_avg(trs[1:10]), trs[11:]), lambda acc, x: x / 10 + acc * 0.9) END AS atr FROM l2)
+    SELECT sym, bar_ts, round(ema9, 6) AS ema9, round(ema21, 6) AS ema21, round(line, 6) AS macd, round(sig, 6) AS macd_signal, round((high + low) / 2 + 3 * atr, 6) AS supertrend_upper, round((high + low) / 2 - 3 * atr, 6) AS supertrend_lower,
+      round(rsi_wilder, 6) AS rsi_wilder, round(plus_di, 6) AS plus_di, round(minus_di, 6) AS minus_di, round(adx_wilder, 6) AS adx_wilder FROM a"""
+
+
+def gap_lines(spark, sf_dir):
+    """The last gap line of every bar, and whether nothing has touched it since."""
+    return recursive.values(B.daily_by_nation(spark, sf_dir)).select("sym", "bar_ts", F.round("gap_level", 6).alias("gap_level"), "gap_active")
+
+
+QUERIES["gap_lines"] = gap_lines
+ORACLES["gap_lines"] = f"""WITH {sql.NATION}, {sql.KERNELS}, {_WILDER},
+    j AS (SELECT sym, bar_ts, idx, open, high, low, pc, coalesce(lag(adx_wilder) OVER ({sql.W}) < 14 AND (plus_di - lag(plus_di) OVER ({sql.W}) > 10 OR minus_di - lag(minus_di) OVER ({sql.W}) > 10), false) AS jump FROM wi),
+    b AS (SELECT *, jump AND NOT coalesce(lag(jump) OVER ({sql.W}), false) AS begins FROM j),
+    r AS (SELECT *, sum(begins::INT) OVER ({sql.W}) AS run, last_value(CASE WHEN begins THEN open END IGNORE NULLS) OVER ({sql.W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS level FROM b),
+    h AS (SELECT *, run > 0 AND NOT begins AND (low <= level + 1e-9 AND high >= level - 1e-9 OR coalesce((pc - level) * (open - level) < 0, false)) AS hit FROM r)
+    SELECT sym, bar_ts, round(level, 6) AS gap_level, run > 0 AND NOT bool_or(hit) OVER (PARTITION BY sym, run ORDER BY bar_ts) AS gap_active FROM h"""
+
+
+def sar_wilder(spark, sf_dir):
+    """Wilder's own stop, which two bars bound and whose turn needs the bar's extreme."""
+    return recursive.values(B.hourly(spark, sf_dir)).select("sym", "bar_ts", F.round("sar_wilder", 6).alias("sar_wilder"))
+
+
+QUERIES["sar_wilder"] = sar_wilder
+ORACLES["sar_wilder"] = f"""WITH RECURSIVE {sql.HOURLY}, n AS (SELECT *, row_number() OVER ({sql.W}) - 1 AS i FROM bars),
+    z AS (SELECT a.sym, CASE WHEN c.close < a.close THEN -1 ELSE 1 END AS side, a.high, a.low, a.close FROM n a LEFT JOIN n c ON c.sym = a.sym AND c.i = 2 WHERE a.i = 0),
+    s AS (
+      SELECT sym, 0::BIGINT AS i, side, CASE WHEN side > 0 THEN high ELSE low END AS ep, 0.02::DOUBLE AS af,
+        CASE WHEN side > 0 THEN CASE WHEN low < close THEN low ELSE close * 0.99::DOUBLE END ELSE CASE WHEN high > close THEN high ELSE close * 1.01::DOUBLE END END AS sar FROM z
+      UNION ALL
+      SELECT sym, i, CASE WHEN broken THEN -side ELSE side END, CASE WHEN broken THEN CASE WHEN side > 0 THEN low ELSE high END WHEN fresh THEN CASE WHEN side > 0 THEN high ELSE low END ELSE ep END,
+        CASE WHEN broken THEN 0.02::DOUBLE WHEN fresh THEN least(af + 0.02::DOUBLE, 0.2::DOUBLE) ELSE af END, CASE WHEN broken THEN ep ELSE stop END
+      FROM (SELECT q.*, CASE WHEN side > 0 THEN low < stop ELSE high > stop END AS broken, CASE WHEN side > 0 THEN high > ep ELSE low < ep END AS fresh
+            FROM (SELECT s.sym, n.i, s.side, s.ep, s.af, n.high, n.low, n.close,
+                    CASE WHEN s.side > 0 THEN least(s.sar + s.af * (s.ep - s.sar), p.low, coalesce(pp.low, p.low)) ELSE greatest(s.sar + s.af * (s.ep - s.sar), p.high, coalesce(pp.high, p.high)) END AS stop
+                  FROM s JOIN n ON n.sym = s.sym AND n.i = s.i + 1 JOIN n p ON p.sym = s.sym AND p.i = s.i LEFT JOIN n pp ON pp.sym = s.sym AND pp.i = s.i - 1) q) r)
+    SELECT n.sym, n.bar_ts, round(sar, 6) AS sar_wilder FROM n JOIN s ON s.sym = n.sym AND s.i = n.i"""

@@ -104,3 +104,10 @@ def signals_cte(names: list[str] | None = None, where: str = "") -> str:
     """A CTE `sig` of indicator rows over k3."""
     parts = [f"SELECT sym, bar_ts, idx, n, open, close, '{name}' AS indicator, '{c}' AS category, {state} AS state, round(({clamp(score)})::DOUBLE, 6) + 0.0::DOUBLE AS score FROM k3 {where}" for name, (c, state, score, _) in INDICATORS.items() if names is None or name in names]
     return "sig AS (" + " UNION ALL ".join(parts) + ")"
+
+
+def phi(z: str) -> str:
+    """Normal distribution function: the power series of erf, to about 1e-8; beyond six deviations, 0 or 1."""
+    x = f"(({z}) / sqrt(2.0::DOUBLE))"
+    terms = f"list_sum(list_transform(range(0, 90), lambda k: CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END * exp((2 * k + 1) * ln(greatest(abs({x}), 1e-300)) - lgamma(k + 1)) / (2 * k + 1)))"
+    return f"CASE WHEN ({z}) > 6 THEN 1.0 WHEN ({z}) < -6 THEN 0.0 ELSE 0.5 + sign({z}) * {terms} / sqrt(pi()) END"

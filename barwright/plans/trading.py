@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from barwright.operators import backtest as T
@@ -432,6 +434,38 @@ QUERIES["gate_rows"] = gate_rows
 QUERIES["gate_verdict"] = lambda spark, sf_dir: C.verdict(_gated(spark, sf_dir)[1])
 
 
+#: Trials charged to each fold: all combinations of one to three levers, once and twice.
+CHARGED = {f: (k + 1) * sum(math.comb(len(LEVERS), n) for n in (1, 2, 3)) for k, f in enumerate(FOLDS)}
+
+
+def _triples_sql(head):
+    """CTEs up to the trades `tt` of singles, pairs and triples over a CTE `sig`."""
+    return f"""{head}, one AS (SELECT DISTINCT indicator AS i FROM sig), grid AS (SELECT i AS combo, i AS a, i AS b, i AS c FROM one UNION ALL SELECT x.i || '+' || y.i, x.i, y.i, y.i FROM one x JOIN one y ON x.i < y.i
+      UNION ALL SELECT x.i || '+' || y.i || '+' || z.i, x.i, y.i, z.i FROM one x JOIN one y ON x.i < y.i JOIN one z ON y.i < z.i),
+    cs AS (SELECT p.sym, p.bar_ts, p.idx, p.n, p.open, p.close, grid.combo, CASE WHEN p.state = q.state AND p.state = r.state THEN p.state ELSE 'HOLD' END AS state
+      FROM grid JOIN sig p ON p.indicator = grid.a JOIN sig q ON q.indicator = grid.b AND q.sym = p.sym AND q.idx = p.idx JOIN sig r ON r.indicator = grid.c AND r.sym = p.sym AND r.idx = p.idx),
+    {_trades('sym, combo', 'cs', 0)}"""
+
+
+def _dsr_sql(fold):
+    """A CTE `d` of a fold: combo, sr, z, dsr, bar and its long trades."""
+    bar = C.expected_best(1.0, CHARGED[fold])
+    return f"""{_stats_sql(_panel_sql(_triples_sql(_slice_sql(LEVERS, IN_FOLD[fold]))))},
+    rt AS (SELECT combo, days, CASE WHEN long_sd > 1e-12 THEN mean / long_sd END AS sr, CASE WHEN m2 > 1e-18 THEN m3 / pow(m2, 1.5) ELSE 0 END AS skew, CASE WHEN m2 > 1e-18 THEN m4 / (m2 * m2) ELSE 0 END AS kurt FROM st),
+    rz AS (SELECT combo, sr, (SELECT stddev_samp(sr) FROM rt) * {bar!r}::DOUBLE AS bar, days, 1 - skew * sr + (kurt - 1) / 4 * sr * sr AS v FROM rt WHERE sr IS NOT NULL),
+    ry AS (SELECT combo, sr, bar, (sr - bar) * sqrt(days - 1) / sqrt(CASE WHEN v > 0 THEN v END) AS z FROM rz),
+    d AS (SELECT ry.*, {sql.phi('z')} AS dsr, coalesce(k, 0) AS trades FROM ry LEFT JOIN (SELECT combo, count(*) AS k FROM tt WHERE side = 'long' AND horizon = 10 AND complete GROUP BY 1) c ON c.combo = ry.combo)"""
+
+
+ORACLES["dsr"] = " UNION ALL ".join(f"SELECT * FROM ({_dsr_sql(f)} SELECT '{f}' AS fold, combo, round(sr, 6) AS sr, round(z, 6) AS z, round(dsr, 6) AS dsr, round(bar, 6) AS bar FROM d)" for f in FOLDS)
+_GATED = f"""g AS (SELECT a.combo, a.sr AS sr1, a.dsr AS dsr1, b.sr AS sr2, b.dsr AS dsr2, a.trades + b.trades AS trades, sign(a.sr) = sign(b.sr) AND a.sr <> 0 AS same_sign
+      FROM ({_dsr_sql('val1')} SELECT * FROM d) a JOIN ({_dsr_sql('val2')} SELECT * FROM d) b ON b.combo = a.combo),
+    h AS (SELECT *, dsr1 >= 0.95 AND dsr2 >= 0.95 AND same_sign AS passes_ratio, trades >= 400 AS passes_trades FROM g)"""
+ORACLES["gate_rows"] = f"WITH {_GATED} SELECT combo, round(sr1, 6) AS sr1, round(dsr1, 6) AS dsr1, round(sr2, 6) AS sr2, round(dsr2, 6) AS dsr2, trades::BIGINT AS trades, same_sign, passes_ratio, passes_trades, passes_ratio AND passes_trades AS passes FROM h"
+ORACLES["gate_verdict"] = f"""WITH {_GATED}, c AS (SELECT count(*) FILTER (passes_ratio AND passes_trades) AS passing, count(*) FILTER (passes_ratio) AS ratio_only FROM h)
+    SELECT CASE WHEN passing > 0 THEN 'LEADERBOARD' ELSE 'NO-EDGE' END AS verdict, passing, CASE WHEN passing > 0 THEN NULL WHEN ratio_only > 0 THEN 'too few trades' ELSE 'no ratio on both folds' END AS reason FROM c"""
+
+
 def trial_ledger(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/nation.parquet")
     return C.trial_ledger(n.select(F.col("n_nationkey").alias("k"), F.concat(F.lit("fold"), F.col("n_regionkey").cast("string")).alias("fold"), F.length("n_name").cast("long").alias("trials")))
@@ -473,6 +507,13 @@ def campaign_ranking(spark, sf_dir):
 
 
 QUERIES["campaign_ranking"] = campaign_ranking
+ORACLES["campaign_ranking"] = f"""WITH {sql.NATION}, {sql.KERNELS}, {sql.signals_cte(STUDIED)}, {_trades('sym, indicator')},
+    dk AS (SELECT bar_ts, row_number() OVER (ORDER BY bar_ts) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT bar_ts FROM bars)),
+    fd AS (SELECT bar_ts, least((k - least(60, n - 2)) // greatest((n - least(60, n - 2)) // 3, 1), 2) AS fold FROM dk WHERE k >= least(60, n - 2)),
+    ts AS (SELECT indicator AS name, fold, count(net) AS n, avg(net) AS mean, stddev_samp(net) AS sd FROM tt JOIN fd USING (bar_ts) WHERE side = 'long' AND horizon = 10 AND complete GROUP BY ALL HAVING count(net) >= 2 AND stddev_samp(net) > 0),
+    tp AS (SELECT *, 1 - ({sql.phi('mean / (sd / sqrt(n))')}) AS p FROM ts), rk AS (SELECT *, row_number() OVER (ORDER BY p, name, fold) AS rk, count(*) OVER () AS m FROM tp),
+    lim AS (SELECT max(p) AS lim FROM rk WHERE p <= 0.1 * rk / m)
+    SELECT name, count(*) FILTER (p <= lim) AS folds, sum(n)::BIGINT AS trades, round(sum(mean * n) / sum(n), 4) AS mean FROM rk, lim GROUP BY 1"""
 
 
 def _holdout_trades(spark, sf_dir):
