@@ -358,3 +358,92 @@ ORACLES["sar_wilder"] = f"""WITH RECURSIVE {sql.HOURLY}, n AS (SELECT *, row_num
                     CASE WHEN s.side > 0 THEN least(s.sar + s.af * (s.ep - s.sar), p.low, coalesce(pp.low, p.low)) ELSE greatest(s.sar + s.af * (s.ep - s.sar), p.high, coalesce(pp.high, p.high)) END AS stop
                   FROM s JOIN n ON n.sym = s.sym AND n.i = s.i + 1 JOIN n p ON p.sym = s.sym AND p.i = s.i LEFT JOIN n pp ON pp.sym = s.sym AND pp.i = s.i - 1) q) r)
     SELECT n.sym, n.bar_ts, round(sar, 6) AS sar_wilder FROM n JOIN s ON s.sym = n.sym AND s.i = n.i"""
+
+
+# ---- pivots and patterns: a fold over turning points, then list expressions over the pivots of each bar ---
+
+
+def _numbered(cte: str) -> str:
+    return f"WITH RECURSIVE {cte}, n AS (SELECT *, row_number() OVER ({sql.W}) - 1 AS i, count(*) OVER (PARTITION BY sym) AS cnt FROM bars)"
+
+
+def _pivots(move: float, gap: int, reach: int = 5, tag: str = "") -> str:
+    """CTEs over `n` up to `snap`: from which bar on which pivots hold. A point that comes too soon may only
+    replace the pending one by going further in its own sense; else it needs a large enough move."""
+    w = f"(PARTITION BY sym ORDER BY i ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING)"
+    return f"""ext{tag} AS (SELECT sym, i, cnt, high, low, max(high) OVER w AS hi, avg(high) OVER w AS ha, min(low) OVER w AS lo, avg(low) OVER w AS la FROM n WINDOW w AS {w}),
+    pts{tag} AS (SELECT sym, i, high AS price, true AS top FROM ext{tag} WHERE i >= {reach} AND i < cnt - {reach} AND high = hi AND high > ha
+      UNION ALL SELECT sym, i, low, false FROM ext{tag} WHERE i >= {reach} AND i < cnt - {reach} AND low = lo AND low < la),
+    tp{tag} AS (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY i, top DESC) AS k FROM pts{tag}),
+    zz{tag} AS (
+      SELECT sym, k, i AS seen, {{'at': i, 'price': price, 'top': top}} AS p, list_filter([{{'at': i, 'price': price, 'top': top}}], lambda x: false) AS done FROM tp{tag} WHERE k = 1
+      UNION ALL
+      SELECT sym, k, i, CASE WHEN swaps THEN x ELSE p END, CASE WHEN holds THEN list_append(done, p) ELSE done END FROM (
+        SELECT *, CASE WHEN soon THEN further ELSE big AND (x.top <> p.top OR further) END AS swaps, NOT soon AND big AND x.top <> p.top AS holds FROM (
+          SELECT z.sym, t.k, t.i, z.p, z.done, {{'at': t.i, 'price': t.price, 'top': t.top}} AS x, t.i - z.p.at < {gap} AS soon, CASE WHEN t.top THEN t.price > z.p.price ELSE t.price < z.p.price END AS further, abs(t.price - z.p.price) / z.p.price >= {move}::DOUBLE AS big
+          FROM zz{tag} z JOIN tp{tag} t ON t.sym = z.sym AND t.k = z.k + 1) a) b),
+    snap{tag} AS (SELECT sym, seen + {reach} AS start, list_append(done, p) AS v FROM zz{tag} WHERE k >= 2 QUALIFY row_number() OVER (PARTITION BY sym, seen ORDER BY k DESC) = 1),
+    held{tag} AS (SELECT n.sym, n.bar_ts, n.i, n.close, snap{tag}.v FROM n ASOF LEFT JOIN snap{tag} ON n.sym = snap{tag}.sym AND n.i >= snap{tag}.start)"""
+
+
+def _any(kinds: str, condition: str) -> str:
+    """Whether some consecutive pivots of these kinds (T, B) meet a condition over v[j], v[j + 1], ..."""
+    shape = " AND ".join(f"{'' if k == 'T' else 'NOT '}v[j + {m}].top" for m, k in enumerate(kinds))
+    return f"coalesce(len(list_filter(range(1, len(v) - {len(kinds) - 2}), lambda j: {shape} AND {condition})) > 0, false)"
+
+
+_RIM, _FLOOR = "((v[j].price + v[j + 2].price) / 2)", "((v[j].price + v[j + 2].price) / 2)"
+_NECK = "((v[j + 1].price + v[j + 3].price) / 2)"
+_EVEN = "abs(v[j].price - v[j + 4].price) / ((v[j].price + v[j + 4].price) / 2) <= 0.03"
+_SIDES = {
+    "double": (10, _any("TBT", f"abs(v[j].price - v[j + 2].price) / {_RIM} <= 0.02 AND ({_RIM} - v[j + 1].price) / {_RIM} >= 0.03 AND close >= v[j + 1].price AND close <= {_RIM} * 1.01"),
+               _any("BTB", f"abs(v[j].price - v[j + 2].price) / {_FLOOR} <= 0.02 AND (v[j + 1].price - {_FLOOR}) / v[j + 1].price >= 0.03 AND close >= {_FLOOR} * 0.99 AND close <= v[j + 1].price"), 0.7),
+    "head": (20, _any("BTBTB", f"{_EVEN} AND v[j + 2].price < least(v[j].price, v[j + 4].price) AND -({_NECK} - close) / {_NECK} >= 0.01"),
+             _any("TBTBT", f"{_EVEN} AND v[j + 2].price > greatest(v[j].price, v[j + 4].price) AND ({_NECK} - close) / {_NECK} >= 0.01"), 0.8),
+    "cup": (40, _any("TBTT", "v[j + 2].at - v[j].at BETWEEN 20 AND 65 AND (v[j].price - v[j + 1].price) / v[j].price >= 0.05 AND abs(v[j].price - v[j + 2].price) / ((v[j].price + v[j + 2].price) / 2) <= 0.02 "
+                             "AND v[j + 3].at - v[j + 2].at BETWEEN 5 AND 15 AND (v[j + 2].price - v[j + 3].price) / v[j + 2].price BETWEEN 0 AND 0.03 AND close >= v[j + 2].price * 0.99"), "false", 0.85),
+}
+
+
+def _fit(points: str, name: str) -> str:
+    """Slope, intercept and correlation of a line through a list of pivots, as columns."""
+    mx, my = f"list_avg(list_transform({points}, lambda q: q.at))", f"list_avg(list_transform({points}, lambda q: q.price))"
+    dx, dy = f"(q.at - {mx})", f"(q.price - {my})"
+    xy, xx, yy = (f"list_sum(list_transform({points}, lambda q: {a} * {b}))" for a, b in ((dx, dy), (dx, dx), (dy, dy)))
+    return f"{xy} / {xx} AS {name}_s, {my} - {xy} / {xx} * {mx} AS {name}_i, coalesce({xy} / nullif(sqrt({xx}) * sqrt({yy}), 0), 0) AS {name}_r"
+
+
+def _lined(tag: str = "") -> str:
+    """A CTE `lin`: the lines through the last three tops and bottoms of each bar."""
+    return f"""lt{tag} AS (SELECT *, list_filter(v, lambda q: q.top) AS ts, list_filter(v, lambda q: NOT q.top) AS bs FROM held{tag}), l3{tag} AS (SELECT *, ts[-3:] AS t3, bs[-3:] AS b3 FROM lt{tag}),
+    lin{tag} AS (SELECT *, {_fit('t3', 'u')}, {_fit('b3', 'd')} FROM l3{tag})"""
+
+
+_WEDGED = "len(v) >= 4 AND len(ts) >= 2 AND len(bs) >= 2"
+_WEDGE = ("u_s < 0 AND d_s < u_s AND close > u_s * v[-1].at * 1.01", "d_s > 0 AND u_s > d_s AND close < d_s * v[-1].at * 0.99")
+
+
+def _verdicts(buy: str, sell: str, score: float, least: int, src: str) -> str:
+    state = f"CASE WHEN i < {least - 1} THEN 0 WHEN {buy} THEN 1 WHEN {sell} THEN -1 ELSE 0 END"
+    return f"SELECT sym, bar_ts, CASE {state} WHEN 1 THEN 'BUY' WHEN -1 THEN 'SELL' ELSE 'HOLD' END AS state, CASE WHEN {state} = 0 THEN 0.0 ELSE {score} END::DOUBLE AS score FROM {src}"
+
+
+ORACLES["zigzag"] = f"{_numbered(sql.HOURLY)}, {_pivots(0.05, 3)} SELECT sym, x.at::INT AS at, round(x.price, 6) AS price, x.top AS top FROM (SELECT sym, unnest(v) AS x FROM snap QUALIFY start = max(start) OVER (PARTITION BY sym))"
+for _key, _kind, _cte, _move, _gap in (("double_top_bottom", "double", sql.HOURLY, 0.05, 3), ("head_shoulders", "head", sql.HOURLY, 0.06, 5)):
+    _least, _buy, _sell, _score = _SIDES[_kind]
+    ORACLES[_key] = f"{_numbered(_cte)}, {_pivots(_move, _gap)} {_verdicts(_buy, _sell, _score, _least, 'held')}"
+ORACLES["wedge"] = f"{_numbered(sql.HOURLY)}, {_pivots(0.05, 4)}, {_lined()} {_verdicts(f'{_WEDGED} AND {_WEDGE[0]}', f'{_WEDGED} AND {_WEDGE[1]}', 0.75, 20, 'lin')}"
+ORACLES["autotrend"] = f"""{_numbered(sql.HOURLY)}, {_pivots(0.02, 3, 3)}, {_lined()}, q AS (SELECT *, u_i + u_s * i AS up, d_i + d_s * i AS dn, (abs(u_r) + abs(d_r)) / 2 AS sure, i >= 39 AND len(ts) >= 3 AND len(bs) >= 3 AS ok FROM lin),
+    w AS (SELECT *, CASE WHEN NOT coalesce(ok, false) THEN 0 WHEN close > up THEN CASE WHEN (close - up) / up >= 0.005 THEN 1 ELSE 0 END WHEN close < dn AND (dn - close) / dn >= 0.005 THEN -1 ELSE 0 END AS s FROM q)
+    SELECT sym, bar_ts, CASE s WHEN 1 THEN 'BUY' WHEN -1 THEN 'SELL' ELSE 'HOLD' END AS state, round(CASE WHEN s = 0 THEN 0 ELSE greatest(-1.0, least(1.0, s * sure)) END::DOUBLE, 5) + 0.0::DOUBLE AS score FROM w"""
+_SHAPED = f"""{sql.HOURLY.replace('bars AS (', 'bars0 AS (', 1)}, bars1 AS (SELECT *, (row_number() OVER (PARTITION BY sym ORDER BY bar_ts) - 1) % {len(CUP)} AS step FROM bars0),
+    bars AS (SELECT sym, bar_ts, level AS open, level + 0.1::DOUBLE AS high, level - CASE WHEN step = {DEEP} THEN 3.0::DOUBLE ELSE 0.1::DOUBLE END AS low, level AS close FROM (SELECT *, ({[float(x) for x in CUP]}::DOUBLE[])[step + 1] + close % 1 / 100 AS level FROM bars1))"""
+ORACLES["cup_handle"] = f"{_numbered(_SHAPED)}, {_pivots(0.04, 3)} {_verdicts(_SIDES['cup'][1], _SIDES['cup'][2], 0.85, 40, 'held')}"
+ORACLES["pattern_combined"] = f"""{_numbered(sql.HOURLY)}, {_pivots(0.05, 3)}, {_lined()},
+    fr AS ({ORACLES['fractals']}),
+    c AS (SELECT lin.sym, lin.bar_ts, lin.close, list_filter([{', '.join(
+        "{'s': CASE WHEN i < %d THEN 0 WHEN %s THEN 1 WHEN %s THEN -1 ELSE 0 END, 'v': %s::DOUBLE}" % (_l - 1, _b, _s, _v)
+        for _l, _b, _s, _v in (_SIDES['double'], _SIDES['head'], (20, f'{_WEDGED} AND {_WEDGE[0]}', f'{_WEDGED} AND {_WEDGE[1]}', 0.75), (5, "fr.state = 'BUY'", "fr.state = 'SELL'", 0.6), _SIDES['cup']))}], lambda x: x.s <> 0) AS hits
+      FROM lin JOIN fr ON fr.sym = lin.sym AND fr.bar_ts = lin.bar_ts),
+    b AS (SELECT sym, bar_ts, list_max(list_transform(hits, lambda x: x.v)) AS v, list_filter(hits, lambda x: x.v = list_max(list_transform(hits, lambda y: y.v)))[1].s AS s FROM c)
+    SELECT sym, bar_ts, CASE s WHEN 1 THEN 'BUY' WHEN -1 THEN 'SELL' ELSE 'HOLD' END AS state, round(coalesce(v * s, 0)::DOUBLE, 5) + 0.0::DOUBLE AS score FROM b"""
