@@ -567,3 +567,17 @@ def rube_triggers(bars: DataFrame, refs: DataFrame | None = None) -> DataFrame:
 
     out = rows.groupBy("sym").applyInPandas(run, "sym string, bar_ts timestamp, osc double, adx double, apart double, leading int, lagging int, gap boolean")
     return out.withColumn("osc", F.nanvl("osc", F.lit(None).cast("double")))
+
+
+def oscillators(bars: DataFrame, basis: str = "EMA") -> DataFrame:
+    """The averaged strength that `rube_parts` looks at, plain and through each filter: sym, bar_ts, none, dema,
+    alma, kalman; null before they begin."""
+    kinds = ["none", "dema", "alma", "kalman"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bar_ts", kind="stable").reset_index(drop=True)
+        osc = K.moving_average(K.first_filled(K.wilder_rsi(pdf["close"].to_numpy(np.float64))), 3, basis)
+        return pd.DataFrame({"sym": pdf["sym"], "bar_ts": pdf["bar_ts"], **{k: K.filtered(osc, k) for k in kinds}})
+
+    out = bars.select("sym", "bar_ts", "close").groupBy("sym").applyInPandas(run, "sym string, bar_ts timestamp, " + ", ".join(f"{k} double" for k in kinds))
+    return out.select("sym", "bar_ts", *[F.nanvl(k, F.lit(None).cast("double")).alias(k) for k in kinds])

@@ -221,7 +221,7 @@ def rube_triggers(spark, sf_dir):
     """The parts of the finder of tops and bottoms, with one symbol as the reference."""
     bars = B.daily_by_nation(spark, sf_dir)
     t = recursive.rube_triggers(bars, bars.filter("sym = '7'").select("bar_ts", "close"))
-    return t.select("sym", "bar_ts", *[F.round(c, 5).alias(c) for c in ("osc", "adx", "apart")], "leading", "lagging", "gap")
+    return t.select("sym", "bar_ts", F.round("osc", 5).alias("osc"), F.round("adx", 5).alias("adx"), (F.round("apart", 5) + 0.0).alias("apart"), "leading", "lagging", "gap")
 
 
 QUERIES["rube_triggers"] = rube_triggers
@@ -447,3 +447,65 @@ ORACLES["pattern_combined"] = f"""{_numbered(sql.HOURLY)}, {_pivots(0.05, 3)}, {
       FROM lin JOIN fr ON fr.sym = lin.sym AND fr.bar_ts = lin.bar_ts),
     b AS (SELECT sym, bar_ts, list_max(list_transform(hits, lambda x: x.v)) AS v, list_filter(hits, lambda x: x.v = list_max(list_transform(hits, lambda y: y.v)))[1].s AS s FROM c)
     SELECT sym, bar_ts, CASE s WHEN 1 THEN 'BUY' WHEN -1 THEN 'SELL' ELSE 'HOLD' END AS state, round(coalesce(v * s, 0)::DOUBLE, 5) + 0.0::DOUBLE AS score FROM b"""
+
+
+# ---- composites -----------------------------------------------------------------------------------------
+
+
+def _filled(x: str) -> str:
+    """A column with its first value before that."""
+    return f"coalesce({x}, first_value({x} IGNORE NULLS) OVER ({sql.W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+
+
+def _seeded(h: str, n: int) -> str:
+    """Exponential average at the end of a list, from the mean of its first n values."""
+    a = 2.0 / (n + 1)
+    return f"CASE WHEN len({h}) >= {n} THEN list_reduce(list_prepend(list_avg({h}[1:{n}]), {h}[{n + 1}:]), lambda acc, v: {a!r}::DOUBLE * v + {1 - a!r}::DOUBLE * acc) END"
+
+
+#: CTEs over `wi` up to `os`: the averaged strength.
+_OSC = f"""w0 AS (SELECT *, {_filled('rsi_wilder')} AS seeded FROM wi), w1 AS (SELECT *, list(seeded) {PAST} AS h3 FROM w0), os AS (SELECT * EXCLUDE (h3), {_seeded('h3', 3)} AS osc FROM w1)"""
+
+
+def oscillators(spark, sf_dir):
+    o = recursive.oscillators(B.hourly(spark, sf_dir))
+    return o.select("sym", "bar_ts", *[F.round(c, 5).alias(c) for c in ("none", "dema", "alma", "kalman")])
+
+
+QUERIES["oscillators"] = oscillators
+ORACLES["oscillators"] = f"""WITH {sql.HOURLY}, {sql.KERNELS}, {_WILDER}, {_OSC},
+    f AS (SELECT *, {_filled('osc')} AS x FROM os), f1 AS (SELECT *, list(x) {PAST} AS hx, list(x) OVER ({sql.W} ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS x9 FROM f),
+    f2 AS (SELECT * EXCLUDE (hx), {_seeded('hx', 5)} AS e1 FROM f1), f3 AS (SELECT *, {_filled('e1')} AS e1f FROM f2), f4 AS (SELECT *, list(e1f) {PAST} AS he FROM f3)
+    SELECT sym, bar_ts, round(osc, 5) AS "none", round(2 * e1 - ({_seeded('he', 5)}), 5) AS dema, round({_weighted(_ALMA).replace('x[', 'x9[').replace('len(x)', 'len(x9)')}, 5) AS alma,
+      round(CASE WHEN osc IS NOT NULL THEN (100 + sum(osc) {PAST}) / (count(osc) {PAST} + 2) END, 5) AS kalman FROM f4"""
+
+_BARS252 = f"OVER ({sql.W} ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)"
+
+
+def _stands(x: str) -> str:
+    return f"CASE WHEN count({x}) {_BARS252} = 252 AND stddev_samp({x}) {_BARS252} > 0 THEN greatest(0, least(100, 50 + 15 * ({x} - avg({x}) {_BARS252}) / stddev_samp({x}) {_BARS252})) ELSE 50 END"
+
+
+ORACLES["chimera"] = f"""WITH {sql.HOURLY}, {sql.KERNELS}, {_WILDER},
+    a AS (SELECT *, {_filled('rsi_wilder')} AS r, {_ewm('close', 12)} - {_ewm('close', 26)} AS line, {sql.roll('avg', 'close', 20)} AS s20, 2 * ({sql.roll('stddev_samp', 'close', 20)}) AS dev, {sql.roll('max', 'high', 14)} AS h14, {sql.roll('min', 'low', 14)} AS l14, {sql.roll('avg', 'tr', 14)} AS atr FROM wi),
+    b AS (SELECT *, line - {_ewm('line', 9)} AS gap, CASE WHEN dev = 0 THEN 50 ELSE 100 * (close - s20 + dev) / (2 * dev) END AS place, CASE WHEN h14 = l14 THEN 50 ELSE 100 * (close - l14) / (h14 - l14) END AS k, CASE WHEN close = 0 THEN 0 ELSE atr / close * 100 END AS wide FROM a),
+    c AS (SELECT *, {_filled('place')} AS pf, {_filled('k')} AS kf, {_filled('wide')} AS wf FROM b), e AS (SELECT *, {sql.roll('avg', 'kf', 3)} AS sw, {sql.roll('avg', 'wf', 252)} AS usual FROM c),
+    f AS (SELECT *, (plus_di - minus_di) * CASE WHEN usual = 0 THEN 1 ELSE wf / usual END AS force FROM e),
+    g AS (SELECT *, ({_stands('r')} + {_stands('gap')} + {_stands('pf')} + coalesce(sw, 50) + CASE WHEN idx >= 251 AND force IS NOT NULL AND max(force) {_BARS252} > min(force) {_BARS252} THEN 100 * (force - min(force) {_BARS252}) / (max(force) {_BARS252} - min(force) {_BARS252}) ELSE 50 END) / 5 AS mean FROM f),
+    h AS (SELECT *, {sql.roll('avg', 'mean', 12)} AS slow FROM g), i AS (SELECT *, lag(mean) OVER ({sql.W}) AS m0, lag(slow) OVER ({sql.W}) AS s0 FROM h),
+    j AS (SELECT *, coalesce(last_value(CASE WHEN mean > slow AND m0 <= s0 THEN 1 WHEN mean < slow AND m0 >= s0 THEN 0 END IGNORE NULLS) {PAST}, 1) AS up FROM i),
+    s AS (SELECT *, CASE WHEN idx < 259 THEN 0 WHEN up = 1 AND mean > slow THEN 1 WHEN up = 0 AND mean < slow THEN -1 ELSE 0 END AS s FROM j)
+    SELECT sym, bar_ts, CASE s WHEN 1 THEN 'BUY' WHEN -1 THEN 'SELL' ELSE 'HOLD' END AS state, round(CASE WHEN s = 0 THEN 0 ELSE greatest(-1, least(1, (mean - 50) / 50)) END::DOUBLE, 5) + 0.0::DOUBLE AS score FROM s"""
+
+_NATION_SAR = ORACLES["sar_wilder"].replace(sql.HOURLY, sql.NATION)
+ORACLES["rube_triggers"] = f"""WITH {sql.NATION}, {sql.KERNELS}, {_WILDER}, {_OSC},
+    sr AS (SELECT * FROM ({_NATION_SAR.replace('round(sar, 6) AS sar_wilder', 'sar')})),
+    rf AS (SELECT os.*, sr.sar, v.close AS ref FROM os JOIN sr ON sr.sym = os.sym AND sr.bar_ts = os.bar_ts LEFT JOIN (SELECT bar_ts, close FROM bars WHERE sym = '7') v ON v.bar_ts = os.bar_ts),
+    r0 AS (SELECT *, bool_or(ref IS NULL) {PAST} AS lost, coalesce(ref - lag(ref) OVER ({sql.W}), 0) AS rm FROM rf),
+    r1 AS (SELECT *, list(abs(rm)) {PAST} AS rt, list(greatest(rm, 0)) {PAST} AS rp, list(greatest(-rm, 0)) {PAST} AS rn FROM r0),
+    r2 AS (SELECT * EXCLUDE (rt, rp, rn), {_wilder('rt')} AS t, {_wilder('rp')} AS p, {_wilder('rn')} AS n2 FROM r1),
+    r3 AS (SELECT *, CASE WHEN lost THEN 0 ELSE coalesce(plus_di - minus_di - (100 * p / t - 100 * n2 / t), 0) END AS apart, coalesce(adx_wilder, 0) AS ax FROM r2),
+    r4 AS (SELECT *, coalesce(ax > 20 AND ax > {sql.roll('avg', 'ax', 10)}, false) AS strong, lag(osc) OVER ({sql.W}) AS was, sign(close - sar) AS side, lag(sign(close - sar)) OVER ({sql.W}) AS side0 FROM r3),
+    r5 AS (SELECT *, was >= 30 AND osc < 30 AND (strong AND minus_di > 35 OR apart < -25) AS dn, was <= 70 AND osc > 70 AND (strong AND plus_di > 35 OR apart > 25) AS up FROM r4)
+    SELECT sym, bar_ts, round(osc, 5) AS osc, round(ax, 5) AS adx, round(apart, 5) + 0.0::DOUBLE AS apart, (coalesce(dn, false)::INT - coalesce(up, false)::INT)::INT AS leading,
+      CASE WHEN side0 < 0 AND side > 0 AND osc > was THEN 1 WHEN side0 > 0 AND side < 0 AND osc < was THEN -1 ELSE 0 END AS lagging, coalesce(ax < 22 AND (minus_di > 35 OR plus_di > 35), false) AS gap FROM r5"""
