@@ -301,8 +301,13 @@ def metric_block(trades: DataFrame, key: str = "combo", reps: int = REPS) -> Dat
 
     done = trades.filter("complete")
     boot = done.select(key, "side", "horizon", "sym", "idx", "net").groupBy(key, "side", "horizon").applyInPandas(run, f"{key} string, side string, horizon int, n long, ci_low double, ci_high double")
-    plain = done.groupBy(key, "side", "horizon").agg(F.round(F.avg((F.col("net") > 0).cast("double")), 4).alias("hit_rate"), F.round(F.avg("net"), 4).alias("mean_net"), F.round(F.percentile("net", 0.5), 4).alias("median_net"))
-    return boot.join(plain, [key, "side", "horizon"])
+    return boot.join(metric_rows(trades, key).drop("trades"), [key, "side", "horizon"])
+
+
+def metric_rows(trades: DataFrame, key: str = "combo") -> DataFrame:
+    """Number, hit rate, mean and median of net returns by key, side and horizon."""
+    return trades.filter("complete").groupBy(key, "side", "horizon").agg(
+        F.count(F.lit(1)).alias("trades"), F.round(F.avg((F.col("net") > 0).cast("double")), 4).alias("hit_rate"), F.round(F.avg("net"), 4).alias("mean_net"), F.round(F.percentile("net", 0.5), 4).alias("median_net"))
 
 
 def best_keys(stats: DataFrame, k: int = 10, key: str = "combo") -> DataFrame:

@@ -509,3 +509,23 @@ ORACLES["rube_triggers"] = f"""WITH {sql.NATION}, {sql.KERNELS}, {_WILDER}, {_OS
     r5 AS (SELECT *, was >= 30 AND osc < 30 AND (strong AND minus_di > 35 OR apart < -25) AS dn, was <= 70 AND osc > 70 AND (strong AND plus_di > 35 OR apart > 25) AS up FROM r4)
     SELECT sym, bar_ts, round(osc, 5) AS osc, round(ax, 5) AS adx, round(apart, 5) + 0.0::DOUBLE AS apart, (coalesce(dn, false)::INT - coalesce(up, false)::INT)::INT AS leading,
       CASE WHEN side0 < 0 AND side > 0 AND osc > was THEN 1 WHEN side0 > 0 AND side < 0 AND osc < was THEN -1 ELSE 0 END AS lagging, coalesce(ax < 22 AND (minus_di > 35 OR plus_di > 35), false) AS gap FROM r5"""
+
+#: Both triggers on one bar, from the triggers of the hourly bars (where no symbol is the reference).
+ORACLES["rube_goldberg"] = f"""SELECT t.sym, t.bar_ts, CASE WHEN i >= 49 AND "leading" = 1 AND "lagging" = 1 THEN 'BUY' WHEN i >= 49 AND "leading" = -1 AND "lagging" = -1 THEN 'SELL' ELSE 'HOLD' END AS state,
+    CASE WHEN i >= 49 AND "leading" = "lagging" THEN "leading" ELSE 0 END::DOUBLE + 0.0::DOUBLE AS score FROM ({ORACLES['rube_triggers'].replace(sql.NATION, sql.HOURLY)}) t JOIN (WITH {sql.HOURLY} SELECT sym, bar_ts, row_number() OVER ({sql.W}) - 1 AS i FROM bars) b ON b.sym = t.sym AND b.bar_ts = t.bar_ts"""
+
+
+def last_rows_sql() -> str:
+    """Rows (sym, bar_ts, indicator, category, state, score) of the recursive indicators over a CTE `lastbar`
+    (sym, bar_ts), scores to nine places; hourly bars."""
+    own = dict(zip(("MACD", "EMA9/21", "EMA9", "EMA21", "EMA50", "EMA200", "Supertrend", "AutoTrend", "Parabolic SAR", "DoubleTopBottom", "HeadShoulders", "WedgePattern", "AutoFractal", "PatternDetector", "EchoChamber", "Chimera"),
+                   (ORACLES[k] for k in ("macd", "ema_cross", "ema9", "ema21", "ema50", "ema200", "supertrend", "autotrend", "parabolic_sar", "double_top_bottom", "head_shoulders", "wedge", "fractals", "pattern_combined", "echo_chamber", "chimera")), strict=True))
+    own["CupAndHandle"] = f"{_numbered(sql.HOURLY)}, {_pivots(0.04, 3)} {_verdicts(_SIDES['cup'][1], _SIDES['cup'][2], 0.85, 40, 'held')}"
+    own["UnFairValueGap"] = ORACLES["ufvg"].replace(sql.NATION, sql.HOURLY)
+    # five of the seven gauges have no series
+    own["FearGreed"] = f"{_mood_sql(252, 260)} SELECT sym, bar_ts, CASE WHEN m <= 25 THEN 'BUY' WHEN m >= 75 THEN 'SELL' ELSE 'HOLD' END AS state, CASE WHEN m <= 25 THEN (25 - m) / 25 WHEN m >= 75 THEN -(m - 75) / 25 ELSE 0 END AS score FROM (SELECT *, (momentum + strength + 250) / 7 AS m FROM mood)"
+    # without references there is no match, and the triggers exclude each other
+    own["MatchFinder"] = own["RubeGoldberg"] = "SELECT sym, bar_ts, 'HOLD' AS state, 0.0::DOUBLE AS score FROM lastbar"
+    assert set(own) == set(recursive.RECURSIVE)
+    rows = [f"SELECT o.sym, o.bar_ts, '{name}' AS indicator, '{recursive.RECURSIVE[name][0]}' AS category, o.state, o.score FROM ({q.replace(', 5) + 0.0::DOUBLE AS score', ', 9) + 0.0::DOUBLE AS score')}) o JOIN lastbar USING (sym, bar_ts)" for name, q in own.items()]
+    return " UNION ALL ".join(rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barwright.operators import native, scoring
-from barwright.plans import sql
+from barwright.plans import indicators, sql
 from barwright.sources import bars as B
 
 QUERIES, ORACLES = {}, {}
@@ -140,6 +140,9 @@ QUERIES["final_score"] = final_score
 QUERIES["final_score_native"] = final_score_native
 ORACLES["final_score_native"] = f"{FINAL} SELECT sym, round(final_score::DOUBLE, 5) AS final_score, round(direction::DOUBLE, 5) AS direction, round(confidence::DOUBLE, 5) AS confidence, round(risk_multiplier::DOUBLE, 5) AS risk_multiplier, regime, label, leaning FROM ranked"
 
+_ALL = f"""sig1 AS (SELECT sym, bar_ts, indicator, category, state, score FROM sig), lastbar AS (SELECT DISTINCT sym, bar_ts FROM sig), sig2 AS (SELECT * FROM sig1 UNION ALL {indicators.last_rows_sql()}),"""
+ORACLES["final_score"] = ORACLES["final_score_native"].replace("v AS (SELECT sym, bar_ts, indicator,", f"{_ALL} v AS (SELECT sym, bar_ts, indicator,", 1).replace("abs(score) AS strength FROM sig WHERE category <> 'volatility'", f"abs(score) AS strength FROM sig2 WHERE indicator NOT IN {scoring.RISK_ONLY!r}", 1)
+
 
 def page_rows(spark, sf_dir):
     bars = B.hourly(spark, sf_dir)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from barwright.operators import backtest as T
 from barwright.operators import campaign as C
 from barwright.operators import native, recursive
-from barwright.plans import shared, sql
+from barwright.plans import indicators, shared, sql
 from barwright.sources import bars as B
 
 QUERIES, ORACLES = {}, {}
@@ -89,6 +89,11 @@ def event_study_recursive(spark, sf_dir):
 
 
 QUERIES["event_study_recursive"] = event_study_recursive
+_RECURSIVE = {"MACD": "macd", "Parabolic SAR": "parabolic_sar", "AutoFractal": "fractals", "EMA9/21": "ema_cross", "EchoChamber": "echo_chamber"}
+_OWN = " UNION ALL ".join(f"SELECT sym, bar_ts, state, '{name}' AS indicator FROM ({indicators.ORACLES[key].replace(sql.HOURLY, sql.NATION)})" for name, key in _RECURSIVE.items())
+ORACLES["event_study_recursive"] = f"""WITH {sql.NATION}, nb AS (SELECT *, row_number() OVER ({sql.W}) - 1 AS idx, count(*) OVER (PARTITION BY sym) AS n FROM bars),
+    sig AS (SELECT nb.sym, nb.bar_ts, idx, n, open, close, indicator, state FROM nb JOIN ({_OWN}) o ON o.sym = nb.sym AND o.bar_ts = nb.bar_ts), {_trades('sym, indicator')}
+    SELECT indicator, horizon, side, count(net) AS trades, count(*) FILTER (NOT complete) AS incomplete, round(avg(net), 4) AS avg_net FROM tt GROUP BY ALL"""
 
 
 def _scans(spark, sf_dir):
@@ -483,6 +488,10 @@ def metric_block(spark, sf_dir):
 QUERIES["metric_block"] = metric_block
 
 
+QUERIES["metric_rows"] = lambda spark, sf_dir: C.metric_rows(_grid_trades(spark, sf_dir))
+ORACLES["metric_rows"] = f"{GRID} SELECT combo, side, horizon, count(*) AS trades, round(avg((net > 0)::INT), 4) AS hit_rate, round(avg(net), 4) AS mean_net, round(quantile_cont(net, 0.5), 4) AS median_net FROM tt WHERE complete GROUP BY ALL"
+
+
 def bh_ranking(spark, sf_dir):
     """Discoveries among tests whose p values come from parts, so that both engines hold the same."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
