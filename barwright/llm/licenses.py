@@ -31,6 +31,7 @@ import re
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -80,10 +81,11 @@ UNKNOWN = [
     "the apache people of the southwest", "he studied at mit for four years", "a mozilla developer gave a talk", "attribution of the painting is disputed",
 ]
 #: Words that hold every template together; see `needed`.
-ANCHOR_WORDS = """license licensed copyright permission permitted proprietary confidential reserved waived granted gnu gpl lgpl agpl affero lesser mozilla eclipse bsd cc cc0 mit
+ANCHOR_WORDS = """license licensed copyright permission permitted proprietary confidential reserved waived granted gnu gpl lgpl agpl affero lesser mozilla eclipse bsd cc cc0
     noncommercial sharealike attribution domain unencumbered software source binary documentation file authors contributors subject purpose conditions compliance applicable
     warranties damages liable arising distributed redistribute redistribution released related reproduced available accompanying derived endorse promote modify obtaining possible""".split()
-ANCHORS = rf"(?<![a-z0-9])(?:{'|'.join(ANCHOR_WORDS)})(?![a-z0-9])"
+#: The words as one pattern, by their first letters.
+ANCHORS = "(?<![a-z0-9])(?:" + "|".join(f"{k}(?:{'|'.join(w[1:] for w in ws)})" for k, ws in groupby(sorted(ANCHOR_WORDS), key=lambda w: w[0])) + ")(?![a-z0-9])"
 
 
 def _words(text: str) -> list[str]:
