@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import cut
+from barwright.llm.common import cut, pieces
 
 SEED, COVERAGE = 5, 0.5
 #: Words of the benchmark whose seeds are sent to every worker at a time (about 100 bytes each).
@@ -216,6 +216,18 @@ def _shipped(docs: DataFrame, index: Index):
     return docs.sparkSession.sparkContext.broadcast(([(i, " ".join(s)) for i, s in index.items], index.seed))
 
 
+_BUILT: dict[int, tuple[tuple, Index]] = {}
+
+
+def _built(value: tuple) -> Index:
+    """The index of a broadcast value, made once in a worker, not in every task."""
+    got = _BUILT.get(id(value))
+    if got is None or got[0] is not value:
+        _BUILT.clear()
+        got = _BUILT[id(value)] = (value, Index(*value))
+    return got[1]
+
+
 def _text_key(text: Column) -> Column:
     return F.sha2(text, 256)
 
@@ -226,8 +238,8 @@ def _found(docs: DataFrame, index: Index, least: float, text: str) -> DataFrame:
     shipped = _shipped(docs, index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Index(*shipped.value)
-        for b in batches:
+        own = _built(shipped.value)
+        for b in pieces(batches):
             got = [(k, *x) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t and (x := own.best(t, least))[0] > 0]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in got], pa.string()), pa.array([x[2] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[3] for x in got], pa.list_(pa.int64()))],
@@ -261,8 +273,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, seed: int = SEED, leas
     shipped = _shipped(docs, first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Index(*shipped.value)
-        for b in batches:
+        own = _built(shipped.value)
+        for b in pieces(batches):
             got = [own.best(t, least) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([x[1] for x in got], pa.int64()), pa.array([x[0] for x in got], pa.float64()), pa.array([x[2] for x in got], pa.list_(pa.int64())), pa.array([x[0] >= least for x in got], pa.bool_())],
@@ -286,8 +298,8 @@ def _without(docs: DataFrame, index: Index, least: float, text_col: str) -> Data
     shipped, at = _shipped(docs, index), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Index(*shipped.value)
-        for b in batches:
+        own = _built(shipped.value)
+        for b in pieces(batches):
             yield b.filter(pa.array([own.best(t, least)[0] < least for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
