@@ -35,10 +35,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import cut, discard
+from barwright.llm.common import cut, discard, pieces
 from barwright.llm.components import components
 from barwright.llm.shingles import WordHashes, minhash, multipliers, shingle_set, similar
 
@@ -71,7 +72,7 @@ def _signatures(docs: DataFrame, shingle: int, trees: int, id_col: str, text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, by = WordHashes(), multipliers(trees * DEPTH)
-        for b in batches:
+        for b in pieces(batches):
             n, cls, sig = [], [], []
             for t in b.column(2).to_pylist():
                 s = shingle_set(t, shingle, hashes)
@@ -210,7 +211,8 @@ def _forest(classes: DataFrame, base: int, trees: int) -> DataFrame:
         if seen:
             yield _edges(part, head, tail, seen)
 
-    return cut(order.mapInArrow(run, _FOREST_DDL), "forest")
+    # read several times and not at all after that: kept on the executors' disks, made again where one is lost
+    return order.mapInArrow(run, _FOREST_DDL).persist(StorageLevel.DISK_ONLY)
 
 
 def _across(forest: DataFrame, base: int) -> DataFrame:
@@ -276,7 +278,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for r in batches:
+        for r in pieces(batches):
             keep = [similar(shingle_set(x, shingle, hashes), shingle_set(y, shingle, hashes), num, den) for x, y in zip(r.column(2).to_pylist(), r.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([r.column(0), r.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -294,11 +296,12 @@ def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 # ---- large regions -----------------------------------------------------------------------------------
 
 
-def _survivors(sets: DataFrame, num: int, den: int, n: int) -> DataFrame:
+def _survivors(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Of (cls, comp, n_shingles, shingles), the classes that can still have a link to another component:
     as den * intersection >= num * union, that many of their shingles must occur in other components."""
+    n = sets.agg(F.sum("n_shingles").alias("n")).first().n
     each = sets.select("cls", "comp", F.explode("shingles").alias("h"))
-    shared = cut(each.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h"), "rest-shared")
+    shared = cut(each.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h"), "rest-shared", rows=n)
     count = each.select("cls", "h").join(shared.hint("merge"), "h").groupBy("cls").agg(F.count(F.lit(1)).alias("shared"))
     out = sets.select("cls", "comp", "n_shingles").join(count.hint("merge"), "cls").filter(F.col("shared") * den >= F.col("n_shingles") * num)
     out = cut(out.select("cls", "comp", "n_shingles"), "rest-alive", rows=n)
@@ -368,13 +371,13 @@ def _rest(dense: DataFrame, comp: DataFrame, texts: DataFrame, shingle: int, num
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in pieces(batches):
             sets = [shingle_set(t, shingle, hashes).view(np.int64) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "comp", "n_shingles", "shingles"])
 
     full = who.join(texts.hint("merge"), "cls").select("cls", "comp", "text").coalesce(max(1, -(-m // PAIRS)))
     sets = cut(full.mapInArrow(run, "cls binary, comp binary, n_shingles long, shingles array<long>"), "rest-sets")
-    alive = _survivors(sets, num, den, m)
+    alive = _survivors(sets, num, den)
     rows = cut(rows.select("tree", "region", "cls").join(alive.hint("merge"), "cls"), "rest-members", rows=n)
     per = rows.groupBy("tree", "region", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
     total = per.groupBy("tree", "region").agg(F.max_by(F.struct("comp", "n", "size"), F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("comps"))
@@ -399,7 +402,7 @@ def _rest(dense: DataFrame, comp: DataFrame, texts: DataFrame, shingle: int, num
         return pa.table({"a": pa.array([min(x) for x in found], pa.binary()), "b": pa.array([max(x) for x in found], pa.binary())})
 
     found = full.select("tree", "region", "kind", "i", "j", "cls", "comp", "shingles").groupBy("tree", "region", "kind", "i", "j").applyInArrow(compare, "a binary, b binary")
-    out = cut(found.distinct(), "rest-links")
+    out = cut(found.distinct(), "rest-links", rows=n)  # at most one a member and region
     discard(rows, several, who, sets, alive, regions, dealt)
     return out
 
@@ -420,8 +423,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     )
     n = classes.count()
     forest = _forest(classes, base, trees)
+    kinds = {r.kind: r["count"] for r in forest.groupBy("kind").count().collect()}
     pairs = forest.filter(F.col("kind") == _PAIR).select("a", "b", "common").unionAll(_across(forest, base))
-    pairs = cut(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees"), F.max("common").alias("common")), "pairs", rows=trees * n)
+    pairs = cut(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees"), F.max("common").alias("common")), "pairs", rows=kinds.get(_PAIR, 0))
     texts = _texts(docs, pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct(), classes, id_col, text_col, n)
 
     # the best candidate of each class first: most of a group is joined before its other pairs are looked at
@@ -433,12 +437,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         links = links.unionAll(_confirm(more, texts, shingle, num, den))
         comp = components(links)
 
-    dense = cut(forest.filter(F.col("kind") == _DENSE).select("tree", F.col("path").alias("region"), F.col("a").alias("cls")).distinct(), "dense", rows=trees * n)
+    dense = cut(forest.filter(F.col("kind") == _DENSE).select("tree", F.col("path").alias("region"), F.col("a").alias("cls")).distinct(), "dense", rows=kinds.get(_DENSE, 0))
+    forest.unpersist()
     if not dense.isEmpty():
         joined = _rest(dense, comp, texts, shingle, num, den)
         if joined is not None and not joined.isEmpty():
             comp = components(links.unionAll(joined))
-    discard(forest, pairs, texts, best, more, dense)
+    discard(pairs, texts, best, more, dense)
 
     named = cut(classes.select("cls", "low").join(comp.select(F.col("node").alias("cls"), "comp").hint("merge"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "class-components", rows=n)
     lows = cut(named.groupBy("comp").agg(F.min("low").alias("component_id")), "component-ids", rows=n)
