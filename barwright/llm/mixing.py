@@ -140,7 +140,7 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
     rows = rows.withColumn("_bucket", F.floor(share * F.col("_parts") / F.lit(1 << 28)).cast("long")).drop("_s", "_parts")
     counts = rows.groupBy("_source", "_bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(W.partitionBy("_source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
-    offsets = cut(counts.select("_source", "_bucket", F.coalesce(before, F.lit(0)).alias("_before")), "mix-offsets")
+    offsets = cut(counts.select("_source", "_bucket", F.coalesce(before, F.lit(0)).alias("_before")), "mix-offsets", rows=sum(-(-n // each) for n in sizes.values()))
     numbered = rows.withColumn("_n", F.row_number().over(W.partitionBy("_source", "_bucket").orderBy("_key", "_id")) - 1)
     # one row for each source and bucket: rows / BUCKET_ROWS or so, the planner broadcasts it while small
     numbered = numbered.join(offsets.withColumnsRenamed({"_source": "_s", "_bucket": "_b"}), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")), "left")
