@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import cut, pieces
+from barwright.llm.common import NARROW, cut, pieces
 
 #: Exceptions sent to every worker at most (about 100 bytes each).
 BROADCAST_EXCEPTIONS = 500_000
@@ -337,18 +337,18 @@ def assign(found: DataFrame, key: bytes, most_tries: int = 60) -> tuple[DataFram
     """(kind, normal, new, attempt) for every distinct entity, and the exceptions among them
     (attempt above 0). Each round checks that surrogates are unlike all real values, all surrogates
     given before, and each other."""
-    pending, done, exceptions = found, None, None
+    pending, done, exceptions, n = found, None, None, found.count()
     for attempt in range(most_tries):
-        tried = cut(_tries(pending, key, attempt), "pii-tries")
+        tried = cut(_tries(pending.coalesce(max(1, -(-n // NARROW))), key, attempt), "pii-tries")
         real = found.select("kind", F.col("normal").alias("new"))
         free = tried.join(real.hint("merge"), ["kind", "new"], "left_anti")
         if done is not None:
             free = free.join(done.select("kind", "new").hint("merge"), ["kind", "new"], "left_anti")
-        good = cut(free.groupBy("kind", "new").agg(F.min("normal").alias("normal")).select("kind", "normal", "new", F.lit(attempt).alias("attempt")), "pii-good")
+        good = cut(free.groupBy("kind", "new").agg(F.min("normal").alias("normal")).select("kind", "normal", "new", F.lit(attempt).alias("attempt")), "pii-good", rows=n)
         done = good if done is None else done.unionAll(good)
         if attempt:
             exceptions = good if exceptions is None else exceptions.unionAll(good)
-        pending = cut(tried.select("kind", "normal").join(good.select("kind", "normal").hint("merge"), ["kind", "normal"], "left_anti"), "pii-pending")
+        pending = cut(tried.select("kind", "normal").join(good.select("kind", "normal").hint("merge"), ["kind", "normal"], "left_anti"), "pii-pending", rows=n)
         if pending.isEmpty():
             break
     else:

@@ -51,8 +51,9 @@ _SCAN_DDL = ("row_id long, doc_id long, owner string, repo string, n_assign long
 
 
 def entropy(value: str) -> float:
+    """Bits a character, to nine places, so that the order of the sum doesn't count."""
     n = len(value)
-    return -sum(k / n * math.log2(k / n) for k in Counter(value).values()) if n else 0.0
+    return round(-sum(k / n * math.log2(k / n) for k in Counter(value).values()), 9) if n else 0.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -125,7 +126,7 @@ def scan_secrets(docs: DataFrame, owner: str | None = "source", repo: str | None
     scan = cut(rows.mapInArrow(_scan, _SCAN_DDL), "secret-scan")
     found = scan.select("row_id", "owner", "repo", F.explode("found").alias("f")).select("row_id", "owner", "repo", "f.*")
     # written before the join, so that both of its sides are plain shuffles and a hot value can be split
-    held = cut(ownership(found), "secret-owners")
+    held = cut(ownership(found), "secret-owners", rows=scan.agg(F.sum(F.size("found")).alias("n")).first().n or 0)
     copied = (F.col("n_owners") >= example_owners) | ((F.col("n_owners") > 1) & (F.col("n_repos") >= example_repos))
     marked = (
         found.join(held.hint("merge"), "hash")
