@@ -198,9 +198,6 @@ class Index:
         return top, name, over
 
 
-_OUT = "best_item long, coverage double, items array<long>, contaminated boolean"
-
-
 def _blocks(items: DataFrame, seed: int, limit: int, id_col: str, text_col: str) -> Iterator[Index]:
     """Indexes of the benchmark in blocks of about `limit` words, counted by the class that Python's \\w
     stands for; always one at least. A block is collected when it is asked for."""

@@ -6,8 +6,8 @@ Block k of a source may not start before the slot in which the ideal has k block
 and must be out by the slot in which the ideal has k + 1 (its deadline); earliest-deadline-first over
 the released blocks keeps every source less than one block away from the ideal in every prefix. Weights
 are taken as the exact rationals that the given numbers are, and all blocks are scheduled on the driver,
-one heap step a block; 4 bytes a block (rows / block_rows of them) go to the workers. No row is dropped
-or repeated.
+one heap step a block; 4 bytes a block go to the workers. There are `MOST_BLOCKS` of them at most (blocks
+grow with very many rows). No row is dropped or repeated.
 
 Rows of a source are numbered without bringing them together: they are spread over buckets of the
 hash that orders them, numbered within each bucket, and shifted by the sizes of the buckets before.
@@ -42,6 +42,8 @@ from barwright.llm.common import cut
 #: Rows in one numbering bucket: total / BUCKETS, within these bounds. The table of bucket sizes has
 #: at most one row for each BUCKET_ROWS[0] rows, and about total / BUCKET_ROWS[1] at large sizes.
 BUCKETS, BUCKET_ROWS = 4096, (500, 50_000)
+#: Blocks of a schedule at most: 64 MB, and about a minute of the driver.
+MOST_BLOCKS = 16_000_000
 #: Sources whose sizes are broadcast; beyond, the planner chooses.
 BROADCAST_SOURCES = 100_000
 
@@ -103,15 +105,16 @@ def source_sizes(docs: DataFrame, source_col: str = "source") -> dict[str | None
     return {r.s: r["count"] for r in docs.groupBy(F.col(source_col).cast("string").alias("s")).count().collect()}
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = 64, power: float = 0.5, default_weight: float | None = None, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = 64, power: float = 0.5, default_weight: float | None = None, seed: str = "mix", most_blocks: int = MOST_BLOCKS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """All rows and columns of docs, and mix_slot (the block's place in the mixed order), mix_block
     (the block's number in its source) and mix_row (the row's number in the block). Ordered by
     mix_slot and mix_row, every prefix of whole slots holds the target weights.
 
     weights: target of each source; None smooths the sources' own sizes by `power`.
-    block_rows: the schedule takes 4 bytes a block on the driver and on every worker, and one heap step;
-    with very many rows, larger blocks keep it small."""
+    block_rows: rows of a block; more where the schedule would have over `most_blocks` blocks otherwise, so
+    that what the driver schedules and sends to the workers is bounded. No prefix is a block off either way."""
     sizes = source_sizes(docs, source_col)
+    block_rows = max(block_rows, -(-sum(sizes.values()) // most_blocks))
     targets = smoothed(sizes, power) if weights is None else dict(weights)
     if missing := [s for s in sizes if s not in targets]:
         if default_weight is None:

@@ -156,6 +156,12 @@ def test_a_million_slots_keep_to_the_targets():
         assert np.abs(seen[t] - ideal(np.array(blocks), w, t + 1)).max() < 1 + 1e-6
 
 
+def test_blocks_grow_where_a_schedule_would_be_too_long(spark):
+    docs = spark.range(2000).selectExpr("id as doc_id", "concat('s', id % 3) as source")
+    got = mixing.mix(docs, block_rows=1, most_blocks=100).toPandas()
+    assert got.groupby("mix_slot").size().max() == 20 and got.mix_slot.nunique() <= 102 and sorted(got.doc_id) == list(range(2000))
+
+
 def test_any_number_of_sources(spark):
     docs = spark.range(3000).selectExpr("id as doc_id", "if(id % 2 = 0, concat('s', id), null) as source")
     got = mixing.mix(docs, block_rows=4).toPandas()
@@ -906,6 +912,28 @@ def test_index_persists_between_batches(spark, tmp_path):
     assert "SortMergeJoin" in p and p.count("Exchange") == 1
 
 
+def test_buckets_follow_the_rows_and_stay(spark, tmp_path):
+    assert exact.DigestIndex(spark).buckets == exact.LEAST_BUCKETS
+    assert exact.DigestIndex(spark, rows=100_000_000).buckets == 50
+    path = f"file:{tmp_path}/index"
+    index = exact.DigestIndex(spark, path, rows=30_000_000)
+    assert index.buckets == 15
+    index.append(spark.createDataFrame([("a", 1), ("b", 2)], "digest string, keep_id long"))
+    spark.sql(f"DROP TABLE {index.name}")  # as in another session: the files stay
+    again = exact.DigestIndex(spark, path, rows=10)
+    assert again.buckets == 15 and again.table().count() == 2
+
+
+def test_tables_on_the_way_are_removed(spark):
+    from barwright.llm import common
+
+    t = common.cut(spark.range(1000), "test", rows=1000, per_file=100)
+    at = t._cut_path.removeprefix("file:")
+    assert t.count() == 1000 and os.path.isdir(at)
+    common.discard(t, None, spark.range(3))
+    assert not os.path.exists(at)
+
+
 def test_exact_hard_rows(spark, hard, none):
     index = exact.DigestIndex(spark)
     got = exact.annotate(hard, index)
