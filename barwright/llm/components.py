@@ -54,8 +54,9 @@ def components(links: DataFrame, held: int = HELD) -> DataFrame:
     Tasks first join the links that they see anyway. Then, in rounds, every node points at its least
     neighbour or itself, and links are carried over to what their ends point at; links within one node
     go. The image of a connected set stays connected and its least node points at itself, so rounds go
-    on until no link is left. Nodes with very many links only meet pre-aggregated minima and joins
-    whose other side has one row a node.
+    on until no link is left. Names of nodes are digests, in no order along any path, so a round leaves a
+    constant share of the nodes, and a few rounds do. Nodes with very many links only meet
+    pre-aggregated minima and joins whose other side has one row a node.
     """
     edges = cut(_joined(links, held, links.count()), "cc-links")
     n, found = edges.count(), None
