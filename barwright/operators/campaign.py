@@ -360,16 +360,18 @@ def attestation(frozen: DataFrame, streams: DataFrame, slices: DataFrame, fold:
     return j.select(F.array_compact(F.array(*why)).alias("reasons"))
 
 
-def holdout(trades: DataFrame, chosen: Sequence[str], spent: bool = False, key: str = "combo", most: int = 10) -> DataFrame:
+def holdout(trades: DataFrame, chosen: Sequence[str], spent: bool = False, key: str = "combo", most: int = 10, known: Iterable[str] | None = None) -> DataFrame:
     """Descriptive rows of a few chosen keys, once: refuses when spent, for too many or unknown keys. trades
-    are those of the holdout fold (see `sliced`)."""
+    are those of the holdout fold (see `sliced`). known: the keys of the grid, of which one without a trade
+    in the fold has no row; those of the trades where it isn't given."""
     why = []
     if spent:
         why.append("the holdout has been opened")
     if len(chosen) > most:
         why.append(f"{len(chosen)} keys, more than {most}")
-    known = {r[0] for r in trades.filter(F.col(key).isin(*chosen)).select(key).distinct().collect()} if chosen else set()
-    if missing := sorted(set(chosen) - known):
+    if known is None:
+        known = [r[0] for r in trades.filter(F.col(key).isin(*chosen)).select(key).distinct().collect()] if chosen else []
+    if missing := sorted(set(chosen) - set(known)):
         why.append(f"unknown: {', '.join(missing)}")
     if why:
         raise Refused(why)

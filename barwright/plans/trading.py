@@ -525,13 +525,15 @@ ORACLES["campaign_ranking"] = f"""WITH {sql.NATION}, {sql.KERNELS}, {sql.signals
     SELECT name, count(*) FILTER (p <= lim) AS folds, sum(n)::BIGINT AS trades, round(sum(mean * n) / sum(n), 4) AS mean FROM rk, lim GROUP BY 1"""
 
 
-def _holdout_trades(spark, sf_dir):
-    return C.combo_trades(_fold_signals(spark, sf_dir, "holdout", STUDIED), C.combos(spark, STUDIED, 2), warmup=0)
+def _holdout_trades(spark, sf_dir, grid):
+    return C.combo_trades(_fold_signals(spark, sf_dir, "holdout", STUDIED), grid, warmup=0)
 
 
 def holdout_rows(spark, sf_dir):
     """The chosen combinations on the days after the last cut."""
-    return C.holdout(_holdout_trades(spark, sf_dir), ["ROC", "MFI+VWAP"]).select("combo", "horizon", "side", "trades", "incomplete", R("avg_net", 4).alias("avg_net"))
+    grid = C.combos(spark, STUDIED, 2)
+    known = [r.combo for r in grid.select("combo").collect()]
+    return C.holdout(_holdout_trades(spark, sf_dir, grid), ["ROC", "MFI+VWAP"], known=known).select("combo", "horizon", "side", "trades", "incomplete", R("avg_net", 4).alias("avg_net"))
 
 
 QUERIES["holdout"] = holdout_rows

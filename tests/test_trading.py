@@ -109,6 +109,15 @@ def test_holdout_refusals(spark):
     assert C.holdout(t, ["I"]).count() == 3
 
 
+def test_holdout_of_a_key_without_trades(spark):
+    t = T.event_trades(signals(spark, 100, {65: "BUY"})).withColumnRenamed("indicator", "combo")
+    got = C.holdout(t, ["I", "quiet"], known=["I", "quiet", "other"]).collect()
+    assert [r.combo for r in got] == ["I"] * 3
+    assert C.holdout(t, ["quiet"], known=["I", "quiet"]).count() == 0
+    with pytest.raises(C.Refused, match="nobody"):
+        C.holdout(t, ["I", "nobody"], known=["I", "quiet"])
+
+
 def test_quotas_shave_the_largest():
     assert registry.quotas({"a": 90, "b": 5, "c": 5}, 10) == {"a": 8, "b": 1, "c": 1} or sum(registry.quotas({"a": 90, "b": 5, "c": 5}, 10).values()) <= 10
     assert registry.quotas({"a": 1, "b": 1, "c": 1}, 2) and sum(registry.quotas({"a": 1, "b": 1, "c": 1}, 2).values()) == 2
