@@ -115,7 +115,9 @@ def _adx():
 def _ichimoku():
     c, a, b = F.col("close"), F.col("span_a"), F.col("span_b")
     top = F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b))
-    return _verdict(((c > a) & (c > b), "BUY", (c - top) / c), ((c < a) & (c < b), "SELL", -(top - c) / c), hold=F.lit(0.0))
+    # a close of zero is infinitely far off
+    far = F.coalesce(F.try_divide(c - top, c), F.signum(c - top))
+    return _verdict(((c > a) & (c > b), "BUY", far), ((c < a) & (c < b), "SELL", far), hold=F.lit(0.0))
 
 
 def _bollinger():
