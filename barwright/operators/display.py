@@ -13,6 +13,12 @@ def score_class(score: Column) -> Column:
     return F.when(score >= 70, "high").when(score >= 40, "mid").otherwise("low")
 
 
+def floored(value: Column) -> Column:
+    """The whole number at or below, as a double: a negative zero keeps its sign, which floor() drops."""
+    near = F.rint(value)
+    return F.when(near > value, near - 1.0).otherwise(near)
+
+
 def shown_number(value: Column, digits: int = 1, unit: str = "") -> Column:
     """Fixed decimals and a unit; a dash for what isn't there."""
     ok = value.isNotNull() & ~F.isnan(value)

@@ -96,7 +96,7 @@ def scan_history(spark, sf_dir):
     replace(replace(replace(replace(replace('<b>' || c_name || '&''"', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS html FROM customer""")
 def display_format(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    value = F.when(F.col("c_custkey") % 5 != 0, F.floor("c_acctbal") / 10)
+    value = F.when(F.col("c_custkey") % 5 != 0, D.floored(F.col("c_acctbal")) / 10)
     return c.select("c_custkey", D.score_class(F.col("c_acctbal") / 100).alias("class"), D.shown_number(value, 1, "%").alias("shown"), D.escaped_html(F.concat(F.lit("<b>"), "c_name", F.lit("&'\""))).alias("html"))
 
 
