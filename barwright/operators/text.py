@@ -176,11 +176,12 @@ def links(html: Column) -> Column:
 
 
 def panel_scores(pages: DataFrame) -> DataFrame:
-    """Scores shown on a page: its panels are split, their rows matched, and a score must read NN.N.
+    """Scores shown on a page: its panels are split, their rows matched, and a score must read NN.N,
+    after a minus or not.
     pages: (page_id, html) with <section id="panel-REGION"> and <tr data-sym="S"><td class="score">."""
     panels = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'(?s)(<section id="panel-[a-z_]+">.*?</section>)'), 1)).alias("panel"))
     rows = panels.select("page_id", F.regexp_extract("panel", r'id="panel-([a-z_]+)"', 1).alias("region"), F.explode(F.arrays_zip(
-        F.regexp_extract_all("panel", F.lit(r'<tr data-sym="([^"]+)"><td class="score">([0-9]+\.[0-9])</td>'), 1).alias("sym"), F.regexp_extract_all("panel", F.lit(r'<tr data-sym="([^"]+)"><td class="score">([0-9]+\.[0-9])</td>'), 2).alias("score"))).alias("r"))
+        F.regexp_extract_all("panel", F.lit(r'<tr data-sym="([^"]+)"><td class="score">(-?[0-9]+\.[0-9])</td>'), 1).alias("sym"), F.regexp_extract_all("panel", F.lit(r'<tr data-sym="([^"]+)"><td class="score">(-?[0-9]+\.[0-9])</td>'), 2).alias("score"))).alias("r"))
     return rows.select("page_id", "region", F.col("r.sym").alias("sym"), F.col("r.score").alias("score"))
 
 
