@@ -56,7 +56,7 @@ def odd(tmp_path_factory):
 
 
 @pytest.mark.parametrize("name", [
-    "zigzag", "double_top_bottom", "head_shoulders", "pattern_combined", "autotrend", "wedge", "final_score", "ichimoku", "rube_triggers", "display_format", "html_scores",
+    "zigzag", "double_top_bottom", "head_shoulders", "pattern_combined", "autotrend", "wedge", "final_score", "ichimoku", "rube_triggers", "display_format", "html_scores", "page_rewrite",
 ])
 def test_same_as_duckdb(spark, odd, name):
     sf, duck = odd
