@@ -175,19 +175,20 @@ def links(html: Column) -> Column:
     return F.arrays_zip(F.regexp_extract_all(html, F.lit(hit), 1).alias("href"), F.regexp_extract_all(html, F.lit(hit), 2).alias("text"))
 
 
-def panel_scores(pages: DataFrame) -> DataFrame:
+def panel_scores(pages: DataFrame, number: str = r"-?[0-9]+\.[0-9]") -> DataFrame:
     """Scores shown on a page: its panels are split, their rows matched, and a score must read NN.N,
-    after a minus or not.
+    after a minus or not, or as `number` says.
     pages: (page_id, html) with <section id="panel-REGION"> and <tr data-sym="S"><td class="score">."""
     panels = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'(?s)(<section id="panel-[a-z_]+">.*?</section>)'), 1)).alias("panel"))
+    hit = F.lit(rf'<tr data-sym="([^"]+)"><td class="score">({number})</td>')
     rows = panels.select("page_id", F.regexp_extract("panel", r'id="panel-([a-z_]+)"', 1).alias("region"), F.explode(F.arrays_zip(
-        F.regexp_extract_all("panel", F.lit(r'<tr data-sym="([^"]+)"><td class="score">(-?[0-9]+\.[0-9])</td>'), 1).alias("sym"), F.regexp_extract_all("panel", F.lit(r'<tr data-sym="([^"]+)"><td class="score">(-?[0-9]+\.[0-9])</td>'), 2).alias("score"))).alias("r"))
+        F.regexp_extract_all("panel", hit, 1).alias("sym"), F.regexp_extract_all("panel", hit, 2).alias("score"))).alias("r"))
     return rows.select("page_id", "region", F.col("r.sym").alias("sym"), F.col("r.score").alias("score"))
 
 
 def shown(rows: DataFrame, scores: DataFrame) -> DataFrame:
-    """Rows (sym) with their score as shown, a dash where there is none."""
-    return rows.join(scores.select("sym", F.format_number("score", 1).alias("shown")), "sym", "left").withColumn("shown", F.coalesce("shown", F.lit("–")))
+    """Rows (sym) with their score as the page wrote it, a dash where there is none."""
+    return rows.join(scores.select("sym", F.col("score").alias("shown")), "sym", "left").withColumn("shown", F.coalesce("shown", F.lit("–")))
 
 
 def stream_message(json: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Queries of pivots against DuckDB on series with ties that the last bit decides."""
+"""Queries against DuckDB on series with ties that the last bit decides, and on customers whose keys are repeated or missing."""
 
 import datetime
 
@@ -22,9 +22,13 @@ def _same(spark, at, name, series):
     rows = [{"ts": start + datetime.timedelta(hours=h), "event_type": sym, "value": v} for sym, values in series.items() for h, v in enumerate(values)]
     t = pa.Table.from_pylist([{"event_id": i, "user_id": 1, "props": "{}", **r} for i, r in enumerate(rows)])
     pq.write_table(t, at / "events.parquet", coerce_timestamps="us")
+    return _same_table(spark, at, name, "events")
+
+
+def _same_table(spark, at, name, table):
     duck = duckdb.connect()
     duck.execute("set timezone = 'UTC'")
-    duck.execute(f"create view events as select * from '{at}/events.parquet'")
+    duck.execute(f"create view {table} as select * from '{at}/{table}.parquet'")
     df = QUERIES[name](spark, str(at))
     cols = sorted(df.columns)
     got = sorted(tuple(map(_text, r)) for r in df.select(*cols).collect())
@@ -35,3 +39,10 @@ def _same(spark, at, name, series):
 
 def test_autotrend_closes_tied_with_a_line(spark, tmp_path):
     _same(spark, tmp_path, "autotrend", {"a": TIED})
+
+
+def test_page_rewrite_repeated_keys_and_large_balances(spark, tmp_path):
+    balances = (250.0, 7123.45, -3.0, None, 1234567.8, 2e9, -0.0, 0.0, float("nan"), float("inf"))
+    rows = [{"c_custkey": key, "c_nationkey": i % 3, "c_acctbal": b, "c_mktsegment": seg} for i, b in enumerate(balances) for key, seg in ((1, "AUTO"), (None, "AUTO"), (100 + i, None), (200 + i, "Seg 1"), (300 + i, ""))]
+    pq.write_table(pa.Table.from_pylist(rows), tmp_path / "customer.parquet")
+    _same_table(spark, tmp_path, "page_rewrite", "customer")
