@@ -20,9 +20,9 @@ STORE_SCHEMA = T.StructType([T.StructField("date", T.StringType()), *[T.StructFi
 
 
 def resample(ticks: DataFrame, sym: Column, bar: Column, price: Column, order: Column, volume: Column) -> DataFrame:
-    """Ticks to bars in one grouped aggregation; `order` decides which tick opens and closes a bar."""
+    """Ticks to bars in one grouped aggregation; `order` decides which tick with a price opens and closes a bar."""
     return (
-        ticks.select(sym.cast("string").alias("sym"), bar.alias("bar_ts"), price.alias("p"), order.alias("o"), volume.alias("v"))
+        ticks.select(sym.cast("string").alias("sym"), bar.alias("bar_ts"), price.alias("p"), F.when(price.isNotNull(), order).alias("o"), volume.alias("v"))
         .groupBy("sym", "bar_ts")
         .agg(F.min_by("p", "o").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "o").alias("close"), F.sum("v").cast("double").alias("volume"))
     )

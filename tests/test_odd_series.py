@@ -1,10 +1,12 @@
 """Queries against DuckDB on series with ties that the last bit decides, and on customers whose keys are repeated or missing."""
 
 import datetime
+import random
 
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from barwright.plans.registry import ORACLES, QUERIES
 from tests.test_queries import _text
@@ -50,6 +52,27 @@ def test_wedge_level_bars(spark, tmp_path):
     assert len(got) == len(LEVEL)
 
 
+def _holed(seed, *odd):
+    rng = random.Random(seed)
+    return [rng.choice(odd) if rng.random() < 0.06 else round(rng.expovariate(0.02), 2) for _ in range(300)]
+
+
+@pytest.mark.parametrize("name", ["autotrend", "wedge"])
+def test_ticks_without_price_or_symbol(spark, tmp_path, name):
+    nan = float("nan")
+    series = {f"{k}{i}": _holed(i, *odd) for k, odd in {"none": [None], "nan": [nan], "both": [None, nan, 0.0]}.items() for i in range(8)}
+    got = _same(spark, tmp_path, name, {**series, None: _holed(9, 1.0)})
+    assert {"BUY", "SELL"} <= {v for row in got for v in row}
+
+
+def test_hour_that_ends_without_price(spark, tmp_path):
+    """The last tick with a price closes the bar."""
+    at = [datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=20 * k) for k in range(6)]
+    rows = [{"event_id": k, "user_id": 1, "props": "{}", "ts": ts, "event_type": "a", "value": v} for k, (ts, v) in enumerate(zip(at, (None, 2.0, None, 3.0, 1.0, None), strict=True))]
+    pq.write_table(pa.Table.from_pylist(rows), tmp_path / "events.parquet", coerce_timestamps="us")
+    _same_table(spark, tmp_path, "bars_hourly", "events")
+
+
 def test_page_rewrite_repeated_keys_and_large_balances(spark, tmp_path):
     balances = (250.0, 7123.45, -3.0, None, 1234567.8, 2e9, -0.0, 0.0, float("nan"), float("inf"))
     rows = [{"c_custkey": key, "c_nationkey": i % 3, "c_acctbal": b, "c_mktsegment": seg} for i, b in enumerate(balances) for key, seg in ((1, "AUTO"), (None, "AUTO"), (100 + i, None), (200 + i, "Seg 1"), (300 + i, ""))]
